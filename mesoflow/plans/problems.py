@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mesoflow.operators.proximity import near_pairs, points_in_regions
+from mesoflow.operators.regrid import one_per_slot, regular_grid
 from mesoflow.operators.spikes import Field, flag_readings
 from mesoflow.session import first_arrival, sized_broadcast, table
 from mesoflow.sources.runs import runs, with_slots
@@ -27,5 +29,42 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
-QUERIES = {"p1_found": p1_found}
+def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:
+    meta = runs(spark, sf_dir)
+    obs = with_slots(table(spark, sf_dir, "tracks").where(F.col("x_um").isNotNull() & ~F.isnan("x_um")), meta)
+    # of several readings in a slot the one nearest to the slot's time stands for it; a reading without t is taken to be on time
+    dt = sized_broadcast(meta.select(F.col("run_id").alias("_run"), "dt"))
+    obs = obs.join(dt, F.col("run_id") == F.col("_run"), "left").withColumn("_off", F.coalesce(F.abs(F.nanvl(F.col("t"), F.lit(None).cast("double")) / F.coalesce("dt", F.lit(1.0)) - F.col("slot")), F.lit(0.0)))
+    one = one_per_slot(obs, ["run_id", "particle"], "slot", "obs_id", ["x_um"], near="_off")
+    return regular_grid(one, ["run_id", "particle"], "slot", "x_um", gap_limit)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots without a usable reading between a particle's first and last one."""
+    return _grid(spark, sf_dir, None).where(~F.col("is_reading")).select("run_id", "particle", "slot")
+
+
+def p4_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per slot, holes of up to 10 slots filled by interpolation, longer ones marked."""
+    g = _grid(spark, sf_dir, 10)
+    return g.select("run_id", "particle", "slot", "is_reading", F.round("filled", 6).alias("x_um"), (~F.col("is_reading") & F.col("filled").isNull()).alias("is_missing"))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_arrival(table(spark, sf_dir, "detections"), "det_id", "arrived_at", ["run_id", "frame", "x", "y"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of detections of one run and frame at most 4 px apart."""
+    pairs = near_pairs(_positions(spark, sf_dir), ["run_id", "frame"], "det_id", 4.0)
+    return pairs.select(F.col("a").alias("det_id_a"), F.col("b").alias("det_id_b"))
+
+
+def p5_in_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections inside the region polygon of their run."""
+    rois = runs(spark, sf_dir).select("run_id", "roi")
+    return points_in_regions(_positions(spark, sf_dir), rois, ["run_id"], "det_id", "roi").select("run_id", "det_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_regular": p4_regular, "p5_found": p5_found, "p5_in_roi": p5_in_roi}
 SQL: dict[str, str] = {}
