@@ -68,7 +68,8 @@ def large_groups(df: DataFrame, groups: list[str], split_rows: int = SPLIT_ROWS)
 
 
 def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float], large: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
-    """``groups, n_rows, p, rank, value``: for each p the smallest value whose cumulative count reaches ``greatest(1, ceil(p * n))``.
+    """``groups, n_rows, p, rank, value``: for each p the smallest value whose cumulative count reaches ``greatest(1, ceil(p * n))``
+    (p * n rounded to 6 digits first, so 0.1 * 30 is 3).
 
     ``large`` names the groups to be cut into ``splits`` value ranges (see
     ``large_groups``). Empty input gives no rows; a group whose key has NULLs
@@ -97,7 +98,7 @@ def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float],
         )
         on = (F.col("_block") == F.col("_b_block")) & _same(groups, "_b_")
         summed = summed.join(blocks, on).withColumn("_cum", F.col("_cum") + F.col("_offset")).withColumn("_total", F.col("_all"))
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_total"))).cast("bigint").alias("rank")) for p in ps])
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(p)) * F.col("_total"), 6))).cast("bigint").alias("rank")) for p in ps])
     reached = F.filter(ranks, lambda r: (r["rank"] <= F.col("_cum")) & (r["rank"] > F.col("_cum") - F.col("n")))
     return (
         summed.select(*groups, "value", F.col("_total").alias("n_rows"), reached.alias("_hit"))

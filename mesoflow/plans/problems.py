@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mesoflow.operators.compaction import chunk_check, consolidate, merge_plan, superseded
 from mesoflow.operators.proximity import near_pairs, points_in_regions
+from mesoflow.operators.quantiles import combine, large_groups, percentiles_of_counts, value_counts
 from mesoflow.operators.regrid import one_per_slot, regular_grid
 from mesoflow.operators.spikes import Field, flag_readings
-from mesoflow.session import first_arrival, sized_broadcast, table
+from mesoflow.session import ensure_checkpoint_dir, first_arrival, sized_broadcast, table
 from mesoflow.sources.runs import runs, with_slots
 
 MASS = [Field("mass", positive=True, stuck=8, spike="ratio", times=6.0, width=16)]
@@ -29,6 +33,56 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of files that a later file of the run holds too."""
+    return superseded(merge_plan(table(spark, sf_dir, "chunk_files"))).select("file_id", "frame")
+
+
+def p2_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range metadata of the merged files, which are written to the shared folder."""
+    at = f"{ensure_checkpoint_dir(spark)}/merged-{uuid.uuid4().hex}"
+    return consolidate(table(spark, sf_dir, "chunk_files"), at)
+
+
+def p2_misfit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose merged count does not fit the tasks present."""
+    return chunk_check(table(spark, sf_dir, "job_meta"), table(spark, sf_dir, "chunk_files"))
+
+
+PS = [0.05, 0.25, 0.5, 0.75, 0.95]
+LEVELS = ["level", "video", "run_id", "frame"]
+
+
+def _levels(det: DataFrame) -> DataFrame:
+    """A detection counts for its video, its run and its frame; a frame belongs to one run of one video."""
+    rows = det.withColumn("level", F.explode(F.array(F.lit("video"), F.lit("run"), F.lit("frame")))).where("level <> 'frame' or frame is not null")
+    run = F.when(F.col("level") != "video", F.col("run_id"))
+    return rows.withColumn("run_id", run).withColumn("frame", F.when(F.col("level") == "frame", F.col("frame")))
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_arrival(table(spark, sf_dir, "detections"), "det_id", "arrived_at", ["video", "run_id", "frame", "mass"])
+
+
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    # a video is the largest group there is; counted before repeats are folded, so never too small
+    raw = table(spark, sf_dir, "detections")
+    return large_groups(_levels(raw), LEVELS)
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of mass per video, run and frame, exact (rank and value error 0)."""
+    counts = value_counts(_levels(_arrivals(spark, sf_dir)), LEVELS, "mass")
+    return percentiles_of_counts(counts, LEVELS, PS, _large(spark, sf_dir))
+
+
+def p3_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per video, from states kept per arrival day and combined; values within 0.5 %."""
+    det = _arrivals(spark, sf_dir).withColumn("day", F.to_date("arrived_at"))
+    days = value_counts(det, ["video"], "mass", relative_error=0.005, extra=["day"])
+    return percentiles_of_counts(combine(days, ["video"]), ["video"], PS)
+
+
 def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:
     meta = runs(spark, sf_dir)
     obs = with_slots(table(spark, sf_dir, "tracks").where(F.col("x_um").isNotNull() & ~F.isnan("x_um")), meta)
@@ -66,5 +120,62 @@ def p5_in_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_in_regions(_positions(spark, sf_dir), rois, ["run_id"], "det_id", "roi").select("run_id", "det_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_regular": p4_regular, "p5_found": p5_found, "p5_in_roi": p5_in_roi}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_consolidated": p2_consolidated,
+    "p2_misfit_runs": p2_misfit_runs,
+    "p3_percentiles": p3_percentiles,
+    "p3_by_day": p3_by_day,
+    "p4_found": p4_found,
+    "p4_regular": p4_regular,
+    "p5_found": p5_found,
+    "p5_in_roi": p5_in_roi,
+}
+
+_SLOTS = """
+m as (select run_id, frame_start, case when cast(json_extract_string(params, '$.dt') as double) > 0 then cast(json_extract_string(params, '$.dt') as double)
+  when fps > 0 then 1 / fps else 1.0 end as dt from job_meta),
+s as (select t.run_id, particle, obs_id, x_um, case when t is not null and not isnan(t) then abs(t / dt - floor(t / dt + 0.5)) else 0.0 end as off,
+  case when t is not null and not isnan(t) then cast(floor(t / dt + 0.5) as bigint) else cast(frame - frame_start as bigint) end as slot
+  from (select distinct run_id, particle, obs_id, x_um, t, frame from tracks) t join m on t.run_id = m.run_id where x_um is not null and not isnan(x_um)),
+r as (select run_id, particle, slot, x_um from (select *, row_number() over (partition by run_id, particle, slot order by off, obs_id) as k from s) where k = 1),
+e as (select run_id, particle, min(slot) as a, max(slot) as b from r group by 1, 2),
+g as (select run_id, particle, unnest(range(a, b + 1)) as slot from e)
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": """
+with k as (select distinct run_id, file_id, written_at, r.frame as frame from (select run_id, file_id, written_at, unnest(recs) as r from chunk_files)),
+n as (select *, row_number() over (partition by run_id, frame order by written_at desc, file_id desc) as pos from k)
+select file_id, frame from n where pos > 1""",
+    "p2_misfit_runs": """
+with t as (select run_id, count(distinct task) as tasks_present from chunk_files where task is not null group by 1)
+select m.run_id, n_chunks, n_chunks_merged, coalesce(tasks_present, 0) as tasks_present, n_chunks - coalesce(tasks_present, 0) as tasks_missing
+from job_meta m left join t on m.run_id = t.run_id where n_chunks is not null and n_chunks_merged is distinct from coalesce(tasks_present, 0)""",
+    "p3_percentiles": """
+with d as (select * from (select *, row_number() over (partition by det_id order by arrived_at) as k from detections where det_id is not null) where k = 1 and mass is not null and not isnan(mass)),
+l as (select 'video' as level, video, cast(null as varchar) as run_id, cast(null as int) as frame, cast(mass as double) as mass from d
+  union all select 'run', video, run_id, null, cast(mass as double) from d
+  union all select 'frame', video, run_id, frame, cast(mass as double) from d where frame is not null),
+o as (select *, count(*) over (partition by level, video, run_id, frame) as n_rows, row_number() over (partition by level, video, run_id, frame order by mass) as pos from l),
+p as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) as p)
+select level, video, run_id, frame, n_rows, p, pos as rank, mass as value from o, p where pos = greatest(1, ceil(round(p * n_rows, 6)))""",
+    "p4_found": f"with {_SLOTS} select g.run_id, g.particle, g.slot from g anti join r using (run_id, particle, slot)",
+    "p4_regular": f"""
+with {_SLOTS},
+a as (select g.run_id, g.particle, g.slot, r.x_um, r.slot as here,
+  max(r.slot) over (partition by g.run_id, g.particle order by g.slot) as lo,
+  min(r.slot) over (partition by g.run_id, g.particle order by g.slot desc) as hi
+  from g left join r on g.run_id = r.run_id and g.particle = r.particle and g.slot = r.slot),
+f as (select a.*, l.x_um as xl, h.x_um as xh from a join r l on l.run_id = a.run_id and l.particle = a.particle and l.slot = a.lo
+  join r h on h.run_id = a.run_id and h.particle = a.particle and h.slot = a.hi)
+select run_id, particle, slot, here is not null as is_reading,
+  case when here is not null then round(x_um, 6) when hi - lo <= 10 then round(xl * (1 - (slot - lo) / (hi - lo)) + xh * ((slot - lo) / (hi - lo)), 6) end as x_um,
+  here is null and hi - lo > 10 as is_missing from f""",
+    "p5_found": """
+with d as (select distinct det_id, run_id, frame, cast(x as double) as x, cast(y as double) as y from detections
+  where frame is not null and x is not null and y is not null and not isnan(x) and not isnan(y) and det_id is not null)
+select a.det_id as det_id_a, b.det_id as det_id_b from d a join d b on a.run_id = b.run_id and a.frame = b.frame and a.det_id < b.det_id
+where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16""",
+}
