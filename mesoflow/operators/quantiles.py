@@ -15,6 +15,7 @@ which task sorts what; the result does not depend on them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,13 +68,12 @@ def large_groups(df: DataFrame, groups: list[str], split_rows: int = SPLIT_ROWS)
     return None if large.isEmpty() else large
 
 
-def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float], large: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
-    """``groups, n_rows, p, rank, value``: for each p the smallest value whose cumulative count reaches ``greatest(1, ceil(p * n))``
-    (p * n rounded to 6 digits first, so 0.1 * 30 is 3).
+def pick_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], list[Column]], large: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
+    """``groups, n_rows, hit, value``: the first values whose cumulative counts reach given ranks.
 
-    ``large`` names the groups to be cut into ``splits`` value ranges (see
-    ``large_groups``). Empty input gives no rows; a group whose key has NULLs
-    is a group like any other.
+    ``ranks`` makes, from a group's row count, structs that have a BIGINT field
+    ``rank``; each comes back as ``hit``. ``large`` names the groups to be
+    cut into ``splits`` value ranges (see ``large_groups``).
     """
     keyed, block = counts, F.lit(0)
     if large is not None:
@@ -98,14 +98,22 @@ def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float],
         )
         on = (F.col("_block") == F.col("_b_block")) & _same(groups, "_b_")
         summed = summed.join(blocks, on).withColumn("_cum", F.col("_cum") + F.col("_offset")).withColumn("_total", F.col("_all"))
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(p)) * F.col("_total"), 6))).cast("bigint").alias("rank")) for p in ps])
-    reached = F.filter(ranks, lambda r: (r["rank"] <= F.col("_cum")) & (r["rank"] > F.col("_cum") - F.col("n")))
-    return (
-        summed.select(*groups, "value", F.col("_total").alias("n_rows"), reached.alias("_hit"))
-        .where(F.size("_hit") > 0)
-        .select(*groups, "n_rows", F.explode("_hit").alias("_r"), "value")
-        .select(*groups, "n_rows", F.col("_r.p").alias("p"), F.col("_r.rank").alias("rank"), "value")
-    )
+    reached = F.filter(F.array(*ranks(F.col("_total"))), lambda r: (r["rank"] <= F.col("_cum")) & (r["rank"] > F.col("_cum") - F.col("n")))
+    hit = summed.select(*groups, "value", F.col("_total").alias("n_rows"), reached.alias("_hit")).where(F.size("_hit") > 0)
+    return hit.select(*groups, "n_rows", F.explode("_hit").alias("hit"), "value")
+
+
+def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float], large: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
+    """``groups, n_rows, p, rank, value``: for each p the smallest value whose cumulative count reaches ``greatest(1, ceil(p * n))``.
+
+    p * n is rounded to 6 digits first, so 0.1 * 30 is 3. Empty input gives no
+    rows; a group whose key has NULLs is a group like any other.
+    """
+
+    def ranks(n: Column) -> list[Column]:
+        return [F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(p)) * n, 6))).cast("bigint").alias("rank")) for p in ps]
+
+    return pick_ranks(counts, groups, ranks, large, splits).select(*groups, "n_rows", F.col("hit.p").alias("p"), F.col("hit.rank").alias("rank"), "value")
 
 
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[float], relative_error: float = 0.0, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -113,11 +121,28 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[flo
     return percentiles_of_counts(value_counts(df, groups, value, relative_error), groups, ps, large_groups(df, groups, split_rows))
 
 
+def linear_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``groups, n_rows`` and a column per name: percentiles interpolated between the two nearest ranks, as numpy's default has them."""
+
+    def ranks(n: Column) -> list[Column]:
+        out = []
+        for name, p in ps.items():
+            at = F.lit(float(p)) * (n - 1)
+            for side, r in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+                out.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (at - F.floor(at)).alias("share"), (r + 1).cast("bigint").alias("rank")))
+        return out
+
+    hit = pick_ranks(value_counts(df, groups, value), groups, ranks, large_groups(df, groups, split_rows))
+    of = lambda name, side, c: F.max(F.when((F.col("hit.name") == name) & (F.col("hit.side") == side), F.col(c)))
+    mixed = [(of(n, "lo", "value") + (of(n, "hi", "value") - of(n, "lo", "value")) * of(n, "lo", "hit.share")).alias(n) for n in ps]
+    return hit.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *mixed)
+
+
 def exact_medians(df: DataFrame, groups: list[str], value: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``groups, n_rows, median``: the mean of the two middle values, as numpy has it."""
-    counts, large = value_counts(df, groups, value), large_groups(df, groups, split_rows)
-    # the lower middle is the first value at rank ceil(n/2); the upper one is that of the counts in descending order
-    low = percentiles_of_counts(counts, groups, [0.5], large).select(*groups, "n_rows", F.col("value").alias("_lo"))
-    down = percentiles_of_counts(counts.withColumn("value", -F.col("value")), groups, [0.5], large)
-    high = down.select(*[F.col(g).alias(f"_m_{g}") for g in groups], (-F.col("value")).alias("_hi"))
-    return low.join(high, _same(groups, "_m_")).select(*groups, "n_rows", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+
+    def ranks(n: Column) -> list[Column]:
+        return [F.struct(r.cast("bigint").alias("rank"), F.lit(i).alias("side")) for i, r in enumerate((F.ceil(n / 2), F.floor(n / 2) + 1))]
+
+    hit = pick_ranks(value_counts(df, groups, value), groups, ranks, large_groups(df, groups, split_rows))
+    return hit.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), (F.sum("value") / 2).alias("median"))
