@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mesoflow.plans import problems
+from mesoflow.plans import detection_queries, problems
 
-MODULES = [problems]
+MODULES = [detection_queries, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
