@@ -10,9 +10,11 @@ too much (AQE skew join). The last step is the exact distance or ray cast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mesoflow.session import ensure_checkpoint_dir
+
 #: log2 of the cells along a tile's side.
 TILE_BITS = 3
 #: Cells are numbered from -2^20 to 2^20 in both directions, which 42 bits of code hold.
@@ -47,20 +49,18 @@ def usable(points: DataFrame, cols: list[str]) -> DataFrame:
     return points.where(keep)
 
 
-def near_pairs(points: DataFrame, groups: list[str], rec: str, radius: float) -> DataFrame:
-    """``groups, a, b, dist2`` with a < b: points of one group at a distance of at most ``radius``.
+def _near(queries: DataFrame, points: DataFrame, groups: list[str], rec: str, radius: float, wanted: Column) -> DataFrame:
+    """``groups, a, b, dist2`` of queries a and points b of one group within ``radius`` for which ``wanted`` holds."""
+
+    def cells(df: DataFrame) -> DataFrame:
+        p = usable(df.select(*groups, rec, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [*groups, rec])
+        return p.withColumn("_cx", _cells("x", radius)).withColumn("_cy", _cells("y", radius))
 
-    ``points`` has ``groups, rec, x, y`` and one row per ``rec``; rows with a
-    NULL group or ``rec``, or NULL, NaN or infinite x or y have no pairs. The distance is
-    computed in double. Points at the same place are pairs with distance 0.
-    """
-    p = usable(points.select(*groups, rec, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [*groups, rec])
-    p = p.withColumn("_cx", _cells("x", radius)).withColumn("_cy", _cells("y", radius))
     code, n = cell_code(F.col("_cx"), F.col("_cy")), 1 << TILE_BITS
-    right = p.select(*groups, F.shiftright(code, 2 * TILE_BITS).alias("_tile"), code.alias("_code"), F.col(rec).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    right = cells(points).select(*groups, F.shiftright(code, 2 * TILE_BITS).alias("_tile"), code.alias("_code"), F.col(rec).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     # the disc lies in the square of 3 x 3 cells around its centre; of each tile (mostly one) that the square
     # touches, the codes of the common part lie between those of its lower left and upper right cell
-    left = p
+    left = cells(queries)
     for axis in ("x", "y"):
         c = F.col(f"_c{axis}")
         left = left.withColumn(f"_t{axis}", F.explode(F.sequence(F.shiftright(c - 1, TILE_BITS), F.shiftright(c + 1, TILE_BITS))))
@@ -68,11 +68,51 @@ def near_pairs(points: DataFrame, groups: list[str], rec: str, radius: float) ->
     lo, hi = corner(F.greatest, -1, 0), corner(F.least, 1, n - 1)
     left = left.select(*groups, F.shiftright(lo, 2 * TILE_BITS).alias("_tile"), lo.alias("_lo"), hi.alias("_hi"), F.col(rec).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    near = (F.col("a") < F.col("b")) & F.col("_code").between(F.col("_lo"), F.col("_hi")) & (d2 <= radius * radius)
+    near = wanted & F.col("_code").between(F.col("_lo"), F.col("_hi")) & (d2 <= radius * radius)
     joined = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*groups, "_tile"]] + [near])
     return joined.select(*[F.col(f"l.{g}").alias(g) for g in groups], "a", "b", d2.alias("dist2"))
 
 
+def near_pairs(points: DataFrame, groups: list[str], rec: str, radius: float) -> DataFrame:
+    """``groups, a, b, dist2`` with a < b: points of one group at a distance of at most ``radius``.
+
+    ``points`` has ``groups, rec, x, y`` and one row per ``rec``; rows with a
+    NULL group or ``rec``, or NULL, NaN or infinite x or y have no pairs. The distance is
+    computed in double. Points at the same place are pairs with distance 0.
+    """
+    return _near(points, points, groups, rec, radius, F.col("a") < F.col("b"))
+
+
+def nearest(points: DataFrame, groups: list[str], rec: str, k: int, radius: float) -> DataFrame:
+    """``groups, a, b, dist2, rank``: the ``k`` nearest other points of each point in its group (fewer in a smaller group), ties by ``b``.
+
+    Discs of ``radius`` are searched first; points that find fewer than ``k``
+    others go on with twice the radius, until none is left. Each round is
+    checkpointed, so no round is computed twice.
+    """
+    spark = points.sparkSession
+    ensure_checkpoint_dir(spark)
+    p = usable(points.select(*groups, rec, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [*groups, rec]).checkpoint()
+    sizes = p.groupBy(*groups).agg(F.least(F.count(F.lit(1)) - 1, F.lit(k)).alias("_need"))
+    todo, found = p.join(sizes, groups).where("_need > 0"), []
+    order = Window.partitionBy(*groups, "a").orderBy("dist2", "b")
+    for _ in range(64):
+        pairs = _near(todo, p, groups, rec, radius, F.col("a") != F.col("b"))
+        top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        need = todo.select(*groups, F.col(rec).alias("a"), "_need")
+        enough = top.join(need, [*groups, "a"]).withColumn("_has", F.max("rank").over(Window.partitionBy(*groups, "a"))).where("_has >= _need")
+        done = enough.select(*groups, "a", "b", "dist2", "rank").checkpoint()
+        found.append(done)
+        todo = todo.join(done.select(*groups, F.col("a").alias(rec)).distinct(), [*groups, rec], "left_anti").checkpoint()
+        if todo.isEmpty():
+            break
+        radius *= 2
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def inside_polygon(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd ray cast over an array of [x, y]; NULL for a NULL ring, false for fewer than 3 vertices."""
     n = F.size(ring)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mesoflow.plans import detection_queries, problems
+from mesoflow.plans import detection_queries, problems, track_queries
 
-MODULES = [detection_queries, problems]
+MODULES = [track_queries, detection_queries, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_found(spark, sf_dir)
+    return track_queries.msd(spark, sf_dir)
