@@ -16,6 +16,7 @@ from mesoflow.operators.geometry import components, delaunay
 from mesoflow.operators.groupmap import map_groups
 from mesoflow.operators.proximity import near_pairs
 from mesoflow.operators.quantiles import exact_medians
+from mesoflow.session import ensure_checkpoint_dir
 
 FRAME = ["run_id", "frame"]
 
@@ -100,15 +101,17 @@ def dbscan(points: DataFrame, rec: str, eps: float, least: int) -> DataFrame:
     A point with at least ``least`` points within ``eps``, itself counted, is a core
     point; cores within ``eps`` of each other are one cluster, named by its smallest core;
     another point joins the cluster of least name among its core neighbours.
+    The pairs and counts are read several times and so are checkpointed.
     """
-    p = near_pairs(points, FRAME, rec, eps)
+    ensure_checkpoint_dir(points.sparkSession)
+    p = near_pairs(points, FRAME, rec, eps).select(*FRAME, "a", "b").checkpoint()
     both = p.select(*FRAME, F.col("a").alias("i"), F.col("b").alias("j")).unionByName(p.select(*FRAME, F.col("b").alias("i"), F.col("a").alias("j")))
     n = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("_n"))
-    all_ = points.select(*FRAME, F.col(rec).alias("i")).join(n, "i", "left").fillna(1, ["_n"])
+    all_ = points.select(*FRAME, F.col(rec).alias("i")).join(n, "i", "left").fillna(1, ["_n"]).checkpoint()
     core = all_.where(F.col("_n") >= least)
     ids = core.select("i")
     links = both.where("i < j").join(ids, "i", "left_semi").join(ids.withColumnRenamed("i", "j"), "j", "left_semi").select(*FRAME, "i", "j")
-    named = link_components(links.unionByName(core.select(*FRAME, "i", F.col("i").alias("j"))), FRAME).select(F.col("node").alias("i"), "component")
+    named = link_components(links.unionByName(core.select(*FRAME, "i", F.col("i").alias("j"))), FRAME).select(F.col("node").alias("i"), "component").checkpoint()
     border = both.join(ids, "i", "left_anti").join(named.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("component").alias("component"))
     label = named.unionByName(border)
     return all_.join(label, "i", "left").select(*FRAME, F.col("i").alias(rec), F.coalesce("component", F.lit(-1)).alias("cluster"))
@@ -141,14 +144,15 @@ def boundaries(pairs: DataFrame, eps: float = 76.0, least: int = 3, min_aspect:
     ``run_id, frame, gb, i5, x, y, s, h``. ``gb`` is the cluster's smallest pair id. A cluster rounder
     than ``min_aspect`` is none. Low-angle (LAGB) if the mean known misorientation (0 if none is known) is below ``max_angle``.
     """
-    p = pairs.withColumn("pair_id", F.xxhash64("i5", "i7").bitwiseAND(F.lit((1 << 62) - 1)))
+    ensure_checkpoint_dir(pairs.sparkSession)
+    p = pairs.withColumn("pair_id", F.xxhash64("i5", "i7").bitwiseAND(F.lit((1 << 62) - 1))).checkpoint()
     c = dbscan(p, "pair_id", eps, least).where("cluster <> -1").select("pair_id", F.col("cluster").alias("gb"))
     keys = [*FRAME, "gb"]
-    m = p.join(c, "pair_id")
+    m = p.join(c, "pair_id").checkpoint()
     lines = line_fit(m, keys).where((F.col("aspect") >= min_aspect) & (F.col("n") >= least))
-    placed = along_line(m, lines, keys)
+    placed = along_line(m, lines, keys).checkpoint()
     ends = placed.groupBy(*keys).agg(F.min("s").alias("_s0"), F.max("s").alias("_s1"), F.coalesce(F.avg("misorientation_deg"), F.lit(0.0)).alias("misorientation_deg"))
-    b = lines.join(ends, keys)
+    b = lines.join(ends, keys).checkpoint()
     at = lambda c, u, s: F.col(c) + F.col(s) * F.col(u)
     b = b.select(*keys, F.when(F.col("misorientation_deg") < max_angle, "LAGB").otherwise("HAGB").alias("kind"), "n", "aspect", "misorientation_deg", "cx", "cy", "ux", "uy", at("cx", "ux", "_s0").alias("x1"), at("cy", "uy", "_s0").alias("y1"), at("cx", "ux", "_s1").alias("x2"), at("cy", "uy", "_s1").alias("y2"))
     return b, placed.select(*keys, "i5", "x", "y", "s", "h")

@@ -86,7 +86,7 @@ def boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 def band_misorientation(spark: SparkSession, d: str) -> DataFrame:
     p, b, m = _lines(spark, d)
-    b = b.join(nn_spacing(_points(spark, d), "det_id").select("run_id", "spacing"), "run_id")
+    b = b.join(nn_spacing(_points(spark, d), "det_id").select("run_id", "spacing"), "run_id").checkpoint()
     return S.band_misorientation(b, m, p, F.col("spacing"))
 
 
@@ -95,6 +95,7 @@ def _identities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     _, b, m = _lines(spark, d)
     space = nn_spacing(_points(spark, d), "det_id").select("run_id", "spacing").checkpoint()
     m = S.trim_members(m.join(space, "run_id"), 2 * F.col("spacing")).drop("spacing")
+    m = m.checkpoint()
     keyed = m.join(b.select("run_id", "frame", "gb", "misorientation_deg", (F.col("kind") == "LAGB").alias("low")), ["run_id", "frame", "gb"])
     return L.track_boundaries(keyed, "i5", merge_gap=100.0).checkpoint(), space
 
@@ -107,7 +108,7 @@ def boundary_tracks(spark: SparkSession, d: str) -> DataFrame:
 def lagb_statistics(spark: SparkSession, d: str) -> DataFrame:
     t, space = _identities(spark, d)
     t = B.lasting(t, 5).checkpoint()
-    s = B.boundary_summary(t, space)
+    s = B.boundary_summary(t, space).checkpoint()
     eta = B.peak_exponents(B.structure_factor(t, s, 400), s).groupBy("run_id", "gb_id").agg(*[F.max(F.when(F.col("m") == k, F.col("eta"))).alias(f"eta_{k}") for k in (1, 2, 3)])
     return s.join(eta, ["run_id", "gb_id"], "left")
 
@@ -115,7 +116,7 @@ def lagb_statistics(spark: SparkSession, d: str) -> DataFrame:
 def lagb_fluctuations(spark: SparkSession, d: str) -> DataFrame:
     t, space = _identities(spark, d)
     t = B.lasting(t, 5).checkpoint()
-    return B.fluctuations(t, B.boundary_summary(t, space))
+    return B.fluctuations(t, B.boundary_summary(t, space).checkpoint())
 
 
 def _spins(spark: SparkSession, d: str) -> DataFrame:
