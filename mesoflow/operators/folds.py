@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mesoflow.operators.arrowgroups import whole_groups
 from mesoflow.operators.geometry import close_pairs, fit_line, greedy_by_weight
-from mesoflow.operators.groupmap import map_groups
+from mesoflow.operators.groupmap import map_groups, spread
 
 
 def fold_frames(df: DataFrame, key: str, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
@@ -44,7 +44,7 @@ def fold_frames(df: DataFrame, key: str, order: list[str], begin: Callable[[], d
                 arrays += [pa.array(np.concatenate([np.asarray(m[n]) for _, m in out]), arrow[k], from_pandas=True) for n, k in fields]
                 yield pa.RecordBatch.from_arrays(arrays, [key, "frame", *[n for n, _ in fields]])
 
-    return df.repartition(key).sortWithinPartitions(key, "frame", *order).mapInArrow(run, full)
+    return spread(df, [key]).sortWithinPartitions(key, "frame", *order).mapInArrow(run, full)
 
 
 def new_links() -> dict:

@@ -12,6 +12,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: PLC270
 from mesoflow.operators.arrowgroups import whole_groups
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by ``keys`` over all shuffle partitions: kernels are heavy for their bytes, so small partitions must not be joined up."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def map_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
     """``keys`` plus the kernel's columns (``schema``) for every group.
 
@@ -54,4 +59,4 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callabl
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     layout = _parse_datatype_string(full).jsonValue()
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+    return spread(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)

@@ -1,0 +1,39 @@
+"""Image operators over images that Spark renders from the detections, one per run and frame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mesoflow.operators import imaging as I
+from mesoflow.operators.proximity import near_pairs
+from mesoflow.plans.base import detections, with_run
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return I.render_frames(with_run(detections(spark, d), spark, d, "w", "h").where("w > 0 and h > 0"))
+
+
+def detect_frames(spark: SparkSession, d: str) -> DataFrame:
+    return I.detect_frames(_frames(spark, d), I.Detect(diameter=13, separation=9, minmass=500.0, percentile=64.0, llong=25))
+
+
+def detection_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of rendered points that detection finds within 2 px, per run."""
+    points = detections(spark, d).select("run_id", "frame", (F.col("det_id") * 2).alias("id"), "x", "y")
+    found = detect_frames(spark, d).select("run_id", "frame", (F.monotonically_increasing_id() * 2 + 1).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    hit = near_pairs(points.unionByName(found), ["run_id", "frame"], "id", 2.0).where(F.pmod("a", F.lit(2)) != F.pmod("b", F.lit(2)))
+    hit = hit.select(F.when(F.pmod("a", F.lit(2)) == 0, F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    return points.join(hit.withColumn("hit", F.lit(1)), "id", "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+def image_drift(spark: SparkSession, d: str) -> DataFrame:
+    return I.frame_shifts(_frames(spark, d))
+
+
+def pixel_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return I.pixel_stats(I.pixel_table(_frames(spark, d), 8))
+
+
+QUERIES = {"detect_frames": detect_frames, "detection_recall": detection_recall, "image_drift": image_drift, "pixel_statistics": pixel_statistics}
+SQL: dict[str, str] = {}
