@@ -28,14 +28,17 @@ def regular_grid(readings: DataFrame, source: list[str], slot: str, value: str,
     """``source, slot, is_reading, value, filled, prev_slot, next_slot`` for each slot from a source's first to its last reading.
 
     ``readings`` has at most one usable reading per source and slot (see
-    ``one_per_slot``); rows with a NULL slot or a NULL or NaN value count as
-    not there. ``filled`` is ``value`` at a reading, else the time-weighted mean of
+    ``one_per_slot``); rows with a NULL slot or source or a NULL or NaN value
+    count as not there. ``filled`` is ``value`` at a reading, else the time-weighted mean of
     the neighbours on both sides if they are at most ``gap_limit`` slots apart
     (None: no limit), else NULL: the slot is marked missing. A source with one
     reading has one row. Infinite neighbours give what their arithmetic gives.
     """
     v = F.col(value).cast("double")
-    r = readings.where(F.col(slot).isNotNull() & F.col(value).isNotNull() & ~F.isnan(v))
+    there = F.col(slot).isNotNull() & F.col(value).isNotNull() & ~F.isnan(v)
+    for c in source:
+        there = there & F.col(c).isNotNull()
+    r = readings.where(there)
     r = r.select(*source, F.col(slot).cast("bigint").alias("slot"), v.alias("x")).withColumn("_block", F.floor(F.col("slot") / block).cast("bigint"))
     ends = r.groupBy(*source).agg(F.min("slot").alias("_first"), F.max("slot").alias("_last"))
     # the grid: blocks first, then their slots, so that no row ever holds a whole long source

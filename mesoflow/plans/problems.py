@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "detections")
     det = first_arrival(raw, "det_id", "arrived_at", ["run_id", "mass"])
     masses = flag_readings(det, ["run_id"], ["det_id"], "det_id", MASS, extent_of=raw.where("det_id is not null"))
-    tracks, meta = table(spark, sf_dir, "tracks"), runs(spark, sf_dir)
+    tracks, meta = table(spark, sf_dir, "tracks").select("obs_id", "run_id", "particle", "frame", "x_px", "y_px", "t", "arrived_at"), runs(spark, sf_dir)
     sizes = sized_broadcast(meta.select(F.col("run_id").alias("_run"), "w", "h"))
     obs = first_arrival(tracks, "obs_id", "arrived_at", ["run_id", "particle", "frame", "x_px", "y_px", "t"])
     obs = with_slots(obs, meta).join(sizes, F.col("run_id") == F.col("_run"), "left")
@@ -85,7 +85,8 @@ def p3_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:
     meta = runs(spark, sf_dir)
-    obs = with_slots(table(spark, sf_dir, "tracks").where(F.col("x_um").isNotNull() & ~F.isnan("x_um")), meta)
+    readings = table(spark, sf_dir, "tracks").select("obs_id", "run_id", "particle", "frame", "t", "x_um")
+    obs = with_slots(readings.where(F.col("x_um").isNotNull() & ~F.isnan("x_um")), meta)
     # of several readings in a slot the one nearest to the slot's time stands for it; a reading without t is taken to be on time
     dt = sized_broadcast(meta.select(F.col("run_id").alias("_run"), "dt"))
     obs = obs.join(dt, F.col("run_id") == F.col("_run"), "left").withColumn("_off", F.coalesce(F.abs(F.nanvl(F.col("t"), F.lit(None).cast("double")) / F.coalesce("dt", F.lit(1.0)) - F.col("slot")), F.lit(0.0)))
