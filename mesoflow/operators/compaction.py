@@ -29,10 +29,10 @@ _MERGED = "run_id string, frame int, written_us bigint, file_id bigint, n bigint
 def key_blocks(files: DataFrame) -> DataFrame:
     """``run_id, frame, written_us, file_id, n``: the key blocks of each file, as its footer would list them.
 
-    Files without records (empty or NULL ``recs``) have none. A NULL frame is a
+    Files without records (empty or NULL ``recs``), and files without an id, have none. A NULL frame is a
     key like any other and sorts first.
     """
-    frames = files.select("run_id", F.unix_micros("written_at").alias("written_us"), "file_id", F.explode("recs.frame").alias("frame"))
+    frames = files.where(F.col("file_id").isNotNull()).select("run_id", F.unix_micros("written_at").alias("written_us"), "file_id", F.explode("recs.frame").alias("frame"))
     return frames.groupBy("run_id", "frame", "written_us", "file_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -79,6 +79,27 @@ def longest_run(df: DataFrame, keys: list[str], order: str, flag: Column) -> Dat
     return best.select(*keys, "_b.first", "_b.last", "_b.n")
 
 
+def progress_rate(df: DataFrame, keys: list[str], t: str, done: str, total: Column, seconds: int = 20) -> DataFrame:
+    """Adds ``rate`` (units a second over the last ``seconds``) and ``eta`` (seconds left at that rate, never above an earlier finish by the clock).
+
+    NULL where nothing was done in the window.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(t)).rangeBetween(-seconds, 0)
+    past = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    span = F.col(t) - F.min(t).over(w)
+    r = df.withColumn("rate", F.when(span > 0, (F.col(done) - F.min(done).over(w)) / span))
+    finish = F.when(F.col("rate") > 0, F.col(t) + (total - F.col(done)) / F.col("rate"))
+    return r.withColumn("_end", finish).withColumn("eta", F.greatest(F.lit(0.0), F.min("_end").over(past) - F.col(t))).drop("_end")
+
+
+def active_share(df: DataFrame, keys: list[str], value: str, times: float = 3.0) -> DataFrame:
+    """``keys, share``: rows whose value is above ``times`` the 20th percentile of their group."""
+    from mesoflow.operators.quantiles import linear_percentiles
+
+    cut = linear_percentiles(df, keys, value, {"_q": 0.2}).drop("n_rows")
+    return df.join(cut, keys).groupBy(*keys).agg(F.avg((F.col(value) > times * F.col("_q")).cast("double")).alias("share"))
+
+
 def wigner(s: Column, beta: int) -> Column:
     """Level-spacing density at spacing ``s`` for the ensembles of Dyson index 0, 1, 2 and 4; other indices are an error."""
     pi = float(np.pi)

@@ -140,6 +140,18 @@ def stokes_einstein(d_um2: Column, temperature: float = 298.0, viscosity: float
     return F.lit(K_B * temperature / (6 * np.pi * viscosity) * 1e18) / d_um2
 
 
+def boltzmann_estimate(d_um2: Column, radius_um: float, temperature: float = 298.0, viscosity: float = 1e-3) -> Column:
+    """Boltzmann's constant from a diffusion constant and a known radius: 6 pi eta a D / T."""
+    return d_um2 * F.lit(6 * np.pi * viscosity * radius_um * 1e-18 / temperature)
+
+
+def frame_step(t: DataFrame) -> DataFrame:
+    """``run_id, dt``: median difference between the median times (``t``) of consecutive present frames."""
+    mid = exact_medians(t.select("run_id", "frame", "t"), ["run_id", "frame"], "t").select("run_id", "frame", F.col("median").alias("_t"))
+    gap = mid.withColumn("_d", F.col("_t") - F.lag("_t").over(Window.partitionBy("run_id").orderBy("frame"))).where("_d is not null")
+    return exact_medians(gap, ["run_id"], "_d").select("run_id", F.col("median").alias("dt"))
+
+
 def affine_step(t: DataFrame, dt: Column, least: int = 20) -> DataFrame:
     """``run_id, frame, next_frame, n, a_x, b_x, c_x, a_y, b_y, c_y``: velocity field v = a + b x + c y between a frame and the next present one.
 

@@ -35,5 +35,12 @@ def pixel_statistics(spark: SparkSession, d: str) -> DataFrame:
     return I.pixel_stats(I.pixel_table(_frames(spark, d), 8))
 
 
-QUERIES = {"detect_frames": detect_frames, "detection_recall": detection_recall, "image_drift": image_drift, "pixel_statistics": pixel_statistics}
+def sweep_percentile(spark: SparkSession, d: str) -> DataFrame:
+    """Spots found per run for percentiles 40 to 95."""
+    base = I.Detect(diameter=13, separation=9, minmass=500.0, llong=25)
+    s = I.sweep_detect(_frames(spark, d), base, "percentile", [40.0, 58.0, 77.0, 95.0])
+    return s.groupBy("run_id", "value").agg(F.sum("n").alias("n"))
+
+
+QUERIES = {"detect_frames": detect_frames, "detection_recall": detection_recall, "image_drift": image_drift, "pixel_statistics": pixel_statistics, "sweep_percentile": sweep_percentile}
 SQL: dict[str, str] = {}

@@ -174,6 +174,13 @@ f as (select a.*, l.x_um as xl, h.x_um as xh from a join r l on l.run_id = a.run
 select run_id, particle, slot, here is not null as is_reading,
   case when here is not null then round(x_um, 6) when hi - lo <= 10 then round(xl * (1 - (slot - lo) / (hi - lo)) + xh * ((slot - lo) / (hi - lo)), 6) end as x_um,
   here is null and hi - lo > 10 as is_missing from f""",
+    "p5_in_roi": """
+with d as (select * from (select *, row_number() over (partition by det_id order by arrived_at) as k from detections where det_id is not null) where k = 1 and isfinite(x) and isfinite(y)),
+r as (select run_id, cast(json_extract(params, '$.roi_polygon') as double[][]) as ring from job_meta where json_extract(params, '$.roi_polygon') is not null),
+v as (select run_id, len(ring) as n, unnest(range(1, len(ring) + 1)) as i, ring from r where len(ring) >= 3),
+e as (select run_id, ring[i][1] as ax, ring[i][2] as ay, ring[case when i = n then 1 else i + 1 end][1] as bx, ring[case when i = n then 1 else i + 1 end][2] as b_y from v)
+select d.run_id, det_id from d join e on d.run_id = e.run_id where (ay > y) <> (b_y > y) and x < (bx - ax) * (y - ay) / (b_y - ay) + ax
+group by 1, 2 having count(*) % 2 = 1""",
     "p5_found": """
 with d as (select distinct det_id, run_id, frame, cast(x as double) as x, cast(y as double) as y from detections
   where frame is not null and x is not null and y is not null and not isnan(x) and not isnan(y) and det_id is not null)

@@ -119,6 +119,25 @@ def lagb_fluctuations(spark: SparkSession, d: str) -> DataFrame:
     return B.fluctuations(t, B.boundary_summary(t, space).checkpoint())
 
 
+def overlay_segments(spark: SparkSession, d: str) -> DataFrame:
+    """What an overlay would draw, as rows: bonds, dislocation pairs and boundary lines of each frame."""
+    p, b, _ = _lines(spark, d)
+    at = lambda c, k: p.select(F.col("det_id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    seg = ["run_id", "frame", "x1", "y1", "x2", "y2"]
+    bonds = delaunay_edges(spark, d).join(at("i", 1), "i").join(at("j", 2), "j").select(*seg, F.lit("bond").alias("kind"))
+    pairs = S.pairs57(p, delaunay_edges(spark, d), "det_id", 96.0).select("run_id", "frame", "i5", "i7").join(at("i5", 1), "i5").join(at("i7", 2), "i7").select(*seg, F.lit("pair57").alias("kind"))
+    return bonds.unionByName(pairs).unionByName(b.select(*seg, "kind"))
+
+
+def boundary_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The five longest boundaries of each frame (a top-k report)."""
+    from pyspark.sql import Window
+
+    b = _lines(spark, d)[1].withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    k = F.row_number().over(Window.partitionBy("run_id", "frame").orderBy(F.col("length").desc(), "gb"))
+    return b.withColumn("label", k).where("label <= 5").select("run_id", "frame", "gb", "label", "kind", "length", "misorientation_deg")
+
+
 def _spins(spark: SparkSession, d: str) -> DataFrame:
     """Bright or faint against the run's median mass."""
     from mesoflow.operators.quantiles import exact_medians
@@ -159,7 +178,7 @@ def dedupe_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """delaunay_edges coordination psi6 pairs57 defect_series pair_count_series g6_hist grain_components dbscan_labels boundaries band_misorientation
-boundary_tracks lagb_statistics lagb_fluctuations bond_length_filter bond_asymmetry frustrated_bonds link_nn affine_full nms_separation dedupe_points""".split()
+boundary_tracks lagb_statistics lagb_fluctuations bond_length_filter bond_asymmetry frustrated_bonds overlay_segments boundary_labels link_nn affine_full nms_separation dedupe_points""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 SQL = {

@@ -9,7 +9,9 @@ from mesoflow.operators import correlation as C
 from mesoflow.operators import series as R
 from mesoflow.operators import track_stats as K
 from mesoflow.operators.detect_stats import histogram
-from mesoflow.plans.base import D_SQL, M_SQL, T_SQL, detections, tracks, with_run
+from mesoflow.plans.detection_queries import _hist
+from mesoflow.plans.base import D_SQL, M_SQL, T_SQL, detections, finite, tracks, with_run
+from mesoflow.session import first_arrival, table
 
 LAGS = 20
 
@@ -145,6 +147,12 @@ def stretched_exp_fit(spark: SparkSession, d: str) -> DataFrame:
     return map_groups(a, ["run_id"], ["t"], one, "c0 double, tau double, beta double, rms double")
 
 
+def frame_step(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds between frames as the readings' own times have them."""
+    t = first_arrival(table(spark, d, "tracks"), "obs_id", "arrived_at", ["run_id", "frame", "t"])
+    return K.frame_step(t.where(F.col("frame").isNotNull() & finite("t"))).withColumn("dt", F.round("dt", 9))
+
+
 def moving_average(spark: SparkSession, d: str) -> DataFrame:
     n = detections(spark, d).groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n"))
     return R.moving_average(n, ["run_id"], "frame", "n", 3).withColumn("smooth", F.round("smooth", 6))
@@ -185,7 +193,7 @@ def spacing_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """track_counts track_length_filter track_length_hist run_summary flag_events quality_gate track_steps auto_max_step auto_min_length displacement_arrows
-mutual_nn msd msd_slopes diffusion_fit affine_step cage_relative nn_spacing local_order_proxy spin_flips spin_median3 autocorrelation stretched_exp_fit moving_average
+mutual_nn msd msd_slopes diffusion_fit affine_step cage_relative nn_spacing local_order_proxy spin_flips spin_median3 autocorrelation stretched_exp_fit frame_step moving_average
 hysteresis_flag core_collapse pair_hist_gofr gofr_interior spacing_hist""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -204,6 +212,10 @@ _KNN = """n as (select a.det_id as a, b.det_id as b, a.run_id, a.frame, sqrt((a.
 _PI = "cast(3.141592653589793 as double)"
 
 SQL = {
+    "track_length_hist": f"""with {T_SQL}, c as (select run_id, particle, count(*) as length from t group by 1, 2), {_hist("c", "length", 30)} select * from g""",
+    "frame_step": """with t as (select * from (select *, row_number() over (partition by obs_id order by arrived_at) as k from tracks where obs_id is not null) where k = 1 and frame is not null and isfinite(t)),
+m as (select run_id, frame, median(t) as v from t group by 1, 2), g as (select run_id, v - lag(v) over (partition by run_id order by frame) as gap from m)
+select run_id, round(median(gap), 9) as dt from g where gap is not null group by 1""",
     "track_counts": f"with {T_SQL} select run_id, particle, count(*) as n, min(frame) as first_frame, max(frame) as last_frame, round(avg(x_px), 6) as mean_x, round(avg(y_px), 6) as mean_y from t group by 1, 2",
     "track_length_filter": f"""with {T_SQL}, {M_SQL}, c as (select t.run_id, particle from t join m on t.run_id = m.run_id group by 1, 2 having count(*) >= max(min_len))
 select obs_id, t.run_id, t.particle, frame from t join c on t.run_id = c.run_id and t.particle = c.particle""",

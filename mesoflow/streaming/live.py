@@ -42,6 +42,15 @@ def first_deliveries(detections: DataFrame, watermark: str = "1 day") -> DataFra
     return detections.withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["det_id"])
 
 
+def record(stats: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None):
+    """Start appending a stream of statistics to CSV files with a header; stop it with the returned query's ``stop()``.
+
+    ``trigger`` as of ``DataStreamWriter.trigger``; by default what is there is taken and the query ends.
+    """
+    w = stats.writeStream.format("csv").option("header", True).option("path", folder).option("checkpointLocation", checkpoint)
+    return w.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
 def latest_only(batch: DataFrame) -> DataFrame:
     """Of each run the newest frame of a micro-batch (for ``foreachBatch``): stale frames are dropped as a live view does."""
     newest = batch.groupBy("run_id").agg(F.max("frame").alias("frame"))

@@ -121,3 +121,26 @@ def test_detect_frames_equals_the_kernel(spark):
     sites = spark.createDataFrame([("r", 1, 38.3, 39.6), ("r", 2, 0.0, 0.0)], "run_id string, site bigint, x double, y double")
     m = {(r["frame"], r["site"]): r["mean"] for r in I.site_means(df, sites).collect()}
     assert len(m) == 8 and m[0, 1] > m[0, 2] and m[9, 1] == 0
+
+
+def test_diameter_scan_and_alignment(spark):
+    img = spots(GRID)
+    moved = np.roll(img, (3, -5), (0, 1))
+    df = spark.createDataFrame([("r", k, *i.shape, bytearray(np.ascontiguousarray(i).tobytes())) for k, i in enumerate((img, moved))], I.IMAGE)
+    shifts = I.frame_shifts(df)
+    assert {tuple(r)[1:] for r in shifts.collect()} == {(0, 0, 0), (1, -5, 3)}
+    back = {r["frame"]: np.frombuffer(r["px"], np.float32).reshape(img.shape) for r in I.align_frames(df, shifts).collect()}
+    assert (back[1] == img).all()
+    base = I.Detect(separation=5, minmass=100.0, percentile=64.0, llong=31)
+    scan = I.sweep_detect(df.where("frame = 0"), base, "diameter", [7, 11, 13]).collect()
+    assert len(scan) == 3 and I.best_diameter([(r["value"], r["n"], r["mean_ecc"]) for r in scan]) in (7.0, 11.0, 13.0)
+    assert I.best_diameter([(5, 10, 0.4), (7, 20, 0.395), (9, 2, 0.1)]) == 7
+    assert I.clipped(df, 1e9).agg({"share": "max"}).first()[0] == 0
+
+
+def test_denoise():
+    img = np.full((30, 30), 50.0, np.float32) + RNG.normal(0, 3, (30, 30)).astype(np.float32)
+    assert I.bilateral(img, 10.0).std() < 0.5 * img.std() and I.denoise(img, "off", 1.0) is img
+    with pytest.raises(ValueError):
+        I.denoise(img, "nlm", 1.0)
+    assert I.odd(18.6) == 19 and I.odd(18.0) == 19
