@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesoflow.operators import detect_stats as S
 from mesoflow.operators.quantiles import linear_percentiles
 from mesoflow.plans.base import D_SQL, M_SQL, detections, finite, with_run
-from mesoflow.session import first_arrival, table
+from mesoflow.session import first_arrival, sized_broadcast, table
 
 RUN = ["run_id"]
 FRAME = ["run_id", "frame"]
@@ -82,10 +82,12 @@ def missing_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_assignment(spark: SparkSession, d: str) -> DataFrame:
-    chunks = S.chunk_ranges(table(spark, d, "job_meta").select("run_id", "frame_start", "frame_end", "chunk_size"))
-    n = detections(spark, d).groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n"))
-    on = (chunks["run_id"] == n["run_id"]) & n["frame"].between(chunks["first"], chunks["last"])
-    return chunks.join(n, on, "left").groupBy(chunks["run_id"], "task", "first", "last").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_detections"))
+    """Detections of each task's frame range; a frame's task is computed, so the join is an equality."""
+    meta = table(spark, d, "job_meta").select("run_id", "frame_start", "frame_end", "chunk_size")
+    n = detections(spark, d).groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n")).join(sized_broadcast(meta), "run_id")
+    n = n.where("chunk_size > 0 and frame between frame_start and frame_end").withColumn("task", F.floor((F.col("frame") - F.col("frame_start")) / F.col("chunk_size")).cast("int"))
+    per = n.groupBy("run_id", "task").agg(F.sum("n").alias("n_detections"))
+    return S.chunk_ranges(meta).join(per, ["run_id", "task"], "left").fillna(0, ["n_detections"])
 
 
 def bundle_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +115,13 @@ def mass_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def newest_before(spark: SparkSession, d: str) -> DataFrame:
-    """For every tenth frame of a run's range, the newest frame with detections at or before it (as-of)."""
-    m = table(spark, d, "job_meta").where("frame_end >= frame_start").select("run_id", F.explode(F.sequence("frame_start", "frame_end", F.lit(10))).alias("target"))
-    n = detections(spark, d).groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n"))
-    j = m.join(n, (m["run_id"] == n["run_id"]) & (n["frame"] <= m["target"]), "left")
-    return j.groupBy(m["run_id"], "target").agg(F.max("frame").alias("shown"), F.max_by("n", "frame").alias("n"))
+    """For every tenth frame of a run's range, the newest frame with detections at or before it (as-of merge of both in frame order)."""
+    m = table(spark, d, "job_meta").where("frame_end >= frame_start").select("run_id", F.explode(F.sequence("frame_start", "frame_end", F.lit(10))).alias("frame"), F.lit(1).alias("asked"), F.lit(None).cast("bigint").alias("n"))
+    n = detections(spark, d).groupBy("run_id", "frame").agg(F.lit(0).alias("asked"), F.count(F.lit(1)).alias("n")).select("run_id", "frame", "asked", "n")
+    line = Window.partitionBy("run_id").orderBy("frame", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("n").isNotNull(), F.struct("frame", "n")), ignorenulls=True).over(line)
+    both = n.unionByName(m).withColumn("_seen", seen).where("asked = 1")
+    return both.select("run_id", F.col("frame").alias("target"), F.col("_seen.frame").alias("shown"), F.col("_seen.n").alias("n"))
 
 
 _NAMES = """calibrate_edge_filter frame_time ecc_filter mad_outlier_filter adaptive_minmass percentile_mass_filter sweep_minmass mass_histogram
