@@ -26,25 +26,30 @@ def _structure(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return S.structure_points(p, e, "det_id").checkpoint(), e
 
 
-def delaunay_edges(spark: SparkSession, d: str) -> DataFrame:
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     return S.delaunay_edges(_points(spark, d), "det_id")
 
 
+def delaunay_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).withColumn("len", F.round("len", 6))
+
+
 def coordination(spark: SparkSession, d: str) -> DataFrame:
     return _structure(spark, d)[0].groupBy("run_id", "coord").agg(F.count(F.lit(1)).alias("n"))
 
 
 def psi6(spark: SparkSession, d: str) -> DataFrame:
-    return _structure(spark, d)[0].select("det_id", "coord", "psi_re", "psi_im", F.hypot("psi_re", "psi_im").alias("psi_abs"))
+    return _structure(spark, d)[0].select("det_id", "coord", F.round("psi_re", 6).alias("psi_re"), F.round("psi_im", 6).alias("psi_im"), F.round(F.hypot("psi_re", "psi_im"), 6).alias("psi_abs"))
 
 
 def pairs57(spark: SparkSession, d: str) -> DataFrame:
     p, e = _structure(spark, d)
-    return S.pairs57(p, e, "det_id", 96.0)
+    return S.pairs57(p, e, "det_id", 96.0).withColumn("misorientation_deg", F.round("misorientation_deg", 5))
 
 
 def defect_series(spark: SparkSession, d: str) -> DataFrame:
-    return S.defect_series(_structure(spark, d)[0])
+    t = S.defect_series(_structure(spark, d)[0])
+    return t.select("run_id", "frame", "n", *[F.round(c, 6).alias(c) for c in ("frac_defect", "frac_5fold", "frac_7fold", "mean_psi6")])
 
 
 def pair_count_series(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +129,8 @@ def overlay_segments(spark: SparkSession, d: str) -> DataFrame:
     p, b, _ = _lines(spark, d)
     at = lambda c, k: p.select(F.col("det_id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
     seg = ["run_id", "frame", "x1", "y1", "x2", "y2"]
-    bonds = delaunay_edges(spark, d).join(at("i", 1), "i").join(at("j", 2), "j").select(*seg, F.lit("bond").alias("kind"))
-    pairs = S.pairs57(p, delaunay_edges(spark, d), "det_id", 96.0).select("run_id", "frame", "i5", "i7").join(at("i5", 1), "i5").join(at("i7", 2), "i7").select(*seg, F.lit("pair57").alias("kind"))
+    bonds = _edges(spark, d).join(at("i", 1), "i").join(at("j", 2), "j").select(*seg, F.lit("bond").alias("kind"))
+    pairs = S.pairs57(p, _edges(spark, d), "det_id", 96.0).select("run_id", "frame", "i5", "i7").join(at("i5", 1), "i5").join(at("i7", 2), "i7").select(*seg, F.lit("pair57").alias("kind"))
     return bonds.unionByName(pairs).unionByName(b.select(*seg, "kind"))
 
 
@@ -148,16 +153,16 @@ def _spins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bond_length_filter(spark: SparkSession, d: str) -> DataFrame:
-    return S.bond_filter(delaunay_edges(spark, d))
+    return S.bond_filter(_edges(spark, d))
 
 
 def bond_asymmetry(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return S.bond_asymmetry(S.bond_filter(delaunay_edges(spark, d).checkpoint()), _spins(spark, d), "det_id")
+    return S.bond_asymmetry(S.bond_filter(_edges(spark, d).checkpoint()), _spins(spark, d), "det_id")
 
 
 def frustrated_bonds(spark: SparkSession, d: str) -> DataFrame:
-    return S.frustrated_bonds(delaunay_edges(spark, d), _spins(spark, d), "det_id")
+    return S.frustrated_bonds(_edges(spark, d), _spins(spark, d), "det_id")
 
 
 def link_nn(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +186,22 @@ _NAMES = """delaunay_edges coordination psi6 pairs57 defect_series pair_count_se
 boundary_tracks lagb_statistics lagb_fluctuations bond_length_filter bond_asymmetry frustrated_bonds overlay_segments boundary_labels link_nn affine_full nms_separation dedupe_points""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
+# the triangulation by its definition: a triangle counts if no other point lies in its circle; of points at one place the first counts
+_EDGES = f"""{D_SQL},
+p as (select run_id, frame, det_id as i, x, y from (select *, count(*) over (partition by run_id, frame) as c, row_number() over (partition by run_id, frame, x, y order by det_id) as u from d) where c >= 4 and u = 1),
+t as (select a.run_id, a.frame, a.i as i, b.i as j, c.i as k, a.x as ax, a.y as ay, b.x as bx, b.y as b_y, c.x as cx, c.y as cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) as turn
+  from p a join p b on a.run_id = b.run_id and a.frame = b.frame and a.i < b.i join p c on c.run_id = a.run_id and c.frame = a.frame and b.i < c.i),
+g as (select * from t where turn <> 0 and not exists (select 1 from p q where q.run_id = t.run_id and q.frame = t.frame and q.i <> t.i and q.i <> t.j and q.i <> t.k and
+  (((ax - q.x) * (ax - q.x) + (ay - q.y) * (ay - q.y)) * ((bx - q.x) * (cy - q.y) - (cx - q.x) * (b_y - q.y))
+  - ((bx - q.x) * (bx - q.x) + (b_y - q.y) * (b_y - q.y)) * ((ax - q.x) * (cy - q.y) - (cx - q.x) * (ay - q.y))
+  + ((cx - q.x) * (cx - q.x) + (cy - q.y) * (cy - q.y)) * ((ax - q.x) * (b_y - q.y) - (bx - q.x) * (ay - q.y))) * sign(turn) > 0)),
+e as (select run_id, frame, i, j from g union select run_id, frame, j, k from g union select run_id, frame, i, k from g),
+l as (select e.*, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as len, a.x as ix, a.y as iy, b.x as jx, b.y as jy from e join d a on a.det_id = e.i join d b on b.det_id = e.j)"""
+_ORDER = f"""{_EDGES},
+w as (select i, jx - ix as dx, jy - iy as dy from l union all select j, ix - jx, iy - jy from l),
+o as (select i, cast(count(*) as int) as coord, avg(cos(6 * atan2(dy, dx))) as re, avg(sin(6 * atan2(dy, dx))) as im from w group by 1),
+s as (select d.run_id, d.frame, d.det_id, coalesce(coord, 0) as coord, coalesce(re, 0.0) as re, coalesce(im, 0.0) as im from d left join o on o.i = d.det_id)"""
+
 SQL = {
     "dbscan_labels": f"""with recursive {D_SQL}, p as (select a.run_id, a.frame, a.det_id as i, b.det_id as j from d a join d b on a.run_id = b.run_id and a.frame = b.frame and a.det_id <> b.det_id
   where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900),
@@ -191,4 +212,13 @@ k as (select i, min(root) as component from w group by 1),
 o as (select p.i, min(component) as component from p join k on k.i = p.j where p.i not in (select i from c) group by 1),
 u as (select * from k union all select * from o)
 select d.run_id, d.frame, d.det_id, coalesce(component, -1) as cluster from d left join u on u.i = d.det_id""",
+    "delaunay_edges": f"with {_EDGES} select run_id, frame, i, j, round(len, 6) as len from l",
+    "coordination": f"with {_ORDER} select run_id, coord, count(*) as n from s group by 1, 2",
+    "psi6": f"with {_ORDER} select det_id, coord, round(re, 6) + 0.0 as psi_re, round(im, 6) + 0.0 as psi_im, round(sqrt(re * re + im * im), 6) as psi_abs from s",
+    "defect_series": f"""with {_ORDER} select run_id, frame, count(*) as n, round(avg(case when coord <> 6 then 1.0 else 0.0 end), 6) as frac_defect, round(avg(case when coord = 5 then 1.0 else 0.0 end), 6) as frac_5fold,
+  round(avg(case when coord = 7 then 1.0 else 0.0 end), 6) as frac_7fold, round(avg(sqrt(re * re + im * im)), 6) as mean_psi6 from s group by 1, 2""",
+    "pairs57": f"""with {_ORDER}, v as (select l.*, a.coord as ci, a.re as ar, a.im as ai, b.coord as cj, b.re as br, b.im as bi from l join s a on a.det_id = l.i join s b on b.det_id = l.j
+  where len <= 96 and ((a.coord = 5 and b.coord = 7) or (a.coord = 7 and b.coord = 5)))
+select run_id, frame, case when ci = 5 then i else j end as i5, case when ci = 5 then j else i end as i7, (ix + jx) / 2 as x, (iy + jy) / 2 as y,
+  case when sqrt(ar * ar + ai * ai) >= 0.1 and sqrt(br * br + bi * bi) >= 0.1 then round(degrees(abs(atan2(ai * br - ar * bi, ar * br + ai * bi))) / 6, 5) end as misorientation_deg from v""",
 }
