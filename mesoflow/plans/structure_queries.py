@@ -58,7 +58,7 @@ def pair_count_series(spark: SparkSession, d: str) -> DataFrame:
     n = S.pairs57(p, e, "det_id", 96.0).groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n_pairs"))
     a = p.groupBy("run_id", "frame").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
     j = a.join(n, ["run_id", "frame"], "left").fillna(0, ["n_pairs"])
-    return j.withColumn("density", F.when(F.col("area") > 0, F.col("n_pairs") / F.col("area")))
+    return j.withColumn("density", F.round(F.when(F.col("area") > 0, F.col("n_pairs") / F.col("area")), 9))
 
 
 def g6_hist(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def g6_hist(spark: SparkSession, d: str) -> DataFrame:
     weight = F.col("a_re") * F.col("b_re") + F.col("a_im") * F.col("b_im")
     g = pair_counts(p, "det_id", 60.0, 2.0, weight=weight)
     norm = p.groupBy("run_id").agg(F.avg(F.col("psi_re") * F.col("psi_re") + F.col("psi_im") * F.col("psi_im")).alias("_m"))
-    return g.join(norm, "run_id").select("run_id", "bin", "n", F.when(F.col("_m") > 0, F.col("w") / F.col("n") / F.col("_m")).alias("g6"))
+    return g.join(norm, "run_id").select("run_id", "bin", "n", F.round(F.when(F.col("_m") > 0, F.col("w") / F.col("n") / F.col("_m")), 6).alias("g6"))
 
 
 def grain_components(spark: SparkSession, d: str) -> DataFrame:
@@ -153,12 +153,13 @@ def _spins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bond_length_filter(spark: SparkSession, d: str) -> DataFrame:
-    return S.bond_filter(_edges(spark, d))
+    return S.bond_filter(_edges(spark, d)).withColumn("len", F.round("len", 6))
 
 
 def bond_asymmetry(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return S.bond_asymmetry(S.bond_filter(_edges(spark, d).checkpoint()), _spins(spark, d), "det_id")
+    b = S.bond_asymmetry(S.bond_filter(_edges(spark, d).checkpoint()), _spins(spark, d), "det_id")
+    return b.select("run_id", "n_same", "n_mixed", *[F.round(c, 5).alias(c) for c in ("len_same", "len_mixed", "percent")])
 
 
 def frustrated_bonds(spark: SparkSession, d: str) -> DataFrame:
@@ -221,4 +222,21 @@ select d.run_id, d.frame, d.det_id, coalesce(component, -1) as cluster from d le
   where len <= 96 and ((a.coord = 5 and b.coord = 7) or (a.coord = 7 and b.coord = 5)))
 select run_id, frame, case when ci = 5 then i else j end as i5, case when ci = 5 then j else i end as i7, (ix + jx) / 2 as x, (iy + jy) / 2 as y,
   case when sqrt(ar * ar + ai * ai) >= 0.1 and sqrt(br * br + bi * bi) >= 0.1 then round(degrees(abs(atan2(ai * br - ar * bi, ar * br + ai * bi))) / 6, 5) end as misorientation_deg from v""",
+    "pair_count_series": f"""with {_ORDER}, v as (select l.run_id, l.frame, count(*) as n from l join s a on a.det_id = l.i join s b on b.det_id = l.j
+  where len <= 96 and ((a.coord = 5 and b.coord = 7) or (a.coord = 7 and b.coord = 5)) group by 1, 2),
+f as (select run_id, frame, (max(x) - min(x)) * (max(y) - min(y)) as area from d group by 1, 2)
+select f.run_id, f.frame, area, coalesce(n, 0) as n_pairs, case when area > 0 then round(coalesce(n, 0) / area, 9) end as density from f left join v on v.run_id = f.run_id and v.frame = f.frame""",
+    "g6_hist": f"""with {_ORDER}, z as (select s.*, d.x, d.y from s join d on d.det_id = s.det_id), m as (select run_id, avg(re * re + im * im) as m from s group by 1),
+h as (select a.run_id, cast(least(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 2.0), 29) as int) as bin, count(*) as n, sum(a.re * b.re + a.im * b.im) as w from z a join z b
+  on a.run_id = b.run_id and a.frame = b.frame and a.det_id < b.det_id where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 3600 group by 1, 2)
+select h.run_id, bin, n, case when m > 0 then round(w / n / m, 6) + 0.0 end as g6 from h join m on m.run_id = h.run_id""",
+    "bond_length_filter": f"with {_EDGES}, b as (select *, median(len) over (partition by run_id, frame) as med from l) select run_id, frame, i, j, round(len, 6) as len from b where len < 1.4 * med",
+    "bond_asymmetry": f"""with {_EDGES}, b as (select *, median(len) over (partition by run_id, frame) as med from l), k as (select * from b where len < 1.4 * med),
+n as (select det_id, mass > median(mass) over (partition by run_id) as up from d),
+q2 as (select k.run_id, a.up = c.up as same, len from k join n a on a.det_id = k.i join n c on c.det_id = k.j)
+select run_id, count(case when same then 1 end) as n_same, count(case when not same then 1 end) as n_mixed, round(avg(case when same then len end), 5) as len_same,
+  round(avg(case when not same then len end), 5) as len_mixed, round((avg(case when not same then len end) / avg(case when same then len end) - 1) * 100, 5) as percent from q2 group by 1""",
+    "frustrated_bonds": f"""with {_EDGES}, n as (select det_id, mass > median(mass) over (partition by run_id) as up from d),
+q2 as (select l.run_id, l.frame, l.i, l.j from l join n a on a.det_id = l.i join n c on c.det_id = l.j where a.up = c.up)
+select run_id, frame, det_id, count(*) as n_frustrated from (select run_id, frame, i as det_id from q2 union all select run_id, frame, j from q2) group by 1, 2, 3""",
 }
