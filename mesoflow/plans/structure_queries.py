@@ -239,4 +239,11 @@ select run_id, count(case when same then 1 end) as n_same, count(case when not s
     "frustrated_bonds": f"""with {_EDGES}, n as (select det_id, mass > median(mass) over (partition by run_id) as up from d),
 q2 as (select l.run_id, l.frame, l.i, l.j from l join n a on a.det_id = l.i join n c on c.det_id = l.j where a.up = c.up)
 select run_id, frame, det_id, count(*) as n_frustrated from (select run_id, frame, i as det_id from q2 union all select run_id, frame, j from q2) group by 1, 2, 3""",
+    "grain_components": f"""with recursive {_ORDER}, a as (select det_id as i, run_id, frame, atan2(im, re) / 6 as th from s where sqrt(re * re + im * im) > 0.6),
+x as (select l.i, l.j, a.th - b.th + pi() / 6 as z from l join a on a.i = l.i join a b on b.i = l.j),
+k as (select i, j from x where abs(z - floor(z / (pi() / 3)) * (pi() / 3) - pi() / 6) <= pi() / 12 / 6),
+y as (select i, j from k union all select j, i from k),
+c as (select i, i as root from a union select y.j, c.root from c join y on y.i = c.i where c.root < y.j),
+r as (select i, min(root) as grain from c group by 1)
+select run_id, frame, grain, count(*) as n_points from r join a on a.i = r.i group by 1, 2, 3""",
 }
