@@ -80,7 +80,7 @@ def p3_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per video, from states kept per arrival day and combined; values within 0.5 %."""
     det = _arrivals(spark, sf_dir).withColumn("day", F.to_date("arrived_at"))
     days = value_counts(det, ["video"], "mass", relative_error=0.005, extra=["day"])
-    return percentiles_of_counts(combine(days, ["video"]), ["video"], PS)
+    return percentiles_of_counts(combine(days, ["video"]), ["video"], PS).withColumn("value", F.round("value", 4))
 
 
 def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:
@@ -145,7 +145,45 @@ e as (select run_id, particle, min(slot) as a, max(slot) as b from r group by 1,
 g as (select run_id, particle, unnest(range(a, b + 1)) as slot from e)
 """
 
+
+
+def _odd_positions(field: str, size: str) -> str:
+    """The rules of p1 for one coordinate of the tracks, plainly."""
+    order = "run_id, particle order by slot, t nulls first, obs_id"
+    return f"""select 'tracks' as tbl, obs_id as rec_id, '{field}' as field from (
+  with v as (select run_id, particle, slot, t, obs_id, cast({field} as double) as v, isinf({field}) or {field} < 0 or {field} >= {size} as bad from z where {field} is not null and not isnan({field})),
+  c as (select *, case when v = lag(v) over (partition by {order}) then 0 else 1 end as cut from v),
+  i as (select *, sum(cut) over (partition by {order} rows unbounded preceding) as island from c),
+  s as (select obs_id, bad, count(*) over (partition by run_id, particle, island) >= 6 as stuck from i),
+  o as (select *, v - lag(v) over w as a, v - lead(v) over w as b, lag(v) over w as p1, lag(v, 2) over w as p2, lead(v) over w as n1, lead(v, 2) over w as n2, count(*) over (partition by run_id, particle) as n
+    from v where not bad window w as (partition by {order})),
+  m as (select *, 15 * median(abs(a)) over (partition by run_id, particle) as lim from o),
+  k as (select obs_id from m where n >= 20 and (
+    (a > lim and b > lim) or (a < -lim and b < -lim)
+    or (a > lim and v - n2 > lim and n1 - p1 > lim and n1 - n2 > lim) or (a < -lim and v - n2 < -lim and n1 - p1 < -lim and n1 - n2 < -lim)
+    or (p1 - p2 > lim and p1 - n1 > lim and v - p2 > lim and b > lim) or (p1 - p2 < -lim and p1 - n1 < -lim and v - p2 < -lim and b < -lim)))
+  select s.obs_id from s left join k on k.obs_id = s.obs_id where bad or stuck or k.obs_id is not null)"""
+
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+with d as (select det_id, run_id, cast(mass as double) as v, isinf(mass) or mass <= 0 as bad from (select *, row_number() over (partition by det_id order by arrived_at) as k from detections where det_id is not null)
+  where k = 1 and mass is not null and not isnan(mass)),
+c as (select *, case when v = lag(v) over (partition by run_id order by det_id) then 0 else 1 end as cut, median(case when not bad then v end) over (partition by run_id) as med from d),
+i as (select *, sum(cut) over (partition by run_id order by det_id rows unbounded preceding) as island from c),
+f as (select *, count(*) over (partition by run_id, island) >= 8 as stuck from i),
+m as (select run_id, w, h, frame_start, case when cast(json_extract_string(params, '$.dt') as double) > 0 then cast(json_extract_string(params, '$.dt') as double) when fps > 0 then 1 / fps else 1.0 end as dt from job_meta),
+z as (select q.*, w, h, case when t is not null and not isnan(t) then cast(floor(t / dt + 0.5) as bigint) else cast(frame - frame_start as bigint) end as slot
+  from (select * from (select *, row_number() over (partition by obs_id order by arrived_at) as k from tracks where obs_id is not null) where k = 1) q join m on m.run_id = q.run_id)
+select 'detections' as tbl, det_id as rec_id, 'mass' as field from f where bad or stuck or v > 6 * med or v * 6 < med
+union all {_odd_positions("x_px", "w")}
+union all {_odd_positions("y_px", "h")}""",
+    "p3_by_day": """
+with d as (select video, cast(mass as double) as v from (select *, row_number() over (partition by det_id order by arrived_at) as k from detections where det_id is not null) where k = 1 and mass is not null and not isnan(mass)),
+g as (select video, case when v = 0 or isinf(v) then v else sign(v) * exp((floor(ln(abs(v)) / ln(1.005::double / 0.995::double)) + 0.5) * ln(1.005::double / 0.995::double)) end as v from d),
+o as (select *, count(*) over (partition by video) as n_rows, row_number() over (partition by video order by v) as pos from g),
+p as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) as p)
+select video, n_rows, p, pos as rank, round(v, 4) as value from o, p where pos = greatest(1, ceil(round(p * n_rows, 6)))""",
     "p2_found": """
 with k as (select distinct run_id, file_id, written_at, r.frame as frame from (select run_id, file_id, written_at, unnest(recs) as r from chunk_files)),
 n as (select *, row_number() over (partition by run_id, frame order by written_at desc, file_id desc) as pos from k)
