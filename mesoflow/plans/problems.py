@@ -102,7 +102,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per slot, holes of up to 10 slots filled by interpolation, longer ones marked."""
     g = _grid(spark, sf_dir, 10)
-    return g.select("run_id", "particle", "slot", "is_reading", F.round("filled", 6).alias("x_um"), (~F.col("is_reading") & F.col("filled").isNull()).alias("is_missing"))
+    return g.select("run_id", "particle", "slot", "is_reading", F.when(F.col("is_reading"), F.col("value")).otherwise(F.round("filled", 6)).alias("x_um"), (~F.col("is_reading") & F.col("filled").isNull()).alias("is_missing"))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,7 @@ a as (select g.run_id, g.particle, g.slot, r.x_um, r.slot as here,
 f as (select a.*, l.x_um as xl, h.x_um as xh from a join r l on l.run_id = a.run_id and l.particle = a.particle and l.slot = a.lo
   join r h on h.run_id = a.run_id and h.particle = a.particle and h.slot = a.hi)
 select run_id, particle, slot, here is not null as is_reading,
-  case when here is not null then round(x_um, 6) when hi - lo <= 10 then round(xl * (1 - (slot - lo) / (hi - lo)) + xh * ((slot - lo) / (hi - lo)), 6) end as x_um,
+  case when here is not null then x_um when hi - lo <= 10 then round(xl * (1 - (slot - lo) / (hi - lo)) + xh * ((slot - lo) / (hi - lo)), 6) end as x_um,
   here is null and hi - lo > 10 as is_missing from f""",
     "p5_in_roi": """
 with d as (select * from (select *, row_number() over (partition by det_id order by arrived_at) as k from detections where det_id is not null) where k = 1 and isfinite(x) and isfinite(y)),
