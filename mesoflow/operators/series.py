@@ -28,18 +28,22 @@ def spin_stats(df: DataFrame, keys: list[str], order: str, dt: Column, spin: str
     return g.select(*keys, "n", "up_fraction", "flips", F.when(F.col("n") > 1, F.col("flips") / (F.col("_dt") * (F.col("n") - 1))).alias("flip_rate"))
 
 
-def autocorrelation(df: DataFrame, group: list[str], site: list[str], order: str, value: str, max_lag: int, centre: bool = False) -> DataFrame:
-    """``group, lag, n_pairs, c, c_norm``: mean product of values ``lag`` steps apart over sites and times, lag 0 to ``max_lag``.
+def autocorrelation(df: DataFrame, group: list[str], site: list[str], order: str, value: str, max_lag: int | None, centre: bool = False) -> DataFrame:
+    """``group, lag, n_pairs, c, c_norm``: mean product of values ``lag`` steps apart over sites and times, lag 0 to ``max_lag``, or all lags there are.
 
-    An equality join per lag instead of a transform; pairs need both values. With ``centre``
+    An equality join per lag instead of a transform (for all lags, one join per site); pairs need both values. With ``centre``
     each site's mean is taken off first. ``c_norm`` is c over c at lag 0, NULL where that is 0.
     """
     x = df.select(*group, *site, order, F.col(value).cast("double").alias("_v"))
     if centre:
         x = x.withColumn("_v", F.col("_v") - F.avg("_v").over(Window.partitionBy(*group, *site)))
-    a = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("_to", F.col(order) + F.col("lag")).drop(order)
     b = x.select(*group, *site, F.col(order).alias("_to"), F.col("_v").alias("_u"))
-    g = a.join(b, [*group, *site, "_to"]).groupBy(*group, "lag").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(F.col("_v") * F.col("_u")).alias("c"))
+    if max_lag is None:
+        pairs = x.join(b, [*group, *site]).withColumn("lag", F.col("_to") - F.col(order)).where("lag >= 0")
+    else:
+        a = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("_to", F.col(order) + F.col("lag")).drop(order)
+        pairs = a.join(b, [*group, *site, "_to"])
+    g = pairs.groupBy(*group, "lag").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(F.col("_v") * F.col("_u")).alias("c"))
     zero = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*group))
     return g.withColumn("_zero", zero).select(*group, "lag", "n_pairs", "c", F.when(F.col("_zero") != 0, F.col("c") / F.col("_zero")).alias("c_norm"))
 

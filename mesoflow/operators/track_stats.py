@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mesoflow.operators.groupmap import map_groups
 from mesoflow.operators.proximity import nearest
 from mesoflow.operators.quantiles import exact_medians, linear_percentiles
+from mesoflow.session import sized_broadcast
 
 TRACK = ["run_id", "particle"]
 #: Boltzmann's constant in J/K (fixed value).
@@ -69,16 +70,31 @@ def arrows(t: DataFrame, max_step: Column) -> DataFrame:
     return j.select(*TRACK, "frame", "dx", "dy", F.least(F.lit(1.0), length / max_step).alias("strength"))
 
 
-def lag_pairs(t: DataFrame, max_lag: int, x: str = "x_um", y: str = "y_um") -> DataFrame:
-    """``run_id, particle, frame, lag, dx, dy`` of all pairs of readings exactly ``lag`` frames apart, an equality join per lag."""
+def half_spans(t: DataFrame) -> DataFrame:
+    """``run_id, max_lag``: half the run's span of frames, at least 1."""
+    span = F.max("frame") - F.min("frame")
+    return t.groupBy("run_id").agg(F.greatest(F.lit(1), F.floor(span / 2)).cast("bigint").alias("max_lag"))
+
+
+def lag_pairs(t: DataFrame, max_lag: int | None, x: str = "x_um", y: str = "y_um") -> DataFrame:
+    """``run_id, particle, frame, lag, dx, dy`` of all pairs of readings exactly ``lag`` frames apart, an equality join per lag.
+
+    Without ``max_lag`` each run's lags go up to half its own span; the readings of a track
+    then meet in one join on the track, so a reading is shuffled once, not once per lag.
+    """
+    if max_lag is None:
+        far = t.select(*TRACK, F.col("frame").alias("_f1"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
+        near = t.select(*TRACK, "frame", F.col(x).alias("_x0"), F.col(y).alias("_y0")).join(sized_broadcast(half_spans(t)), "run_id")
+        lag = F.col("_f1") - F.col("frame")
+        return near.join(far, TRACK).where((lag >= 1) & (lag <= F.col("max_lag"))).select(*TRACK, "frame", lag.alias("lag"), (F.col("_x1") - F.col("_x0")).alias("dx"), (F.col("_y1") - F.col("_y0")).alias("dy"))
     later = t.select(*TRACK, F.col("frame").alias("_f1"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
     first = t.select(*TRACK, "frame", F.col(x).alias("_x0"), F.col(y).alias("_y0"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
     first = first.withColumn("_f1", F.col("frame") + F.col("lag"))
     return first.join(later, [*TRACK, "_f1"]).select(*TRACK, "frame", "lag", (F.col("_x1") - F.col("_x0")).alias("dx"), (F.col("_y1") - F.col("_y0")).alias("dy"))
 
 
-def msd(t: DataFrame, max_lag: int, drift_subtract: bool = True) -> DataFrame:
-    """``run_id, lag, n_pairs, msd``: mean squared displacement over particles and times, the mean displacement of a lag taken off unless told otherwise."""
+def msd(t: DataFrame, max_lag: int | None, drift_subtract: bool = True) -> DataFrame:
+    """``run_id, lag, n_pairs, msd``: mean squared displacement over particles and times, the mean displacement of a lag taken off unless told otherwise; ``max_lag`` as in ``lag_pairs``."""
     g = lag_pairs(t, max_lag).groupBy("run_id", "lag").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("_m"), F.avg("dx").alias("_x"), F.avg("dy").alias("_y"))
     drift = F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") if drift_subtract else F.lit(0.0)
     return g.select("run_id", "lag", "n_pairs", (F.col("_m") - drift).alias("msd"))

@@ -13,6 +13,7 @@ from mesoflow.plans.detection_queries import _hist
 from mesoflow.plans.base import D_SQL, M_SQL, T_SQL, detections, finite, tracks, with_run
 from mesoflow.session import first_arrival, table
 
+#: Lags of ``msd`` and ``autocorrelation``, whose SQL has these; the whole curves are ``msd_half_span`` and ``autocorrelation_all_lags``.
 LAGS = 20
 
 
@@ -73,8 +74,13 @@ def msd(spark: SparkSession, d: str) -> DataFrame:
     return K.msd(tracks(spark, d), LAGS).withColumn("msd", F.round("msd", 6))
 
 
+def msd_half_span(spark: SparkSession, d: str) -> DataFrame:
+    """The whole curve: lags up to half of each run's own span."""
+    return K.msd(tracks(spark, d), None).withColumn("msd", F.round("msd", 6))
+
+
 def _curves(spark: SparkSession, d: str) -> DataFrame:
-    return with_run(K.msd(tracks(spark, d), LAGS), spark, d, "dt").withColumn("lag_t", F.col("lag") * F.col("dt"))
+    return with_run(K.msd(tracks(spark, d), None), spark, d, "dt").withColumn("lag_t", F.col("lag") * F.col("dt"))
 
 
 def msd_slopes(spark: SparkSession, d: str) -> DataFrame:
@@ -131,13 +137,19 @@ def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("c", F.round("c", 6)).withColumn("c_norm", F.round("c_norm", 6))
 
 
+def autocorrelation_all_lags(spark: SparkSession, d: str) -> DataFrame:
+    """The whole curve: every lag that two readings of a track are apart."""
+    a = R.autocorrelation(_spins(spark, d), ["run_id"], ["particle"], "frame", "s", None)
+    return a.withColumn("c", F.round("c", 6)).withColumn("c_norm", F.round("c_norm", 6))
+
+
 def stretched_exp_fit(spark: SparkSession, d: str) -> DataFrame:
     """Decay of the spin autocorrelation of each run."""
     import numpy as np
 
     from mesoflow.operators.groupmap import map_groups
 
-    a = R.autocorrelation(_spins(spark, d), ["run_id"], ["particle"], "frame", "s", LAGS)
+    a = R.autocorrelation(_spins(spark, d), ["run_id"], ["particle"], "frame", "s", None)
     a = with_run(a, spark, d, "dt").select("run_id", (F.col("lag") * F.col("dt")).alias("t"), "c_norm", "dt")
 
     def one(g):
@@ -193,7 +205,7 @@ def spacing_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """track_counts track_length_filter track_length_hist run_summary flag_events quality_gate track_steps auto_max_step auto_min_length displacement_arrows
-mutual_nn msd msd_slopes diffusion_fit affine_step cage_relative nn_spacing local_order_proxy spin_flips spin_median3 autocorrelation stretched_exp_fit frame_step moving_average
+mutual_nn msd msd_half_span msd_slopes diffusion_fit affine_step cage_relative nn_spacing local_order_proxy spin_flips spin_median3 autocorrelation autocorrelation_all_lags stretched_exp_fit frame_step moving_average
 hysteresis_flag core_collapse pair_hist_gofr gofr_interior spacing_hist""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
