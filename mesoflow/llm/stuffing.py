@@ -3,9 +3,9 @@
 Every line is reduced to a shape: words become ``w`` (lower case), ``W``
 (capital first) or ``n`` (digit first), links become ``U``, everything else stays. A
 shape says how many words, capitals, separators and links a line has, and
-whether it reads as a sentence, as code, or as neither. Shapes are grouped per
-page; a page is flagged if non-sentence, non-code shapes of few kinds hold more
-than half of its words and their words are the same ones again and again.
+whether it reads as a sentence, as code, or as neither, by their shares of its
+words. Shapes are grouped per page; a page is flagged if the few largest of its
+non-sentence, non-code shapes hold more than half of its words and their words are the same ones again and again.
 
 One pass over the whole texts, no shuffle of text: only a few small rows per
 document (coarse shape, lines, words) are grouped by Spark.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 SHARE = 0.5
 #: At least this share of the words in keyword and tag lines must be repeats.
 REPEATS = 0.4
-#: Stuffed words must lie in at most this many coarse shapes.
+#: So many coarse shapes, those of the most words, must hold the share of stuffed words.
 FEW_SHAPES = 24
+#: Words from which a line is long: one sentence end per so many words is still a list.
+LONG = 40
 #: Distinct shapes that a task keeps the reading of.
 CACHE = 200_000
 
@@ -37,7 +39,12 @@ _LINK = re.compile(rb"w://[^\s<>\"')\]]*")
 _MARKUP = re.compile(rb"<[^<>]*>")
 _WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
 _CODE = re.compile(rb"[{}();=<>\[\]\"'`$&\\^%@]")
+#: Characters of code that prices and names in running text have too.
+_SOFT = re.compile(rb"['$&%@]")
+_STOP = re.compile(rb"[.!?:](?=\s|$)")
 _BRACKET = re.compile(rb"\[([^\[\]]*)\]\(U\)")
+#: A capitalised word is ``Ww``; this counts it once.
+_WHOLE = re.compile(rb"[wWn]+")
 _ONLY_WORDS = re.compile(rb"[wWn]")
 _HASH = re.compile(rb"(?<![\w&])#[wW]\w*")
 _KEY = re.compile(rb"^\s*[-*]?\s*\w+\s*:(\s+\S+)?\s*$")
@@ -83,12 +90,16 @@ def read_shape(shape: bytes) -> tuple[str, str, int]:
     cells = body.count(b"|")
     separators = sum(body.count(c) for c in (b",", b"|", b"/"))
     n = len(own)
+    soft = len(_SOFT.findall(body))
+    # a list by its shares: capitals are free, but there are next to no sentence ends and code, and four words to an item unless the line is long
+    whole = len(_WHOLE.findall(body))
+    listed = whole >= 8 and (separators > 1 and (separators + 1) * 4 >= whole or whole >= LONG) and len(_STOP.findall(body)) * LONG <= whole and (code - soft) * 12 <= whole and soft * 2 <= whole and numbers * 4 <= whole
     key_value = bool(_KEY.match(body)) or bool(_CELLS.match(body) and numbers)
-    if links and n <= 8 and not capitals and not code and not key_value:
+    if links and whole <= 8 and code == soft and not key_value:
         kind = "link"
-    elif tags and not code and tags * 2 >= len(body.split()):
+    elif tags and (code - soft) * 12 <= whole and soft * 2 <= whole and tags * 2 >= len(body.split()):
         kind = "tag"
-    elif n and not capitals and not code and numbers * 4 <= n and not key_value:
+    elif n and not key_value and (listed or not capitals and not code and numbers * 4 <= n):
         kind = "keyword"
     elif b'"' in body and _quoted_words(body) * 4 >= 3 * n > 0:
         kind = "keyword"
@@ -153,7 +164,10 @@ def stuffed_pages(documents: DataFrame, share: float = SHARE, repeats: float = R
     repeat; a page that is mostly these is flagged without repeats. Empty input gives no rows.
     """
     words = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n_words")).otherwise(0))
-    page = line_shapes(documents).groupBy("doc_id").agg(
+    shapes = line_shapes(documents).groupBy("doc_id", "kind", "shape").agg(*[f(c).alias(c) for c, f in (("n_words", F.sum), ("said", F.max), ("repeats", F.max))])
+    by_size = F.reverse(F.sort_array(F.collect_list(F.when(F.col("kind") != "other", F.col("n_words")))))
+    page = shapes.groupBy("doc_id").agg(
+        F.aggregate(F.slice(by_size, 1, few), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("top"),
         F.sum("n_words").alias("total"),
         words("link", "tag", "keyword").alias("stuffed"),
         words("link").alias("links"),
@@ -163,5 +177,5 @@ def stuffed_pages(documents: DataFrame, share: float = SHARE, repeats: float = R
         F.max("repeats").alias("repeats"),
     )
     again = (F.col("repeats") >= repeats * F.col("said")) | (F.col("marked") > share * F.col("total"))
-    page = page.where((F.col("stuffed") > share * F.col("total")) & again & (F.col("n_shapes") <= few))
+    page = page.where((F.col("top") > share * F.col("total")) & again)
     return page.select("doc_id", (F.col("stuffed") / F.col("total")).alias("stuffed_share"), (F.col("links") / F.col("total")).alias("link_share"), "n_shapes")
