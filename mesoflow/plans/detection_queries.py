@@ -115,8 +115,18 @@ def mass_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def newest_before(spark: SparkSession, d: str) -> DataFrame:
-    """For every tenth frame of a run's range, the newest frame with detections at or before it (as-of merge of both in frame order)."""
-    m = table(spark, d, "job_meta").where("frame_end >= frame_start").select("run_id", F.explode(F.sequence("frame_start", "frame_end", F.lit(10))).alias("frame"), F.lit(1).alias("asked"), F.lit(None).cast("bigint").alias("n"))
+    """For every tenth frame of a run's range, as its SQL has it, the newest frame with detections at or before it."""
+    return _newest(spark, d, 10)
+
+
+def newest_before_every(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every frame of a run's range."""
+    return _newest(spark, d, 1)
+
+
+def _newest(spark: SparkSession, d: str, every: int) -> DataFrame:
+    """As-of merge of the asked frames and those with detections, in frame order."""
+    m = table(spark, d, "job_meta").where("frame_end >= frame_start").select("run_id", F.explode(F.sequence("frame_start", "frame_end", F.lit(every))).alias("frame"), F.lit(1).alias("asked"), F.lit(None).cast("bigint").alias("n"))
     n = detections(spark, d).groupBy("run_id", "frame").agg(F.lit(0).alias("asked"), F.count(F.lit(1)).alias("n")).select("run_id", "frame", "asked", "n")
     line = Window.partitionBy("run_id").orderBy("frame", "asked").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("n").isNotNull(), F.struct("frame", "n")), ignorenulls=True).over(line)
@@ -126,7 +136,7 @@ def newest_before(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = """calibrate_edge_filter frame_time ecc_filter mad_outlier_filter adaptive_minmass percentile_mass_filter sweep_minmass mass_histogram
 ecc_histogram subpixel_histogram otsu_256 auto_min_mass_otsu pixel_locking frame_count_dips missing_frames chunk_assignment bundle_summary
-stale_metadata mass_bands newest_before""".split()
+stale_metadata mass_bands newest_before newest_before_every""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
