@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesoflow.operators.quantiles import exact_medians
@@ -16,10 +16,11 @@ GB = ["run_id", "gb_id"]
 SNAP = [*GB, "frame"]
 
 
-def lasting(members: DataFrame, least_frames: int = 10) -> DataFrame:
-    """Members of boundaries seen in at least ``least_frames`` frames, half of them low-angle."""
-    snap = members.groupBy(*SNAP).agg(F.max(F.col("low").cast("int")).alias("_low"))
-    good = snap.groupBy(*GB).agg(F.count(F.lit(1)).alias("_n"), F.avg("_low").alias("_share")).where((F.col("_n") >= least_frames) & (F.col("_share") >= 0.5))
+def lasting(members: DataFrame, least_frames: int | Column = 10) -> DataFrame:
+    """Members of boundaries seen in at least ``least_frames`` frames (a column: by run), half of them low-angle."""
+    least = least_frames if isinstance(least_frames, Column) else F.lit(least_frames)
+    snap = members.groupBy(*SNAP).agg(F.max(F.col("low").cast("int")).alias("_low"), F.max(least).alias("_least"))
+    good = snap.groupBy(*GB).agg(F.count(F.lit(1)).alias("_n"), F.avg("_low").alias("_share"), F.max("_least").alias("_least")).where((F.col("_n") >= F.col("_least")) & (F.col("_share") >= 0.5))
     return members.join(good.select(*GB), GB, "left_semi")
 
 

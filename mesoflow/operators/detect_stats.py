@@ -47,20 +47,26 @@ def above_percentile(df: DataFrame, keys: list[str], p: float, value: str = "mas
     return df.join(cut, keys).where(F.col(value) > F.col("_cut")).drop("_cut")
 
 
-def sweep_counts(df: DataFrame, keys: list[str], low: float, high: float, steps: int = 20, value: str = "mass") -> DataFrame:
+def sweep_counts(df: DataFrame, keys: list[str], low: float | Column, high: float | Column, steps: int = 20, value: str = "mass") -> DataFrame:
     """``keys, step, threshold, n``: rows at or above each of ``steps`` evenly spaced thresholds, counted in one pass.
 
     Every row is put into the highest step that it reaches; the counts are then summed from above.
+    Ends that are columns are the same for all rows of a key.
     """
+    ends = isinstance(low, Column) or isinstance(high, Column)
+    if ends:
+        df = df.withColumn("_low", low if isinstance(low, Column) else F.lit(low)).withColumn("_high", high if isinstance(high, Column) else F.lit(high))
+        low, high = F.col("_low"), F.col("_high")
     width = (high - low) / (steps - 1)
+    at = lambda i: low + width * i if ends else F.lit(low + width * i)
     # the grid itself decides, not a division: counts at equal values must not depend on rounding
-    grid = F.array(*[F.lit(low + width * i) for i in range(steps)])
+    grid = F.array(*[at(i) for i in range(steps)])
     reached = df.withColumn("step", F.size(F.filter(grid, lambda g: F.col(value) >= g)) - 1).where("step >= 0")
     n = reached.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("n"))
-    every = df.select(*keys).distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    every = df.select(*keys, *["_low", "_high"] * ends).distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     down = Window.partitionBy(*keys).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
     full = every.join(n, [*keys, "step"], "left").fillna(0, ["n"])
-    return full.select(*keys, "step", (F.lit(low) + F.lit(width) * F.col("step")).alias("threshold"), F.sum("n").over(down).alias("n"))
+    return full.select(*keys, "step", ((low if ends else F.lit(low)) + (width if ends else F.lit(width)) * F.col("step")).alias("threshold"), F.sum("n").over(down).alias("n"))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:

@@ -45,6 +45,13 @@ def sweep_minmass(spark: SparkSession, d: str) -> DataFrame:
     return S.sweep_counts(detections(spark, d), RUN, 500.0, 12000.0).withColumn("threshold", F.round("threshold", 6))
 
 
+def sweep_minmass_per_run(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 thresholds of each run: a tenth (10 at least) to four times its own minmass (1000 if it has none)."""
+    m = F.coalesce("minmass", F.lit(1000.0))
+    t = with_run(detections(spark, d), spark, d, "params.minmass")
+    return S.sweep_counts(t, RUN, F.greatest(F.lit(10.0), m * 0.1), m * 4).withColumn("threshold", F.round("threshold", 6))
+
+
 def mass_histogram(spark: SparkSession, d: str) -> DataFrame:
     logs = detections(spark, d).select("run_id", "mass")
     return S.histogram(logs, RUN, "mass", 50)
@@ -134,7 +141,7 @@ def _newest(spark: SparkSession, d: str, every: int) -> DataFrame:
     return both.select("run_id", F.col("frame").alias("target"), F.col("_seen.frame").alias("shown"), F.col("_seen.n").alias("n"))
 
 
-_NAMES = """calibrate_edge_filter frame_time ecc_filter mad_outlier_filter adaptive_minmass percentile_mass_filter sweep_minmass mass_histogram
+_NAMES = """calibrate_edge_filter frame_time ecc_filter mad_outlier_filter adaptive_minmass percentile_mass_filter sweep_minmass sweep_minmass_per_run mass_histogram
 ecc_histogram subpixel_histogram otsu_256 auto_min_mass_otsu pixel_locking frame_count_dips missing_frames chunk_assignment bundle_summary
 stale_metadata mass_bands newest_before newest_before_every""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

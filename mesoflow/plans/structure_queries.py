@@ -112,9 +112,11 @@ def boundary_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 def lagb_statistics(spark: SparkSession, d: str) -> DataFrame:
     t, space = _identities(spark, d)
-    t = B.lasting(t, 5).checkpoint()
+    # a fifth of the run's frames, ten at least
+    nf = _points(spark, d).groupBy("run_id").agg(F.count_distinct("frame").alias("_nf"))
+    t = B.lasting(t.join(nf, "run_id"), F.greatest(F.lit(10), F.floor(F.col("_nf") / 5))).drop("_nf").checkpoint()
     s = B.boundary_summary(t, space).checkpoint()
-    eta = B.peak_exponents(B.structure_factor(t, s, 400), s).groupBy("run_id", "gb_id").agg(*[F.max(F.when(F.col("m") == k, F.col("eta"))).alias(f"eta_{k}") for k in (1, 2, 3)])
+    eta = B.peak_exponents(B.structure_factor(t, s), s).groupBy("run_id", "gb_id").agg(*[F.max(F.when(F.col("m") == k, F.col("eta"))).alias(f"eta_{k}") for k in (1, 2, 3)])
     return s.join(eta, ["run_id", "gb_id"], "left")
 
 
