@@ -83,6 +83,13 @@ def p3_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles_of_counts(combine(days, ["video"]), ["video"], PS).withColumn("value", F.round("value", 4))
 
 
+def p3_by_day_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per video, run and frame from states kept per arrival day and combined; values within 0.5 %, not rounded."""
+    det = _arrivals(spark, sf_dir).withColumn("day", F.to_date("arrived_at"))
+    days = value_counts(_levels(det), LEVELS, "mass", relative_error=0.005, extra=["day"])
+    return percentiles_of_counts(combine(days, LEVELS), LEVELS, PS, _large(spark, sf_dir))
+
+
 def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:
     meta = runs(spark, sf_dir)
     readings = table(spark, sf_dir, "tracks").select("obs_id", "run_id", "particle", "frame", "t", "x_um")
@@ -128,6 +135,7 @@ QUERIES = {
     "p2_misfit_runs": p2_misfit_runs,
     "p3_percentiles": p3_percentiles,
     "p3_by_day": p3_by_day,
+    "p3_by_day_levels": p3_by_day_levels,
     "p4_found": p4_found,
     "p4_regular": p4_regular,
     "p5_found": p5_found,
