@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mesoflow.session import ensure_checkpoint_dir
+
 _MERGED = "run_id string, frame int, written_us bigint, file_id bigint, n bigint, part int, last boolean, edge boolean"
 
 
@@ -74,13 +76,17 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_plan(files: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Every key block with ``last``: true if no later version of its key is in its range, and ``edge``: another range may hold some."""
+    """Every key block with ``last``: true if no later version of its key is in its range, and ``edge``: another range may hold some.
+
+    Written once: where the ranges are cut depends on the run, so all that is derived from the plan must read the same one.
+    """
+    ensure_checkpoint_dir(files.sparkSession)
     blocks = key_blocks(files)
     order = ["run_id", "frame", "written_us", "file_id"]
     # (key, version) in full, so that no key is too large for a range
     cut = blocks.repartitionByRange(ranges, *order) if ranges else blocks.repartitionByRange(*order)
     cut = cut.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    return cut.select(*order, "n", "part").mapInArrow(_merge, _MERGED)
+    return cut.select(*order, "n", "part").mapInArrow(_merge, _MERGED).checkpoint()
 
 
 def superseded(merged: DataFrame) -> DataFrame:
