@@ -22,23 +22,25 @@ def frame_times(df: DataFrame, dt: Column, keys: list[str] | None = None) -> Dat
 
 
 def mad_outliers(df: DataFrame, keys: list[str], value: str = "mass", mult: float = 2.5, least: int = 5) -> DataFrame:
-    """Rows within ``mult * 1.4826`` median absolute deviations of their group's median.
+    """Rows within ``mult * 1.4826`` median absolute deviations of their group's median; ``keys`` name an image.
 
     A group is left whole if it has fewer than ``least`` rows, a deviation of 0, or would lose every row.
     """
-    med = exact_medians(df, keys, value).withColumnsRenamed({"median": "_med", "n_rows": "_n"})
-    off = df.join(med, keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
-    mad = exact_medians(off, keys, "_off").withColumnRenamed("median", "_mad").drop("n_rows")
-    judged = off.join(mad, keys).withColumn("_in", F.col("_off") <= mult * 1.4826 * F.col("_mad"))
-    some = judged.groupBy(*keys).agg(F.max(F.col("_in").cast("int")).alias("_some"))
-    kept = judged.join(some, keys).where((F.col("_n") < least) | (F.col("_mad") <= 1e-9) | (F.col("_some") == 0) | F.col("_in"))
+    w = Window.partitionBy(*keys)
+    v = F.col(value).cast("double")
+    # a group is one image, so one window holds it: one shuffle for both medians and the test
+    t = df.withColumn("_med", F.median(v).over(w)).withColumn("_n", F.count(value).over(w)).withColumn("_off", F.abs(v - F.col("_med")))
+    t = t.withColumn("_mad", F.median("_off").over(w)).withColumn("_in", F.col("_off") <= mult * 1.4826 * F.col("_mad"))
+    t = t.withColumn("_some", F.max(F.col("_in").cast("int")).over(w))
+    kept = t.where((F.col("_n") < least) | (F.col("_mad") <= 1e-9) | (F.col("_some") == 0) | F.col("_in"))
     return kept.drop("_med", "_n", "_off", "_mad", "_in", "_some")
 
 
 def adaptive_min_mass(df: DataFrame, keys: list[str], share: float = 0.05, least: int = 8) -> DataFrame:
     """Rows of at least ``share`` of their group's median mass; groups under ``least`` rows or with a median of 0 or less are left whole."""
-    med = exact_medians(df, keys, "mass").withColumnsRenamed({"median": "_med", "n_rows": "_n"})
-    return df.join(med, keys).where((F.col("_n") < least) | (F.col("_med") <= 0) | (F.col("mass") >= share * F.col("_med"))).drop("_med", "_n")
+    w = Window.partitionBy(*keys)
+    t = df.withColumn("_med", F.median(F.col("mass").cast("double")).over(w)).withColumn("_n", F.count("mass").over(w))
+    return t.where((F.col("_n") < least) | (F.col("_med") <= 0) | (F.col("mass") >= share * F.col("_med"))).drop("_med", "_n")
 
 
 def above_percentile(df: DataFrame, keys: list[str], p: float, value: str = "mass") -> DataFrame:

@@ -7,9 +7,10 @@ cumulative count, and the first value that reaches a target rank is the
 percentile. There is no sketch: the rank error is 0, and the value error is 0
 unless ``relative_error`` asks for coarser states.
 
-A group above ``split_rows`` rows is cut at sampled values, so that one group
-with a third of all rows is sorted by many tasks. The cut points only decide
-which task sorts what; the result does not depend on them.
+A group's ranges are cut at its own values, at one distinct value in ``RANGE`` chosen by a
+hash. So a group with a third of all rows is sorted by many tasks, groups on
+different scales do not share cuts, a small group has one range, and the cuts
+are the same whenever they are computed. The plan is one for all sizes and building it starts no job.
 """
 
 from __future__ import annotations
@@ -20,18 +21,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one group that one task may sort.
-SPLIT_ROWS = 4_000_000
-#: Value ranges that a larger group is cut into.
-SPLITS = 256
-
-
-def _same(groups: list[str], prefix: str) -> Column:
-    """Equal group keys (NULL equals NULL) against columns renamed with ``prefix``."""
-    on = F.lit(True)
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(prefix + g))
-    return on
+#: Distinct values of a group per value range, on average. The cuts are broadcast: 8 bytes per so many distinct values (80 MB for 10^13).
+RANGE = 1 << 20
+#: Cuts between two steps of the coarse search.
+_STEP = 256
 
 
 def coarse(value: Column, relative_error: float) -> Column:
@@ -62,48 +55,39 @@ def combine(states: DataFrame, groups: list[str]) -> DataFrame:
     return states.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
 
 
-def large_groups(df: DataFrame, groups: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame | None:
-    """Groups of more than ``split_rows`` rows, or None if there are none (one count over the group columns only)."""
-    large = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > split_rows).select(*groups)
-    return None if large.isEmpty() else large
+def _in_ranges(counts: DataFrame, every: int) -> DataFrame:
+    """Adds ``_block``, the number of the group's cuts at or below the value."""
+    chosen = counts.where(F.pmod(F.xxhash64("_g", "value"), F.lit(every)) == 0)
+    cuts = chosen.groupBy("_g").agg(F.sort_array(F.collect_list("value")).alias("_cuts"))
+    # every _STEP-th cut first, then the cuts from there on: a search of cuts / _STEP + _STEP steps
+    rough = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / _STEP).cast("int")), lambda i: F.element_at("_cuts", i * _STEP + 1))
+    keyed = counts.join(F.broadcast(cuts.withColumn("_rough", rough)), "_g", "left")
+    start = F.greatest(F.size(F.filter("_rough", lambda c: c <= F.col("value"))) - 1, F.lit(0)) * _STEP
+    at = start + F.size(F.filter(F.slice("_cuts", start + 1, F.lit(_STEP)), lambda c: c <= F.col("value")))
+    return keyed.select("_g", "value", "n", F.when(F.col("_cuts").isNull(), 0).otherwise(at).alias("_block"))
 
 
-def pick_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], list[Column]], large: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
+def pick_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], list[Column]], every: int = RANGE) -> DataFrame:
     """``groups, n_rows, hit, value``: the first values whose cumulative counts reach given ranks.
 
     ``ranks`` makes, from a group's row count, structs that have a BIGINT field
-    ``rank``; each comes back as ``hit``. ``large`` names the groups to be
-    cut into ``splits`` value ranges (see ``large_groups``).
+    ``rank``; each comes back as ``hit``. ``every`` sets the size of the value ranges.
     """
-    keyed, block = counts, F.lit(0)
-    if large is not None:
-        marks = large.select(*[F.col(g).alias(f"_h_{g}") for g in groups], F.lit(True).alias("_hot"))
-        keyed = counts.join(marks, _same(groups, "_h_"), "left").drop(*[f"_h_{g}" for g in groups])
-        # cut points from the values of the large groups; 2 KB go to the driver
-        cuts = keyed.where("_hot").agg(F.percentile_approx("value", [i / splits for i in range(1, splits)], 10_000).alias("c")).first()["c"]
-        bound = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>")
-        block = F.when(F.col("_hot"), F.size(F.filter(bound, lambda c: c <= F.col("value")))).otherwise(F.lit(0))
-    keyed = keyed.withColumn("_block", block).drop("_hot")
-    part = Window.partitionBy(*groups, "_block")
-    run = part.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    summed = keyed.withColumn("_cum", F.sum("n").over(run)).withColumn("_total", F.sum("n").over(part))
-    if large is not None:
-        blocks = keyed.groupBy(*groups, "_block").agg(F.sum("n").alias("_in"))
-        order = Window.partitionBy(*groups).orderBy("_block")
-        blocks = blocks.select(
-            *[F.col(g).alias(f"_b_{g}") for g in groups],
-            F.col("_block").alias("_b_block"),
-            F.coalesce(F.sum("_in").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-            F.sum("_in").over(Window.partitionBy(*groups)).alias("_all"),
-        )
-        on = (F.col("_block") == F.col("_b_block")) & _same(groups, "_b_")
-        summed = summed.join(blocks, on).withColumn("_cum", F.col("_cum") + F.col("_offset")).withColumn("_total", F.col("_all"))
-    reached = F.filter(F.array(*ranks(F.col("_total"))), lambda r: (r["rank"] <= F.col("_cum")) & (r["rank"] > F.col("_cum") - F.col("n")))
-    hit = summed.select(*groups, "value", F.col("_total").alias("n_rows"), reached.alias("_hit")).where(F.size("_hit") > 0)
-    return hit.select(*groups, "n_rows", F.explode("_hit").alias("hit"), "value")
-
-
-def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float], large: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
+    # one struct for the key: in it NULL equals NULL
+    keyed = _in_ranges(counts.select(F.struct(*groups).alias("_g"), "value", "n"), every)
+    inside = Window.partitionBy("_g", "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    lower = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per group and range
+    blocks = keyed.groupBy("_g", "_block").agg(F.sum("n").alias("_in"))
+    blocks = blocks.select("_g", "_block", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_offset"), F.sum("_in").over(Window.partitionBy("_g")).alias("n_rows"))
+    summed = keyed.withColumn("_cum", F.sum("n").over(inside)).join(blocks, ["_g", "_block"])
+    upto = F.col("_offset") + F.col("_cum")
+    reached = F.filter(F.array(*ranks(F.col("n_rows"))), lambda r: (r["rank"] <= upto) & (r["rank"] > upto - F.col("n")))
+    hit = summed.select("_g", "value", "n_rows", reached.alias("_hit")).where(F.size("_hit") > 0)
+    return hit.select("_g.*", "n_rows", F.explode("_hit").alias("hit"), "value")
+
+
+def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float], every: int = RANGE) -> DataFrame:
     """``groups, n_rows, p, rank, value``: for each p the smallest value whose cumulative count reaches ``greatest(1, ceil(p * n))``.
 
     p * n is rounded to 6 digits first, so 0.1 * 30 is 3. Empty input gives no
@@ -113,15 +97,15 @@ def percentiles_of_counts(counts: DataFrame, groups: list[str], ps: list[float],
     def ranks(n: Column) -> list[Column]:
         return [F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(p)) * n, 6))).cast("bigint").alias("rank")) for p in ps]
 
-    return pick_ranks(counts, groups, ranks, large, splits).select(*groups, "n_rows", F.col("hit.p").alias("p"), F.col("hit.rank").alias("rank"), "value")
+    return pick_ranks(counts, groups, ranks, every).select(*groups, "n_rows", F.col("hit.p").alias("p"), F.col("hit.rank").alias("rank"), "value")
 
 
-def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[float], relative_error: float = 0.0, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[float], relative_error: float = 0.0, every: int = RANGE) -> DataFrame:
     """``percentiles_of_counts`` of a table."""
-    return percentiles_of_counts(value_counts(df, groups, value, relative_error), groups, ps, large_groups(df, groups, split_rows))
+    return percentiles_of_counts(value_counts(df, groups, value, relative_error), groups, ps, every)
 
 
-def linear_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float], split_rows: int = SPLIT_ROWS) -> DataFrame:
+def linear_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float], every: int = RANGE) -> DataFrame:
     """``groups, n_rows`` and a column per name: percentiles interpolated between the two nearest ranks, as numpy's default has them."""
 
     def ranks(n: Column) -> list[Column]:
@@ -132,17 +116,26 @@ def linear_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[st
                 out.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (at - F.floor(at)).alias("share"), (r + 1).cast("bigint").alias("rank")))
         return out
 
-    hit = pick_ranks(value_counts(df, groups, value), groups, ranks, large_groups(df, groups, split_rows))
+    hit = pick_ranks(value_counts(df, groups, value), groups, ranks, every)
     of = lambda name, side, c: F.max(F.when((F.col("hit.name") == name) & (F.col("hit.side") == side), F.col(c)))
     mixed = [(of(n, "lo", "value") + (of(n, "hi", "value") - of(n, "lo", "value")) * of(n, "lo", "hit.share")).alias(n) for n in ps]
     return hit.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *mixed)
 
 
-def exact_medians(df: DataFrame, groups: list[str], value: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def exact_medians(df: DataFrame, groups: list[str], value: str, every: int = RANGE) -> DataFrame:
     """``groups, n_rows, median``: the mean of the two middle values, as numpy has it."""
 
     def ranks(n: Column) -> list[Column]:
         return [F.struct(r.cast("bigint").alias("rank"), F.lit(i).alias("side")) for i, r in enumerate((F.ceil(n / 2), F.floor(n / 2) + 1))]
 
-    hit = pick_ranks(value_counts(df, groups, value), groups, ranks, large_groups(df, groups, split_rows))
+    hit = pick_ranks(value_counts(df, groups, value), groups, ranks, every)
     return hit.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), (F.sum("value") / 2).alias("median"))
+
+
+def bounded_medians(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """The same for groups that are bounded by nature (the points of one image): one aggregate, one shuffle.
+
+    NULL and NaN are passed over; a group of only these has no row.
+    """
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"), F.median(v).alias("median"))

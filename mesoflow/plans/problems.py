@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mesoflow.operators.compaction import chunk_check, consolidate, merge_plan, superseded
 from mesoflow.operators.proximity import near_pairs, points_in_regions
-from mesoflow.operators.quantiles import combine, large_groups, percentiles_of_counts, value_counts
+from mesoflow.operators.quantiles import combine, percentiles_of_counts, value_counts
 from mesoflow.operators.regrid import one_per_slot, regular_grid
 from mesoflow.operators.spikes import Field, flag_readings
 from mesoflow.session import ensure_checkpoint_dir, first_arrival, sized_broadcast, table
@@ -64,16 +64,10 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_arrival(table(spark, sf_dir, "detections"), "det_id", "arrived_at", ["video", "run_id", "frame", "mass"])
 
 
-def _large(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    # a video is the largest group there is; counted before repeats are folded, so never too small
-    raw = table(spark, sf_dir, "detections")
-    return large_groups(_levels(raw), LEVELS)
-
-
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of mass per video, run and frame, exact (rank and value error 0)."""
     counts = value_counts(_levels(_arrivals(spark, sf_dir)), LEVELS, "mass")
-    return percentiles_of_counts(counts, LEVELS, PS, _large(spark, sf_dir))
+    return percentiles_of_counts(counts, LEVELS, PS)
 
 
 def p3_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +81,7 @@ def p3_by_day_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per video, run and frame from states kept per arrival day and combined; values within 0.5 %, not rounded."""
     det = _arrivals(spark, sf_dir).withColumn("day", F.to_date("arrived_at"))
     days = value_counts(_levels(det), LEVELS, "mass", relative_error=0.005, extra=["day"])
-    return percentiles_of_counts(combine(days, LEVELS), LEVELS, PS, _large(spark, sf_dir))
+    return percentiles_of_counts(combine(days, LEVELS), LEVELS, PS)
 
 
 def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:

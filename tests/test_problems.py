@@ -178,18 +178,18 @@ def test_misfit_runs(spark):
 # ---- 3: percentiles
 
 
-@pytest.mark.parametrize("split", [4_000_000, 50])
-def test_percentiles_are_exact(spark, split):
+@pytest.mark.parametrize("every", [Q.RANGE, 7, 1])
+def test_percentiles_are_exact(spark, every):
     data = {"hot": RNG.normal(0, 10, 900).round(1), "b": RNG.normal(0, 1, 40), None: np.array([1.0, 1.0, 2.0])}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("hot", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {(r["g"], r["p"]): (r["value"], r["n_rows"]) for r in Q.exact_percentiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.9, 1.0], split_rows=split).collect()}
+    got = {(r["g"], r["p"]): (r["value"], r["n_rows"]) for r in Q.exact_percentiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.9, 1.0], every=every).collect()}
     for k, vs in data.items():
         s = np.sort(vs)
         for p in (0.0, 0.1, 0.5, 0.9, 1.0):
             assert got[k, p] == (s[max(1, math.ceil(round(p * len(s), 6))) - 1], len(s))
-    med = {r["g"]: r["median"] for r in Q.exact_medians(df, ["g"], "v", split_rows=split).collect()}
-    lin = {r["g"]: r["q"] for r in Q.linear_percentiles(df, ["g"], "v", {"q": 0.37}, split_rows=split).collect()}
+    med = {r["g"]: r["median"] for r in Q.exact_medians(df, ["g"], "v", every=every).collect()}
+    lin = {r["g"]: r["q"] for r in Q.linear_percentiles(df, ["g"], "v", {"q": 0.37}, every=every).collect()}
     for k, vs in data.items():
         assert med[k] == pytest.approx(np.median(vs), abs=1e-12)
         assert lin[k] == pytest.approx(np.percentile(vs, 37), abs=1e-9)
