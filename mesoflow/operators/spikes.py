@@ -4,17 +4,18 @@ The readings of a source are cut into profiles (stretches of a fixed number of
 consecutive readings, the "days" of a source that has no calendar). The
 profiles of a source are the rows of a matrix, which robust principal
 components split into a low-rank part L (the source's normal behaviour) and a
-sparse part S. A reading is a candidate if S or a jump of L is large. The
-bounds are chosen so that every reading that the exact rule can flag is a
-candidate whatever the split was (X = L + S and the triangle inequality), so
-the exact rule that follows on the candidates loses none. Constant runs and
+sparse part S. Two things come of the split. A reading's score is its |S|
+against the robust scale of S in its source, and readings that score high are
+reported as such. And the readings whose S, or L, is large are the candidates
+to which alone the exact spike rule is applied; by the triangle inequality
+(X = L + S) the rule loses none of its cases by that, so its result is exact whatever the split. Constant runs and
 ranges are tested apart.
 
 Work is spread by (source, block): a source's readings are cut into blocks of
 ``block`` units of its order column, so one source with a third of all rows is
-many tasks' work. Where a source has several blocks, each block also gets the
-readings before and after it that its decisions need, and the source's median
-comes from ``quantiles``, distributed too.
+many tasks' work. Each block of a source of several also gets the
+readings before and after it that its decisions need, and such a source's median
+comes from ``quantiles``, distributed too. The plan is one for all sizes.
 """
 
 from __future__ import annotations
@@ -51,16 +52,18 @@ class Field:
     times: float = 6.0
     #: Readings that a source must have to be judged for spikes.
     enough: int = 1
-    #: Profile length and profiles per matrix.
+    #: Profile length and profiles per matrix, at most.
     width: int = 16
+    #: Robust scales of S from which a reading counts as off its source's normal behaviour.
+    off: float = 8.0
 
 
-def robust_pca(x: np.ndarray, iterations: int = 14) -> tuple[np.ndarray, np.ndarray]:
+def robust_pca(x: np.ndarray, iterations: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Low-rank and sparse parts of a stack of matrices (n, r, c).
 
     Principal component pursuit by augmented Lagrangian: singular value
     thresholding for L, soft thresholding for S. S is returned as X - L, so
-    the parts always add up. Zero matrices stay zero.
+    the parts always add up. Zero matrices stay zero. The few rounds leave dense noise in S, by whose scale S is judged.
     """
     n, r, c = x.shape
     if not n:
@@ -89,26 +92,41 @@ def robust_pca(x: np.ndarray, iterations: int = 14) -> tuple[np.ndarray, np.ndar
 
 
 def profile_parts(gid: np.ndarray, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """L and S per reading; ``x`` is centred per group, so the padding 0 is normal."""
+    """L and S per reading; ``x`` is centred per group, so the padding 0 of a group's last matrix is normal.
+
+    A group of n readings has profiles of 4 readings, of 8 from n = 64 on and of 16 from 256 on (``width`` at most).
+    """
     low, sparse = np.zeros_like(x), np.zeros_like(x)
     if not len(x):
         return low, sparse
     starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
-    pos = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
-    area = width * width
-    new = np.r_[True, (gid[1:] != gid[:-1]) | (pos[1:] % area == 0)]
-    which = np.cumsum(new) - 1
-    cell = pos % area
-    for a in range(0, int(which[-1]) + 1, 2048):
-        lo, hi = np.searchsorted(which, [a, a + 2048])
-        m = np.zeros((int(which[hi - 1]) - a + 1, area))
-        m[which[lo:hi] - a, cell[lo:hi]] = x[lo:hi]
-        l, s = robust_pca(m.reshape(-1, width, width))
-        low[lo:hi] = l.reshape(-1, area)[which[lo:hi] - a, cell[lo:hi]]
-        sparse[lo:hi] = s.reshape(-1, area)[which[lo:hi] - a, cell[lo:hi]]
+    n = np.diff(np.r_[starts, len(x)])
+    own = np.minimum(np.where(n >= 256, 16, np.where(n >= 64, 8, 4)), width)
+    of, pos = np.repeat(own, n), np.arange(len(x)) - np.repeat(starts, n)
+    for w in np.unique(own).tolist():
+        at = np.flatnonzero(of == w)
+        area = w * w
+        cell = pos[at] % area
+        which = np.cumsum(np.r_[True, (gid[at][1:] != gid[at][:-1]) | (cell[1:] == 0)]) - 1
+        for a in range(0, int(which[-1]) + 1, 2048):
+            lo, hi = np.searchsorted(which, [a, a + 2048])
+            m = np.zeros((int(which[hi - 1]) - a + 1, area))
+            m[which[lo:hi] - a, cell[lo:hi]] = x[at[lo:hi]]
+            l, s = robust_pca(m.reshape(-1, w, w))
+            low[at[lo:hi]] = l.reshape(-1, area)[which[lo:hi] - a, cell[lo:hi]]
+            sparse[at[lo:hi]] = s.reshape(-1, area)[which[lo:hi] - a, cell[lo:hi]]
     return low, sparse
 
 
+def residual_scores(gid: np.ndarray, sparse: np.ndarray, n_groups: int) -> np.ndarray:
+    """|S| in robust scales (1.4826 times its median) of its group; where that is 0 the mean stands for it, and 0 is 0."""
+    size = np.abs(sparse)
+    scale = 1.4826 * group_median(gid, size, n_groups)
+    mean = np.bincount(gid, size, n_groups) / np.maximum(np.bincount(gid, minlength=n_groups), 1)
+    scale = np.where(scale > 0, scale, mean)[gid]
+    return np.divide(size, scale, out=np.zeros_like(size), where=scale > 0)
+
+
 def _stuck(gid: np.ndarray, v: np.ndarray, least: int) -> np.ndarray:
     if not len(v):
         return np.zeros(0, bool)
@@ -117,19 +135,24 @@ def _stuck(gid: np.ndarray, v: np.ndarray, least: int) -> np.ndarray:
     return np.bincount(run)[run] >= least
 
 
-def _ratio_spikes(gid: np.ndarray, v: np.ndarray, median: np.ndarray, f: Field) -> np.ndarray:
+def _ratio_spikes(gid: np.ndarray, v: np.ndarray, median: np.ndarray, f: Field) -> tuple[np.ndarray, np.ndarray]:
+    """(readings that the exact rule flags, S)."""
     centre = median[gid]
     low, sparse = profile_parts(gid, np.log(v) - np.log(centre), f.width)
     # |log(v/median)| > log(times) needs |L| or |S| above half of it
     half = 0.49 * math.log(f.times)
     candidate = (np.abs(sparse) > half) | (np.abs(low) > half)
-    return candidate & ((v > f.times * centre) | (v * f.times < centre))
+    hit = np.zeros(len(v), bool)
+    i = np.flatnonzero(candidate)
+    hit[i] = (v[i] > f.times * centre[i]) | (v[i] * f.times < centre[i])
+    return hit, sparse
 
 
-def _jump_spikes(gid: np.ndarray, v: np.ndarray, unit: np.ndarray, judged: np.ndarray, f: Field) -> np.ndarray:
+def _jump_spikes(gid: np.ndarray, v: np.ndarray, unit: np.ndarray, judged: np.ndarray, f: Field) -> tuple[np.ndarray, np.ndarray]:
+    """(readings that the exact rule flags, S)."""
     n = len(v)
     if n < 3:
-        return np.zeros(n, bool)
+        return np.zeros(n, bool), np.zeros(n)
     u, on = unit[gid], judged[gid]
     limit = f.times * u
     centre = group_median(gid, v, int(gid[-1]) + 1)[gid]
@@ -154,7 +177,7 @@ def _jump_spikes(gid: np.ndarray, v: np.ndarray, unit: np.ndarray, judged: np.nd
         inside2 = same[:n] & same[1:] & np.r_[same[2:], False][:n]
         d = np.stack([a, v - nxt2, nxt - prev, nxt - nxt2])
         two = inside2 & ((d > limit).all(axis=0) | (d < -limit).all(axis=0))
-    return (one | two | np.r_[False, two[:-1]]) & candidate
+    return (one | two | np.r_[False, two[:-1]]) & candidate, sparse
 
 
 def _values(t: pa.Table, f: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,71 +190,80 @@ def _values(t: pa.Table, f: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, there, bad
 
 
-def _kernel(fields: list[Field], keys: list[str], rec: str, mode: str):
+#: Tag of the rows that bring a source's distributed median to its blocks.
+_STATS = 1 << 30
+
+
+def _measure(fields: list[Field], keys: list[str]):
+    """What the medians of sources of several blocks are taken of: ``source, field, x`` (a first reading has no change, so x NaN)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, gid in whole_groups(batches, keys):
+            tag = np.asarray(t.column("_tag").combine_chunks())
+            core = tag == 0
+            rows, names, values = [], [], []
+            for k, f in enumerate(fields):
+                v, there, bad = _values(t, f)
+                i = np.flatnonzero(there & ~bad & (core | (tag & (2 << (2 * k)) > 0)))
+                x = v[i]
+                if f.spike == "jump":
+                    x = np.abs(np.diff(x, prepend=np.nan))
+                    x[np.r_[True, gid[i[1:]] != gid[i[:-1]]][: len(x)]] = np.nan
+                rows.append(i[core[i]])
+                names.append(np.full(len(rows[-1]), f.name, object))
+                values.append(x[core[i]])
+            at = pa.array(np.concatenate(rows))
+            source = [k for k in keys if k != "_block"]
+            yield pa.RecordBatch.from_arrays([*[t.column(k).combine_chunks().take(at) for k in source], pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(values), pa.float64())], [*source, "field", "x"])
+
+    return run
+
+
+def _flag(fields: list[Field], keys: list[str], rec: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, gid in whole_groups(batches, keys):
             n_groups = int(gid[-1]) + 1
             tag = np.asarray(t.column("_tag").combine_chunks())
             core = tag == 0
-            ids, names, kinds = [], [], []
+            ids, names, kinds, scores = [], [], [], []
             for k, f in enumerate(fields):
                 v, there, bad = _values(t, f)
-                ok = there & ~bad & (core | (tag & (2 << (2 * k)) > 0))
-                if mode == "measure":
-                    # what the source's median is taken of, for sources of several blocks
-                    i = np.flatnonzero(ok)
-                    if f.spike == "ratio":
-                        take, x = i[core[i]], v[i[core[i]]]
-                    else:
-                        x = np.abs(np.diff(v[i]))
-                        keep = (gid[i[1:]] == gid[i[:-1]]) & core[i[1:]]
-                        take, x = i[1:][keep], x[keep]
-                        # a first reading has no change; NaN keeps its place in the count of readings
-                        rest = np.setdiff1d(i[core[i]], take)
-                        take, x = np.r_[take, rest], np.r_[x, np.full(len(rest), np.nan)]
-                    ids.append(take)
-                    names.append(np.full(len(take), f.name, object))
-                    kinds.append(x)
-                    continue
-                here = there & (core | (tag & (1 << (2 * k)) > 0))
-                i = np.flatnonzero(here)
+                i = np.flatnonzero(there & (core | (tag & (1 << (2 * k)) > 0)))
                 stuck = np.zeros(len(v), bool)
                 stuck[i] = _stuck(gid[i], v[i], f.stuck)
-                i = np.flatnonzero(ok)
+                i = np.flatnonzero(there & ~bad & (core | (tag & (2 << (2 * k)) > 0)))
                 g, w = gid[i], v[i]
                 if f.spike == "ratio":
                     own = group_median(g, w, n_groups)
-                    hits = np.zeros(len(w), bool)
                 else:
                     same = g[1:] == g[:-1]
                     own = group_median(g[1:][same], np.abs(np.diff(w))[same], n_groups)
-                given, count = floats(t, f"_unit_{f.name}"), floats(t, f"_n_{f.name}")
-                first = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
-                unit = np.where(np.isnan(given[first]), own, given[first])
-                n = np.where(np.isnan(count[first]), np.bincount(g, minlength=n_groups), count[first])
-                judged = (n >= f.enough) & ~np.isnan(unit)
+                count = np.bincount(g, minlength=n_groups).astype(float)
+                for told, mine in ((f"_unit_{f.name}", own), (f"_n_{f.name}", count)):
+                    x = floats(t, told)
+                    given = np.flatnonzero(~np.isnan(x))
+                    mine[gid[given]] = x[given]
+                judged = (count >= f.enough) & ~np.isnan(own)
+                spike, score = np.zeros(len(v), bool), np.zeros(len(v))
                 if len(w):
-                    hits = _ratio_spikes(g, w, unit, f) & judged[g] if f.spike == "ratio" else _jump_spikes(g, w, np.nan_to_num(unit), judged, f)
-                else:
-                    hits = np.zeros(0, bool)
-                spike = np.zeros(len(v), bool)
-                spike[i] = hits
-                found = np.flatnonzero(core & (bad | stuck | spike))
+                    hit, sparse = _ratio_spikes(g, w, own, f) if f.spike == "ratio" else _jump_spikes(g, w, np.nan_to_num(own), judged, f)
+                    spike[i] = hit & judged[g]
+                    score[i] = np.where(judged[g], residual_scores(g, sparse, n_groups), 0.0)
+                off = score > f.off
+                found = np.flatnonzero(core & (bad | stuck | spike | off))
                 ids.append(found)
                 names.append(np.full(len(found), f.name, object))
-                kinds.append(bad[found] + 2 * stuck[found] + 4 * spike[found])
-            at = np.concatenate(ids)
-            if mode == "measure":
-                out = [t.column(k).combine_chunks().take(pa.array(at)) for k in keys if k != "_block"]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(kinds), pa.float64())], [*[k for k in keys if k != "_block"], "field", "x"])
-            else:
-                yield pa.RecordBatch.from_arrays([t.column(rec).combine_chunks().take(pa.array(at)), pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(kinds).astype(np.int32))], ["rec_id", "field", "kind"])
+                kinds.append(bad[found] + 2 * stuck[found] + 4 * spike[found] + 8 * off[found])
+                scores.append(np.where(bad[found], np.nan, score[found]))
+            at = pa.array(np.concatenate(ids))
+            cols = [t.column(rec).combine_chunks().take(at), pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(scores), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["rec_id", "field", "kind", "score"])
 
     return run
 
 
-def _halo(readings: DataFrame, source: list[str], order: list[str], fields: list[Field]) -> DataFrame:
-    """For sources of several blocks: the readings next to each block, tagged by what they serve.
+def _halo(long: DataFrame, several: DataFrame, source: list[str], order: list[str], fields: list[Field]) -> DataFrame:
+    """The readings next to each block of ``long``, tagged by what they serve.
 
     Of each block the first and last readings of every kind are taken: as many
     present values as a stretch can need, and three usable ones for spikes.
@@ -241,9 +273,8 @@ def _halo(readings: DataFrame, source: list[str], order: list[str], fields: list
     reach = max([f.stuck for f in fields] + [3])
     up = Window.partitionBy(*source, "_block").orderBy(*order)
     down = Window.partitionBy(*source, "_block").orderBy(*[F.col(o).desc() for o in order])
-    x = readings
-    sides = {"tail": down, "head": up}
-    for side, w in sides.items():
+    x = long
+    for side, w in {"tail": down, "head": up}.items():
         bits = F.lit(0)
         for k, f in enumerate(fields):
             there = F.col(f.name).isNotNull() & ~F.isnan(F.col(f.name).cast("double"))
@@ -258,26 +289,22 @@ def _halo(readings: DataFrame, source: list[str], order: list[str], fields: list
                 seen = F.sum(F.when(here, 1).otherwise(0)).over(run)
                 bits = bits + F.when(here & (seen <= n), bit).otherwise(0)
         x = x.withColumn(f"_{side}", bits)
-    x = x.where((F.col("_tail") > 0) | (F.col("_head") > 0))
-    blocks = readings.select(*source, "_block").distinct()
-    blocks = blocks.withColumn("_at", F.row_number().over(Window.partitionBy(*source).orderBy("_block")))
-    x = x.join(blocks, [*source, "_block"]).drop("_block")
+    x = x.where((F.col("_tail") > 0) | (F.col("_head") > 0)).drop("_block")
     out = None
     for side, sign in (("tail", 1), ("head", -1)):
         one = x.where(F.col(f"_{side}") > 0).withColumn("_tag", F.col(f"_{side}"))
         one = one.withColumn("_by", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("_at", F.col("_at") + sign * F.col("_by")).drop("_by")
         out = one if out is None else out.unionByName(one)
-    return out.join(blocks, [*source, "_at"]).drop("_at", "_tail", "_head")
+    return out.join(several, [*source, "_at"]).drop("_at", "_tail", "_head")
 
 
-def flag_readings(readings: DataFrame, source: list[str], order: list[str], rec: str, fields: list[Field], block: int = 65_536, extent_of: DataFrame | None = None) -> DataFrame:
-    """``rec_id, field, kind`` for every odd reading; kind adds 1 impossible, 2 stuck, 4 spike.
+def flag_readings(readings: DataFrame, source: list[str], order: list[str], rec: str, fields: list[Field], block: int = 16_384) -> DataFrame:
+    """``rec_id, field, kind, score`` for every odd reading; kind adds 1 impossible, 2 stuck, 4 spike by the exact rule, 8 off the source's normal behaviour.
 
-    ``readings`` has one row per reading; the first ``order`` column is an
-    integer that cuts long sources into blocks, the last one makes the order
-    total. ``extent_of`` may be a cheaper table with the same sources and order
-    values (such as the readings before repeats are folded), from which the
-    long sources are found. NULL and NaN values are missing: never flagged and
+    ``score`` is the reading's sparse part in robust scales of its source (of the block, for sources of several), NULL for
+    impossible readings; kind 8 means a score above ``Field.off``. ``readings`` has one row per reading; the first ``order`` column is an
+    integer that cuts sources into blocks of ``block`` units, the last one makes the order
+    total. NULL and NaN values are missing: never flagged and
     passed over. Rows with a NULL source are not judged; a NULL order stands
     first. Empty input gives no rows.
     """
@@ -287,36 +314,25 @@ def flag_readings(readings: DataFrame, source: list[str], order: list[str], rec:
         present = present | (F.col(f.name).isNotNull() & ~F.isnan(F.col(f.name).cast("double")))
     for c in source:
         present = present & F.col(c).isNotNull()
-    r = readings.select(*cols).where(present)
     keys = [*source, "_block"]
-    span = F.floor((F.max(order[0]) - F.min(order[0])) / block)
-    extent = (r if extent_of is None else extent_of).groupBy(*source).agg(F.min(order[0]).alias("_from"), span.alias("_span")).where("_span > 0")
-    several = not extent.isEmpty()
-    if several:
-        first = extent.select(*[F.col(c).alias(f"_s_{c}") for c in source], "_from")
-        on = F.lit(True)
-        for c in source:
-            on = on & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-        r = r.join(first, on, "left").withColumn("_block", F.coalesce(F.floor((F.col(order[0]) - F.col("_from")) / block), F.lit(0)).cast("bigint"))
-        long = r.where(F.col("_from").isNotNull()).select(*cols, "_block")
-        r = r.select(*cols, "_block")
-    else:
-        r = r.withColumn("_block", F.lit(0).cast("bigint"))
-    r = r.withColumn("_tag", F.lit(0))
-    measures = [c for f in fields for c in (f"_unit_{f.name}", f"_n_{f.name}")]
-    if several:
-        halo = _halo(long, source, order, fields)
-        whole = r.unionByName(halo)
-        parts = long.withColumn("_tag", F.lit(0)).unionByName(halo).repartition(*keys).sortWithinPartitions(*keys, *order)
-        kinds = ", ".join(f"`{k}` {dict(r.dtypes)[k]}" for k in source)
-        changes = parts.mapInArrow(_kernel(fields, keys, rec, "measure"), f"{kinds}, field string, x double")
-        medians = exact_medians(changes, [*source, "field"], "x")
-        counts = changes.groupBy(*source, "field").agg(F.count(F.lit(1)).alias("_n"))
-        stats = counts.join(medians.drop("n_rows"), [*source, "field"], "left").groupBy(*source)
-        stats = stats.agg(*[c for f in fields for c in (F.max(F.when(F.col("field") == f.name, F.col("median"))).alias(f"_unit_{f.name}"), F.max(F.when(F.col("field") == f.name, F.col("_n"))).alias(f"_n_{f.name}"))])
-        stats = stats.select(*[F.col(c).alias(f"_s_{c}") for c in source], *measures)
-        whole = whole.join(stats, on, "left").drop(*[f"_s_{c}" for c in source])
-    else:
-        whole = r.select("*", *[F.lit(None).cast("double").alias(m) for m in measures])
+    at = F.coalesce(F.floor(F.col(order[0]) / block).cast("bigint"), F.lit(-(1 << 62)))
+    r = readings.select(*cols, at.alias("_block")).where(present)
+    # one row per block; the readings of a source of one block need nothing from others
+    of = Window.partitionBy(*source)
+    several = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_of", F.count(F.lit(1)).over(of))
+    several = several.withColumn("_at", F.row_number().over(of.orderBy("_block"))).where("_of > 1").select(*keys, "_at")
+    long = r.join(several, keys)
+    halo = _halo(long, several, source, order, fields)
+    kinds = ", ".join(f"`{k}` {dict(r.dtypes)[k]}" for k in source)
+    # every reading of such a source is measured once, in its own block
+    parts = long.drop("_at").withColumn("_tag", F.lit(0)).unionByName(halo).repartition(*keys).sortWithinPartitions(*keys, *order)
+    changes = parts.mapInArrow(_measure(fields, keys), f"{kinds}, field string, x double")
+    medians = exact_medians(changes, [*source, "field"], "x").drop("n_rows")
+    counts = changes.groupBy(*source, "field").agg(F.count(F.lit(1)).alias("_n"))
+    by_field = [c for f in fields for c in (F.max(F.when(F.col("field") == f.name, F.col("median"))).alias(f"_unit_{f.name}"), F.max(F.when(F.col("field") == f.name, F.col("_n"))).cast("double").alias(f"_n_{f.name}"))]
+    stats = counts.join(medians, [*source, "field"], "left").groupBy(*source).agg(*by_field)
+    # the medians travel to the blocks as rows, so no reading is shuffled for them
+    stats = stats.join(several.drop("_at"), source).withColumn("_tag", F.lit(_STATS))
+    whole = r.withColumn("_tag", F.lit(0)).unionByName(halo).unionByName(stats, allowMissingColumns=True)
     parts = whole.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return parts.mapInArrow(_kernel(fields, keys, rec, "flag"), "rec_id bigint, field string, kind int")
+    return parts.mapInArrow(_flag(fields, keys, rec), "rec_id bigint, field string, kind int, score double")

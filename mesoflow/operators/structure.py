@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mesoflow.operators.geometry import components, delaunay
 from mesoflow.operators.groupmap import map_groups
 from mesoflow.operators.proximity import near_pairs
-from mesoflow.operators.quantiles import exact_medians
+from mesoflow.operators.quantiles import bounded_medians
 from mesoflow.session import ensure_checkpoint_dir
 
 FRAME = ["run_id", "frame"]
@@ -168,7 +168,7 @@ def band_misorientation(b: DataFrame, members: DataFrame, points: DataFrame, spa
     keys = [*FRAME, "gb"]
     line = Window.partitionBy(*keys).orderBy("s")
     gaps = members.withColumn("_gap", F.col("s") - F.lag("s").over(line)).where("_gap is not null")
-    d = exact_medians(gaps, keys, "_gap").select(*keys, F.col("median").alias("_D"))
+    d = bounded_medians(gaps, keys, "_gap").select(*keys, F.col("median").alias("_D"))
     ends = members.groupBy(*keys).agg(F.min("s").alias("_s0"), F.max("s").alias("_s1"))
     x = b.withColumn("_b", spacing).join(ends, keys).join(d, keys, "left")
     x = x.withColumn("_in", 1.5 * F.col("_b")).withColumn("_out", F.col("_in") + F.greatest(2 * F.col("_b"), F.greatest(F.coalesce("_D", "_b"), F.col("_b")) / 2))
@@ -187,7 +187,7 @@ def band_misorientation(b: DataFrame, members: DataFrame, points: DataFrame, spa
 def trim_members(members: DataFrame, max_h: Column, least: int = 3) -> DataFrame:
     """Members within ``max_h`` of their boundary's median ``h``; boundaries left with fewer than ``least`` go."""
     keys = [*FRAME, "gb"]
-    med = exact_medians(members, keys, "h").select(*keys, F.col("median").alias("_med"))
+    med = bounded_medians(members, keys, "h").select(*keys, F.col("median").alias("_med"))
     kept = members.join(med, keys).where(F.abs(F.col("h") - F.col("_med")) <= max_h).drop("_med")
     n = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     return kept.join(n.select(*keys), keys, "left_semi")
@@ -195,7 +195,7 @@ def trim_members(members: DataFrame, max_h: Column, least: int = 3) -> DataFrame
 
 def bond_filter(edges: DataFrame, times: float = 1.4) -> DataFrame:
     """Edges shorter than ``times`` the median edge of their frame."""
-    med = exact_medians(edges, FRAME, "len").select(*FRAME, F.col("median").alias("_m"))
+    med = bounded_medians(edges, FRAME, "len").select(*FRAME, F.col("median").alias("_m"))
     return edges.join(med, FRAME).where(F.col("len") < times * F.col("_m")).drop("_m")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mesoflow.operators.groupmap import map_groups
 from mesoflow.operators.proximity import nearest
-from mesoflow.operators.quantiles import exact_medians, linear_percentiles
+from mesoflow.operators.quantiles import bounded_medians, exact_medians, linear_percentiles
 from mesoflow.session import sized_broadcast
 
 TRACK = ["run_id", "particle"]
@@ -163,7 +163,7 @@ def boltzmann_estimate(d_um2: Column, radius_um: float, temperature: float = 298
 
 def frame_step(t: DataFrame) -> DataFrame:
     """``run_id, dt``: median difference between the median times (``t``) of consecutive present frames."""
-    mid = exact_medians(t.select("run_id", "frame", "t"), ["run_id", "frame"], "t").select("run_id", "frame", F.col("median").alias("_t"))
+    mid = bounded_medians(t.select("run_id", "frame", "t"), ["run_id", "frame"], "t").select("run_id", "frame", F.col("median").alias("_t"))
     gap = mid.withColumn("_d", F.col("_t") - F.lag("_t").over(Window.partitionBy("run_id").orderBy("frame"))).where("_d is not null")
     return exact_medians(gap, ["run_id"], "_d").select("run_id", F.col("median").alias("dt"))
 
@@ -195,13 +195,13 @@ def affine_step(t: DataFrame, dt: Column, least: int = 20) -> DataFrame:
     return out.select("run_id", "frame", "next_frame", "n", *cols)
 
 
-def cage_relative(t: DataFrame, k: int = 8, radius: float = 200.0, cutoff: float | None = None) -> DataFrame:
+def cage_relative(t: DataFrame, k: int = 8, cutoff: float | None = None) -> DataFrame:
     """``obs_id, run_id, particle, frame, x_cr, y_cr``: positions (px) against the mean of the ``k`` nearest others of the frame.
 
     With ``cutoff`` only neighbours within it count, unless there are none. A row alone in its frame stays as it is.
     """
     p = t.select("run_id", "frame", "obs_id", F.col("x_px").alias("x"), F.col("y_px").alias("y"))
-    n = nearest(p, ["run_id", "frame"], "obs_id", k, radius)
+    n = nearest(p, ["run_id", "frame"], "obs_id", k)
     n = n.join(p.select(F.col("obs_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b")
     if cutoff is not None:
         inside = F.col("dist2") <= cutoff * cutoff
@@ -229,7 +229,7 @@ def mutual_nearest(t: DataFrame, rec: str, limit: float) -> DataFrame:
     return q.select("run_id", "frame", "a", "b", F.sqrt("dist2").alias("dist"))
 
 
-def nn_spacing(points: DataFrame, rec: str, sample: int = 12, least: int = 8, radius: float = 32.0) -> DataFrame:
+def nn_spacing(points: DataFrame, rec: str, sample: int = 12, least: int = 8) -> DataFrame:
     """``run_id, n, spacing``: median distance to the nearest other point over up to ``sample`` evenly spread frames of a run.
 
     Every ``max(1, n_frames // sample)``-th frame counts, the first ``sample`` of them; frames under ``least`` points are passed over.
@@ -239,13 +239,13 @@ def nn_spacing(points: DataFrame, rec: str, sample: int = 12, least: int = 8, ra
     size = size.withColumn("_at", F.row_number().over(line) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("run_id")) / sample)))
     chosen = size.where((F.pmod("_at", F.col("_step")) == 0) & (F.floor(F.col("_at") / F.col("_step")) < sample) & (F.col("_n") >= least))
     p = points.join(chosen.select("run_id", "frame"), ["run_id", "frame"])
-    n = nearest(p, ["run_id", "frame"], rec, 1, radius).withColumn("_d", F.sqrt("dist2"))
+    n = nearest(p, ["run_id", "frame"], rec, 1).withColumn("_d", F.sqrt("dist2"))
     return exact_medians(n, ["run_id"], "_d").select("run_id", F.col("n_rows").alias("n"), F.col("median").alias("spacing"))
 
 
-def local_order(points: DataFrame, rec: str, k: int = 6, radius: float = 150.0) -> DataFrame:
+def local_order(points: DataFrame, rec: str, k: int = 6) -> DataFrame:
     """``rec, score``: evenness of a point's ``k`` neighbour distances, 1 - (std / median) / 0.5 cut to [0, 1]; 0 in frames of at most ``k`` points."""
-    n = nearest(points, ["run_id", "frame"], rec, k, radius).withColumn("_d", F.sqrt("dist2"))
+    n = nearest(points, ["run_id", "frame"], rec, k).withColumn("_d", F.sqrt("dist2"))
     lo, hi = (k - 1) // 2 + 1, k // 2 + 1
     g = n.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), (F.avg(F.col("_d") * F.col("_d")) - F.avg("_d") * F.avg("_d")).alias("_var"), ((F.max(F.when(F.col("rank") == lo, F.col("_d"))) + F.max(F.when(F.col("rank") == hi, F.col("_d")))) / 2).alias("_med"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.sqrt(F.greatest("_var", F.lit(0.0))) / F.col("_med") / 0.5))

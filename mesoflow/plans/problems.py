@@ -19,18 +19,28 @@ MASS = [Field("mass", positive=True, stuck=8, spike="ratio", times=6.0, width=16
 POSITION = [Field(c, below=b, stuck=6, spike="jump", times=15.0, enough=20, width=8) for c, b in (("x_px", "w"), ("y_px", "h"))]
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd masses of each run and odd positions of each track."""
-    raw = table(spark, sf_dir, "detections")
-    det = first_arrival(raw, "det_id", "arrived_at", ["run_id", "mass"])
-    masses = flag_readings(det, ["run_id"], ["det_id"], "det_id", MASS, extent_of=raw.where("det_id is not null"))
-    tracks, meta = table(spark, sf_dir, "tracks").select("obs_id", "run_id", "particle", "frame", "x_px", "y_px", "t", "arrived_at"), runs(spark, sf_dir)
+def _odd_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd masses of each run and odd positions of each track: ``tbl, rec_id, field, kind, score``."""
+    det = first_arrival(table(spark, sf_dir, "detections"), "det_id", "arrived_at", ["run_id", "mass"])
+    masses = flag_readings(det, ["run_id"], ["det_id"], "det_id", MASS)
+    meta = runs(spark, sf_dir)
     sizes = sized_broadcast(meta.select(F.col("run_id").alias("_run"), "w", "h"))
-    obs = first_arrival(tracks, "obs_id", "arrived_at", ["run_id", "particle", "frame", "x_px", "y_px", "t"])
+    obs = first_arrival(table(spark, sf_dir, "tracks"), "obs_id", "arrived_at", ["run_id", "particle", "frame", "x_px", "y_px", "t"])
     obs = with_slots(obs, meta).join(sizes, F.col("run_id") == F.col("_run"), "left")
-    positions = flag_readings(obs, ["run_id", "particle"], ["slot", "t", "obs_id"], "obs_id", POSITION, extent_of=with_slots(tracks, meta))
-    both = masses.select(F.lit("detections").alias("tbl"), "rec_id", "field").unionByName(positions.select(F.lit("tracks").alias("tbl"), "rec_id", "field"))
-    return both
+    # a track is a short source: blocks of 512 slots
+    positions = flag_readings(obs, ["run_id", "particle"], ["slot", "t", "obs_id"], "obs_id", POSITION, block=512)
+    return masses.withColumn("tbl", F.lit("detections")).unionByName(positions.withColumn("tbl", F.lit("tracks")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impossible, stuck and spiking readings."""
+    return _odd_readings(spark, sf_dir).where(F.col("kind").bitwiseAND(F.lit(7)) > 0).select("tbl", "rec_id", "field")
+
+
+def p1_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings off their source's normal behaviour by its low-rank split, with their score, whether or not a rule flags them too."""
+    odd = _odd_readings(spark, sf_dir).where(F.col("kind").bitwiseAND(F.lit(8)) > 0)
+    return odd.select("tbl", "rec_id", "field", "score", (F.col("kind").bitwiseAND(F.lit(4)) > 0).alias("is_spike"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +134,7 @@ def p5_in_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_residuals": p1_residuals,
     "p2_found": p2_found,
     "p2_consolidated": p2_consolidated,
     "p2_misfit_runs": p2_misfit_runs,

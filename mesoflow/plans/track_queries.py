@@ -193,12 +193,12 @@ def gofr_interior(spark: SparkSession, d: str) -> DataFrame:
 
 def spacing_hist(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-neighbour distances over their run's mean, below 3 in 24 bins, beside the level-spacing densities."""
-    from pyspark.sql import Window
-
     from mesoflow.operators.proximity import nearest
 
-    n = nearest(detections(spark, d).select("run_id", "frame", "det_id", "x", "y"), ["run_id", "frame"], "det_id", 1, 32.0)
-    n = n.withColumn("_d", F.sqrt("dist2")).withColumn("_s", F.round(F.col("_d") / F.avg("_d").over(Window.partitionBy("run_id")), 9)).where("_s < 3")
+    n = nearest(detections(spark, d).select("run_id", "frame", "det_id", "x", "y"), ["run_id", "frame"], "det_id", 1)
+    n = n.select("run_id", F.sqrt("dist2").alias("_d"))
+    mean = n.groupBy("run_id").agg(F.avg("_d").alias("_mean"))
+    n = n.join(mean, "run_id").withColumn("_s", F.round(F.col("_d") / F.col("_mean"), 9)).where("_s < 3")
     g = n.groupBy("run_id", F.floor(F.col("_s") * 8).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     s = (F.col("bin") + 0.5) / 8
     return g.select("run_id", "bin", "n", *[F.round(R.wigner(s, b), 9).alias(f"wigner_{b}") for b in (0, 1, 2, 4)])

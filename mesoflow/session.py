@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension table may be broadcast (a few MB once projected).
-BROADCAST_ROWS = 200_000
+#: Bytes, as the optimizer estimates them from the files, up to which a dimension table may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "mesoflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,14 +28,18 @@ def build_session(app: str = "mesoflow", master: str | None = None, **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a temporary folder is made.
+    Read from ``spark.checkpoint.dir``; where that is unset a local session
+    (tests, a laptop) gets a temporary folder, and a cluster an error, as its machines share none.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(where)
     return sc.getCheckpointDir() or where
 
@@ -44,9 +48,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count shows at most ``max_rows`` rows; else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the optimizer's size of the table (its files' bytes, no job) is at most ``max_bytes``; else leave the choice to Spark."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def first_arrival(df: DataFrame, key: str, arrived: str, cols: list[str]) -> DataFrame:

@@ -76,10 +76,27 @@ def test_flags_equal_brute_force_for_any_block(spark, kind, block):
     rows = odd_series(kind)
     df = spark.createDataFrame([(s, o, r, v, "x", 1) for s, rs in rows.items() for o, r, v in rs], "src string, ord bigint, rec bigint, v float, _tag string, _block int")
     rows = {s: [(o, r, v if v is None else float(np.float32(v))) for o, r, v in rs] for s, rs in rows.items()}
-    got = {r["rec_id"] for r in flag_readings(df, ["src"], ["ord", "rec"], "rec", [f], block=block).collect()}
+    got = {r["rec_id"] for r in flag_readings(df, ["src"], ["ord", "rec"], "rec", [f], block=block).where("kind & 7 > 0").collect()}
     assert got == brute_flags(rows, f)
 
 
+@pytest.mark.parametrize("identity", ["all sparse", "all low"])
+def test_the_split_decides_what_is_off(spark, monkeypatch, identity):
+    """Readings that follow their source's pattern are normal, a small departure from it is not; without the split neither is seen."""
+    from mesoflow.operators import spikes
+
+    wave = np.outer(np.ones(16), np.sin(np.arange(16) / 16 * 2 * np.pi)).ravel() * 1.2
+    base = np.exp(8 + wave + RNG.normal(0, 0.01, 256))
+    base[100] *= 1.5
+    df = spark.createDataFrame([("a", i, i, float(v)) for i, v in enumerate(base)], "src string, ord bigint, rec bigint, v double")
+    f = Field("v", positive=True)
+    off = lambda: {r["rec_id"]: r["score"] for r in flag_readings(df, ["src"], ["ord", "rec"], "rec", [f]).where("kind & 8 > 0").collect()}
+    found = off()
+    assert 100 in found and len(found) < 8
+    monkeypatch.setattr(spikes, "robust_pca", (lambda x: (np.zeros_like(x), x)) if identity == "all sparse" else (lambda x: (x, np.zeros_like(x))))
+    assert 100 not in off()
+
+
 def test_flags_of_nothing(spark):
     f = [Field("v")]
     empty = spark.createDataFrame([], "src string, ord bigint, rec bigint, v double")
@@ -265,7 +282,7 @@ def test_near_pairs_equal_brute_force(spark, radius):
 def test_nearest_equals_brute_force(spark):
     rows = [r for r in cloud(80) if r[1] and r[2] is not None and math.isfinite(r[2]) and r[2] < 1e6]
     df = spark.createDataFrame(rows, "rec bigint, g string, x double, y double")
-    got = {(r["a"], r["rank"]): r["b"] for r in X.nearest(df, ["g"], "rec", 3, 5.0).collect()}
+    got = {(r["a"], r["rank"]): r["b"] for r in X.nearest(df, ["g"], "rec", 3).collect()}
     for i, g, x, y in rows:
         near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, h, u, v in rows if h == g and j != i)[:3]
         assert [got[i, k + 1] for k in range(len(near))] == [j for _, j in near]
@@ -286,3 +303,38 @@ def test_points_in_regions(spark):
 
     want = {i for i, g, x, y in rows if g == "a" and x is not None and math.isfinite(x) and inside(x, y)}
     assert {r["rec"] for r in X.points_in_regions(df, reg, ["g"], "rec", "ring", 4.0).collect()} == want
+
+
+def test_far_regions_and_thin_ones(spark):
+    far = [[2e7 - 5, 2e7 - 5], [2e7 + 5, 2e7 - 5], [2e7 + 5, 2e7 + 5], [2e7 - 5, 2e7 + 5]]
+    thin = [[0.0, 0.0], [900.0, 880.0], [900.0, 900.0]]
+    reg = spark.createDataFrame([("a", far), ("b", thin), ("c", [[0.0, 0.0], [1.0, None], [2.0, 2.0]])], "g string, ring array<array<double>>")
+    pts = [(1, "a", 2e7, 2e7), (2, "a", 2e7 + 9, 2e7), (3, "b", 450.0, 445.0), (4, "b", 450.0, 300.0), (5, "b", 899.0, 885.0), (6, "c", 1.0, 1.0)]
+    df = spark.createDataFrame(pts, "rec bigint, g string, x double, y double")
+    assert {r["rec"] for r in X.points_in_regions(df, reg, ["g"], "rec", "ring", 4.0).collect()} == {1, 3, 5}
+    cover = X.region_cover(reg.where("g = 'b'"), ["g"], "ring", 4.0).count()
+    assert cover < 150  # its bounding box has 29 x 29 tiles
+
+
+def test_infinite_times_take_the_frame(spark):
+    from mesoflow.sources.runs import with_slots
+
+    t = spark.createDataFrame([("a", 7, float("inf")), ("a", 8, None), ("a", 9, float("nan")), ("a", 5, 2.4)], "run_id string, frame int, t double")
+    meta = spark.createDataFrame([("a", 2.0, 3)], "run_id string, dt double, frame_start int")
+    assert [r["slot"] for r in with_slots(t, meta).orderBy("frame").collect()] == [1, 4, 5, 6]
+
+
+def test_building_a_plan_starts_no_job(spark, sf_dir):
+    from mesoflow.plans import registry
+
+    q = registry.queries()
+    seen = spark.sparkContext.statusTracker()
+    for name in ("p1_found", "p2_found", "p3_percentiles", "p4_found", "p5_found", "p5_in_roi", "msd", "mad_outlier_filter", "otsu_256", "auto_max_step", "sweep_minmass_per_run", "chunk_assignment"):
+        for table in ("detections", "tracks", "job_meta", "chunk_files"):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        spark.sparkContext.setJobGroup(f"plan {name}", name)
+        q[name](spark, sf_dir)
+        jobs = seen.getJobIdsForGroup(f"plan {name}")
+        # the schemas of the tables are read by one task each, nothing more
+        assert all(s is None or s.numTasks <= 1 for j in jobs for i in seen.getJobInfo(j).stageIds for s in [seen.getStageInfo(i)]), name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
