@@ -14,6 +14,7 @@ from mesoflow.operators.regrid import one_per_slot, regular_grid
 from mesoflow.operators.spikes import Field, flag_readings
 from mesoflow.session import ensure_checkpoint_dir, first_arrival, sized_broadcast, table
 from mesoflow.sources.runs import runs, with_slots
+from mesoflow.sources.smallfiles import FIELDS
 
 MASS = [Field("mass", positive=True, stuck=8, spike="ratio", times=6.0, width=16)]
 POSITION = [Field(c, below=b, stuck=6, spike="jump", times=15.0, enough=20, width=8) for c, b in (("x_px", "w"), ("y_px", "h"))]
@@ -45,13 +46,13 @@ def p1_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of files that a later file of the run holds too."""
-    return superseded(merge_plan(table(spark, sf_dir, "chunk_files"))).select("file_id", "frame")
+    return superseded(merge_plan(table(spark, sf_dir, "chunk_files").select("run_id", "file_id", "written_at", "recs"))).select("file_id", "frame")
 
 
 def p2_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range metadata of the merged files, which are written to the shared folder."""
     at = f"{ensure_checkpoint_dir(spark)}/merged-{uuid.uuid4().hex}"
-    return consolidate(table(spark, sf_dir, "chunk_files"), at)
+    return consolidate(table(spark, sf_dir, "chunk_files"), at, FIELDS)
 
 
 def p2_misfit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mesoflow.operators import compaction as C
 from mesoflow.operators import proximity as X
@@ -138,8 +139,9 @@ def random_files():
     return rows
 
 
-@pytest.mark.parametrize("ranges", [None, 1, 13])
-def test_superseded_equals_brute_force(spark, ranges):
+@pytest.mark.parametrize("span", [256, 3])
+def test_superseded_equals_brute_force(spark, monkeypatch, span):
+    monkeypatch.setattr(C, "SPAN", span)
     rows = random_files()
     best, all_ = {}, set()
     for run, fid, at, recs, *_ in rows:
@@ -147,15 +149,28 @@ def test_superseded_equals_brute_force(spark, ranges):
             all_.add((run, f, fid))
             best[run, f] = max(best.get((run, f), (at, fid)), (at, fid))
     want = {k for k in all_ if best[k[0], k[1]][1] != k[2]}
-    plan = C.merge_plan(files(spark, rows), ranges)
-    assert {tuple(r) for r in C.superseded(plan).collect()} == want
-    assert {(r["run_id"], r["frame"], r["file_id"]) for r in C.kept(plan).collect()} == all_ - want
+    for parts in (1, 7, 60):
+        plan = C.merge_plan(files(spark, rows + rows[:9]).repartition(parts))
+        got = [tuple(r) for r in C.superseded(plan).collect()]
+        assert sorted(got) == sorted(want)
+        assert sorted((r["run_id"], r["frame"], r["file_id"]) for r in C.kept(plan).collect()) == sorted(all_ - want)
 
 
-def test_consolidated_files_hold_each_group_once(spark, tmp_path):
+def test_the_merge_brings_the_versions_of_a_key_together(spark, monkeypatch):
+    """Without the merge, runs one after another, equal keys do not meet and the result is wrong."""
+    from mesoflow.operators import compaction
+
+    rows = random_files()
+    n = C.superseded(C.merge_plan(files(spark, rows))).count()
+    monkeypatch.setattr(compaction, "_merge", lambda *runs, key: (b for r in runs for b in r))
+    assert C.superseded(C.merge_plan(files(spark, rows))).count() < n
+
+
+@pytest.mark.parametrize("target", [600, 1 << 27])
+def test_consolidated_files_hold_each_group_once(spark, tmp_path, target):
     rows = random_files()
     out = str(tmp_path / "merged")
-    meta = C.consolidate(files(spark, rows), out, target_bytes=24 * 12).collect()
+    meta = C.consolidate(files(spark, rows + rows[:9]), out, ["x", "y", "mass", "ecc", "signal"], target_bytes=target).collect()
     got = sorted((r["run_id"], r["frame"], r["x"]) for r in spark.read.parquet(out).collect())
     best = {}
     for run, fid, at, recs, *_ in rows:
@@ -168,20 +183,31 @@ def test_consolidated_files_hold_each_group_once(spark, tmp_path):
                 best[k][1].append(r[1])
     want = sorted((k[0], k[1], x) for k, (_, xs) in best.items() for x in xs)
     assert got == want
-    assert sum(m["n_rows"] for m in meta) == len(want) and all(m["bytes"] <= 24 * 12 for m in meta)
-    assert all((m["run_id_min"], m["frame_min"]) <= (m["run_id_max"], m["frame_max"]) for m in meta)
+    assert sum(m["n_rows"] for m in meta) == len(want)
+    assert (len(meta) == 1) == (target > 1 << 20)
+    import os
+
+    assert {m["file"]: m["bytes"] for m in meta} == {f: os.path.getsize(f"{out}/{f}") for f in os.listdir(out) if f.endswith(".parquet")}
+    ordered = sorted(((m["run_id_min"], m["frame_min"]), (m["run_id_max"], m["frame_max"])) for m in meta)
+    assert all(lo <= hi for lo, hi in ordered) and all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:]))
 
 
-def test_compaction_of_nothing_and_of_real_files(spark, tmp_path):
-    from mesoflow.sources.smallfiles import read_small_files
+def test_compaction_of_nothing_of_odd_and_of_real_files(spark, tmp_path):
+    from mesoflow.sources.smallfiles import FIELDS, read_small_files
 
     assert C.superseded(C.merge_plan(files(spark, []))).count() == 0
+    assert C.merged_records(files(spark, []), FIELDS).count() == 0
+    t = dt.datetime(2025, 1, 1)
+    odd = files(spark, [("a", 1, t, [rec(None), rec(5), rec(2), rec(5, 9)], 0, None), ("a", 2, None, [rec(5, 7), rec(None, 7)], 0, None), (None, 3, t, [rec(5)], 0, None), ("a", None, t, [rec(5)], 0, None)])
+    assert sorted(tuple(r) for r in C.superseded(C.merge_plan(odd)).select("file_id", F.coalesce("frame", F.lit(-1))).collect()) == [(2, -1), (2, 5)]
+    got = C.merged_records(odd, FIELDS).select(F.coalesce("run_id", F.lit("")), F.coalesce("frame", F.lit(-1)), "x").collect()
+    assert sorted(map(tuple, got)) == [("", 5, 1.0), ("a", -1, 1.0), ("a", 2, 1.0), ("a", 5, 1.0), ("a", 5, 9.0)]
     src = str(tmp_path / "small")
     data = spark.createDataFrame([("a", *rec(f)) for f in range(30)], "run_id string, frame int, x float, y float, mass float, ecc float, signal float")
     data.repartition(10).write.partitionBy("run_id").parquet(src)
     small = read_small_files(spark, src)
-    assert small.count() == 10
-    C.consolidate(small, str(tmp_path / "one"))
+    assert small.select("file_id").distinct().count() == 10
+    C.consolidate(small, str(tmp_path / "one"), FIELDS)
     assert spark.read.parquet(str(tmp_path / "one")).count() == 30
 
 
