@@ -262,19 +262,18 @@ def _flag(fields: list[Field], keys: list[str], rec: str):
     return run
 
 
-def _halo(long: DataFrame, several: DataFrame, source: list[str], order: list[str], fields: list[Field]) -> DataFrame:
-    """The readings next to each block of ``long``, tagged by what they serve.
+def _with_halo(long: DataFrame, cols: list[str], keys: list[str], order: list[str], fields: list[Field]) -> DataFrame:
+    """The readings of ``long`` in their block (``_tag`` 0), and those next to a block's border in the blocks beyond it too, tagged by what they serve.
 
     Of each block the first and last readings of every kind are taken: as many
     present values as a stretch can need, and three usable ones for spikes.
-    They go to the next 8 (or as many as a stretch needs) blocks of the
-    source, as a block may hold as little as one reading of a kind.
+    They go to the blocks in ``_prev`` and ``_next``, of which there are as many as a stretch
+    needs, as a block may hold as little as one reading of a kind.
     """
-    reach = max([f.stuck for f in fields] + [3])
-    up = Window.partitionBy(*source, "_block").orderBy(*order)
-    down = Window.partitionBy(*source, "_block").orderBy(*[F.col(o).desc() for o in order])
+    up = Window.partitionBy(*keys).orderBy(*order)
+    down = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
     x = long
-    for side, w in {"tail": down, "head": up}.items():
+    for side, w in {"next": down, "prev": up}.items():
         bits = F.lit(0)
         for k, f in enumerate(fields):
             there = F.col(f.name).isNotNull() & ~F.isnan(F.col(f.name).cast("double"))
@@ -288,14 +287,11 @@ def _halo(long: DataFrame, several: DataFrame, source: list[str], order: list[st
             for bit, here, n in ((1 << (2 * k), there, f.stuck), (2 << (2 * k), there & ~bad, 3)):
                 seen = F.sum(F.when(here, 1).otherwise(0)).over(run)
                 bits = bits + F.when(here & (seen <= n), bit).otherwise(0)
-        x = x.withColumn(f"_{side}", bits)
-    x = x.where((F.col("_tail") > 0) | (F.col("_head") > 0)).drop("_block")
-    out = None
-    for side, sign in (("tail", 1), ("head", -1)):
-        one = x.where(F.col(f"_{side}") > 0).withColumn("_tag", F.col(f"_{side}"))
-        one = one.withColumn("_by", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("_at", F.col("_at") + sign * F.col("_by")).drop("_by")
-        out = one if out is None else out.unionByName(one)
-    return out.join(several, [*source, "_at"]).drop("_at", "_tail", "_head")
+        x = x.withColumn(f"_to_{side}", bits)
+    place = lambda block, tag: F.struct(block.alias("_block"), tag.alias("_tag"))
+    beyond = lambda side: F.filter(F.transform(f"_{side}", lambda b: place(b, F.col(f"_to_{side}"))), lambda p: p["_tag"] > 0)
+    places = F.concat(F.array(place(F.col("_block"), F.lit(0))), beyond("next"), beyond("prev"))
+    return x.select(*cols, F.inline(places))
 
 
 def flag_readings(readings: DataFrame, source: list[str], order: list[str], rec: str, fields: list[Field], block: int = 16_384) -> DataFrame:
@@ -317,22 +313,24 @@ def flag_readings(readings: DataFrame, source: list[str], order: list[str], rec:
     keys = [*source, "_block"]
     at = F.coalesce(F.floor(F.col(order[0]) / block).cast("bigint"), F.lit(-(1 << 62)))
     r = readings.select(*cols, at.alias("_block")).where(present)
-    # one row per block; the readings of a source of one block need nothing from others
-    of = Window.partitionBy(*source)
-    several = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_of", F.count(F.lit(1)).over(of))
-    several = several.withColumn("_at", F.row_number().over(of.orderBy("_block"))).where("_of > 1").select(*keys, "_at")
-    long = r.join(several, keys)
-    halo = _halo(long, several, source, order, fields)
+    # one row per block of a source of several; the readings of a source of one block need nothing from others
+    line = Window.partitionBy(*source).orderBy("_block")
+    reach = max([f.stuck for f in fields] + [3])
+    several = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    for side, a, b in (("_next", 1, reach), ("_prev", -reach, -1)):
+        several = several.withColumn(side, F.collect_list("_block").over(line.rowsBetween(a, b)))
+    several = several.where((F.size("_next") > 0) | (F.size("_prev") > 0))
+    parts = _with_halo(r.join(several, keys), cols, keys, order, fields)
     kinds = ", ".join(f"`{k}` {dict(r.dtypes)[k]}" for k in source)
     # every reading of such a source is measured once, in its own block
-    parts = long.drop("_at").withColumn("_tag", F.lit(0)).unionByName(halo).repartition(*keys).sortWithinPartitions(*keys, *order)
-    changes = parts.mapInArrow(_measure(fields, keys), f"{kinds}, field string, x double")
-    medians = exact_medians(changes, [*source, "field"], "x").drop("n_rows")
-    counts = changes.groupBy(*source, "field").agg(F.count(F.lit(1)).alias("_n"))
-    by_field = [c for f in fields for c in (F.max(F.when(F.col("field") == f.name, F.col("median"))).alias(f"_unit_{f.name}"), F.max(F.when(F.col("field") == f.name, F.col("_n"))).cast("double").alias(f"_n_{f.name}"))]
-    stats = counts.join(medians, [*source, "field"], "left").groupBy(*source).agg(*by_field)
+    changes = parts.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_measure(fields, keys), f"{kinds}, field string, x double")
+    of = lambda f, c: F.max(F.when(F.col("field") == f.name, F.col(c)))
+    # n readings have n - 1 changes
+    by_field = [c for f in fields for c in (of(f, "median").alias(f"_unit_{f.name}"), (of(f, "n_rows") + int(f.spike == "jump")).cast("double").alias(f"_n_{f.name}"))]
+    stats = exact_medians(changes, [*source, "field"], "x").groupBy(*source).agg(*by_field)
     # the medians travel to the blocks as rows, so no reading is shuffled for them
-    stats = stats.join(several.drop("_at"), source).withColumn("_tag", F.lit(_STATS))
+    stats = stats.join(several.select(*keys), source).withColumn("_tag", F.lit(_STATS))
+    halo = parts.where("_tag > 0")
     whole = r.withColumn("_tag", F.lit(0)).unionByName(halo).unionByName(stats, allowMissingColumns=True)
     parts = whole.repartition(*keys).sortWithinPartitions(*keys, *order)
     return parts.mapInArrow(_flag(fields, keys, rec), "rec_id bigint, field string, kind int, score double")
