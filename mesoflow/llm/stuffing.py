@@ -4,7 +4,8 @@ Every line is reduced to a shape: words become ``w`` (lower case), ``W``
 (capital first) or ``n`` (digit first), links become ``U``, everything else stays. A
 shape says how many words, capitals, separators and links a line has, and
 whether it reads as a sentence, as code, or as neither, by their shares of its
-words. Shapes are grouped per page; a page is flagged if the few largest of its
+words. Where such shapes hold the larger part of a page, its keyword lines are read once more, and those
+that have the function words of a sentence are taken out. Shapes are grouped per page; a page is flagged if the few largest of its
 non-sentence, non-code shapes hold more than half of its words and their words are the same ones again and again.
 
 One pass over the whole texts, no shuffle of text: only a few small rows per
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 SHARE = 0.5
 #: At least this share of the words in keyword and tag lines must be repeats.
 REPEATS = 0.4
+#: A line is a sentence if at least this share of its words are function words, two at least.
+SPOKEN = 0.2
 #: So many coarse shapes, those of the most words, must hold the share of stuffed words.
 FEW_SHAPES = 24
 #: Words from which a line is long: one sentence end per so many words is still a list.
@@ -32,6 +35,15 @@ LONG = 40
 #: Distinct shapes that a task keeps the reading of.
 CACHE = 200_000
 
+# fixed values: common function words of English, German, French and Spanish
+FUNCTION_WORDS = frozenset(
+    b"""a an and are as at be been but by can could did do does for from had has have he her here his i if in is it its may
+    not of on or our she should so than that the their then there these they this those to was we were what when which who will with would you your
+    das dem den der die ein eine ist mit nicht und von zu
+    dans des du est et le les pour que qui un une
+    con del el es las los para por una y""".split()
+)
+
 _FOLD = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 _WORDS = [(re.compile(rb"a[aA0]*"), b"w"), (re.compile(rb"A[aA0]*"), b"W"), (re.compile(rb"0[aA0]*"), b"n")]
 _LINE = re.compile(rb"\r\n|\r|\n")
@@ -50,6 +62,7 @@ _HASH = re.compile(rb"(?<![\w&])#[wW]\w*")
 _KEY = re.compile(rb"^\s*[-*]?\s*\w+\s*:(\s+\S+)?\s*$")
 _STRING = re.compile(rb"(:\s*)?\"([^\"]*)\"(?=(\s*:)?)")
 _PLAIN = re.compile(rb"[wn]( [wn])*")
+_APART = re.compile(rb"(?i)https?://[^\s<>\"')\]]*|<[^<>]*>")
 _CELLS = re.compile(rb"^\s*[nw.]+(,[nw.]+)+\s*$")
 
 
@@ -91,9 +104,9 @@ def read_shape(shape: bytes) -> tuple[str, str, int]:
     separators = sum(body.count(c) for c in (b",", b"|", b"/"))
     n = len(own)
     soft = len(_SOFT.findall(body))
-    # a list by its shares: capitals are free, but there are next to no sentence ends and code, and four words to an item unless the line is long
+    # a list by its shares: capitals are free, but there are next to no sentence ends and code, and four words to an item at most unless the line is long
     whole = len(_WHOLE.findall(body))
-    listed = whole >= 8 and (separators > 1 and (separators + 1) * 4 >= whole or whole >= LONG) and len(_STOP.findall(body)) * LONG <= whole and (code - soft) * 12 <= whole and soft * 2 <= whole and numbers * 4 <= whole
+    listed = whole >= 4 and (separators > 1 and (separators + 1) * 4 >= whole or whole >= LONG) and len(_STOP.findall(body)) * LONG <= whole and (code - soft) * 12 <= whole and soft * 2 <= whole and numbers * 4 <= whole
     key_value = bool(_KEY.match(body)) or bool(_CELLS.match(body) and numbers)
     if links and whole <= 8 and code == soft and not key_value:
         kind = "link"
@@ -133,14 +146,26 @@ def _shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stuffed = sum(v for (k, _, i), v in found.items() if i and k != "other")
             said = same = 0
             if stuffed > SHARE * total:
-                # the words themselves, links aside, to see whether they are repeats
+                # the words themselves, links aside, to see whether they are sentences and whether they are repeats
                 vocabulary = Counter()
+                read: dict[bytes, tuple[str, str, int]] = {}
                 for shape, line in zip(shapes, _LINE.split(raw), strict=True):
-                    if known.get(shape, read_shape(shape))[0] != "other":
-                        vocabulary.update(_WORD.findall(re.sub(rb"(?i)https?://[^\s<>\"')\]]*|<[^<>]*>", b" ", line)))
+                    if shape not in read:
+                        read[shape] = known[shape] if shape in known else read_shape(shape)
+                    kind, coarse, words = read[shape]
+                    if kind == "other":
+                        continue
+                    own = _WORD.findall(_APART.sub(b" ", line))
+                    spoken = sum(w.lower() in FUNCTION_WORDS for w in own) if kind == "keyword" else 0
+                    if spoken >= 2 and spoken >= SPOKEN * len(own):
+                        for i, n in ((0, 1), (1, words)):
+                            found[kind, coarse, i] -= n
+                            found["other", "", i] += n
+                    else:
+                        vocabulary.update(own)
                 said, same = sum(vocabulary.values()), len(vocabulary)
-            for kind, coarse, i in found:
-                if not i:
+            for kind, coarse, i in list(found):
+                if not i and found[kind, coarse, 0]:
                     rows.append((doc, kind, coarse, found[kind, coarse, 0], found[kind, coarse, 1], said, said - same))
         cols = list(zip(*rows, strict=True)) or [[]] * 7
         types = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4]
