@@ -7,13 +7,16 @@ automaton's patterns. Each text is scanned once; a hit is extended
 word by word to the longest common passage, which makes the result exact, and
 the passage's words are mapped back to offsets in the original text.
 
-The items are broadcast. Their size is counted first: items beyond
-``MAX_PATTERN_BYTES`` are split into shards by id, one scan per shard.
+The items are written once to the shared folder, and every Python worker builds the automaton
+from there once. So they pass neither through the driver nor through the plan, and the corpus is scanned once
+whatever their size. The bound is a worker's memory: about 130 bytes per byte of item text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import uuid
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -22,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of item text that one automaton holds (about 40 bytes of memory each).
-MAX_PATTERN_BYTES = 4 << 20
+from mesoflow.session import ensure_checkpoint_dir
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile("[A-Za-z0-9]+")
@@ -34,13 +36,19 @@ def words_of(text: str) -> list[str]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("ascii").split()
 
 
-def _scan(items: list[tuple[int, str]], min_words: int):
-    block = (min_words + 1) // 2
+def _automaton(folder: str, min_words: int):
+    """The automaton over the items' blocks, and the items' words; kept by the worker for its next tasks."""
+    import ahocorasick
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        texts = {item: words_of(text) for item, text in items}
+    kept = vars(ahocorasick).setdefault("_kept", {})
+    if (folder, min_words) not in kept:
+        kept.clear()
+        files, path = FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        items = pq.read_table(path, filesystem=files)
+        block = (min_words + 1) // 2
+        texts = {i: [sys.intern(w) for w in words_of(t)] for i, t in zip(items.column("item_id").to_pylist(), items.column("item_text").to_pylist(), strict=True)}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, w in texts.items():
             for k in range(0, len(w) - block + 1, block):
@@ -50,10 +58,17 @@ def _scan(items: list[tuple[int, str]], min_words: int):
             automaton.add_word(pattern, (len(pattern), at))
         if places:
             automaton.make_automaton()
+        kept[folder, min_words] = (automaton if places else None, texts)
+    return kept[folder, min_words]
+
+
+def _scan(folder: str, min_words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, texts = _automaton(folder, min_words)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not places or not text.is_valid:
+                if automaton is None or not text.is_valid:
                     continue
                 said = text.as_buffer().to_pybytes()
                 flat = " " + " ".join(said.translate(_FOLD).decode("ascii").split()) + " "
@@ -94,26 +109,20 @@ def _scan(items: list[tuple[int, str]], min_words: int):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 20, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 20) -> DataFrame:
     """``doc_id, item_id, n_words, item_word, whole, start, end``: each document with each item of which it holds ``min_words`` consecutive words.
 
     One row per pair, with the longest passage (the first of equals): its words, the
     item's word at which it starts, whether it is the whole item, and its
     place in the original text (code points, end exclusive). NULL texts and
-    items, and items of under ``min_words`` words, match nothing. Documents with equal ids
-    give a row each. Empty tables give no rows.
+    items, and items of under ``min_words`` words, match nothing; of several texts under one item_id
+    the largest counts. Documents with equal ids give a row each. Empty tables give no rows.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("item_text").cast("string").alias("item_text")).where("item_id is not null and item_text is not null")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-size // max_pattern_bytes))
-    out = None
-    for k in range(shards):
-        # bounded: about max_pattern_bytes of text per shard
-        part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).distinct().collect()
-        one = docs.mapInArrow(_scan([(r["item_id"], r["item_text"]) for r in part], min_words), "doc_id bigint, item_id bigint, n_words int, item_word int, whole boolean, start bigint, end bigint")
-        out = one if out is None else out.unionByName(one)
-    return out
+    folder = f"{ensure_checkpoint_dir(documents.sparkSession)}/items-{uuid.uuid4().hex}"
+    own.groupBy("item_id").agg(F.max("item_text").alias("item_text")).write.parquet(folder)
+    return docs.mapInArrow(_scan(folder, min_words), "doc_id bigint, item_id bigint, n_words int, item_word int, whole boolean, start bigint, end bigint")
 
 
 def item_report(leaks: DataFrame) -> DataFrame:

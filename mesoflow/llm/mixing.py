@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Hash ranges into which a source's documents are cut for running sums.
 BUCKETS = 4096
-#: The tokenizer's vocabulary; any folder with this file may be given instead.
+#: The tokenizer's vocabulary (lines of a base64 token and its rank), by a path that every executor can read.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# fixed value: the public pattern that cuts text for this vocabulary
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 #: Bytes of text handed to the tokenizer at once; longer texts are cut at white space outside of words.
 PIECE = 1 << 20
 
@@ -37,14 +39,13 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _count(path: str):
+def _count(path: str, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             n = [None if t is None else sum(len(encoding.encode_ordinary(p)) for p in _pieces(t)) for t in (x.as_py() for x in batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
@@ -52,10 +53,10 @@ def _count(path: str):
     return run
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, source, tokens``; a NULL text has NULL tokens, an empty one 0."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_count(tokenizer), "doc_id bigint, source string, tokens bigint")
+    return docs.mapInArrow(_count(tokenizer, pattern), "doc_id bigint, source string, tokens bigint")
 
 
 def plan_shares(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int) -> dict[str, float]:

@@ -52,4 +52,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+
+# every run of 20 words of an item and of a document, and the equal ones
+_GRAMS = """
+d as (select doc_id as id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from documents where text is not null),
+e as (select item_id as id, list_transform(regexp_extract_all(item_text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from eval_items where item_text is not null),
+dg as (select id as doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+eg as (select id as item_id, i as k, array_to_string(w[i:i + 19], ' ') as s from (select id, w, unnest(range(1, len(w) - 18)) as i from e where len(w) >= 20)),
+m as (select doc_id, item_id, i, k from dg join eg on dg.s = eg.s)"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"with {_GRAMS} select distinct doc_id, item_id from m",
+    "p6_items": f"""with {_GRAMS},
+r as (select doc_id, item_id, i - k as diagonal, i - row_number() over (partition by doc_id, item_id, i - k order by i) as island from m),
+l as (select doc_id, item_id, count(*) + 19 as n from r group by doc_id, item_id, diagonal, island),
+b as (select doc_id, item_id, max(n) as n from l group by 1, 2)
+select item_id, count(*) as n_docs, cast(max(n) as int) as longest, count(case when n = len(e.w) then 1 end) as whole_docs from b join e on e.id = b.item_id group by 1""",
+}

@@ -51,12 +51,11 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [leakage.MAX_PATTERN_BYTES, 3_000])
-def test_leaks_equal_brute_force(spark, limit):
+def test_leaks_equal_brute_force(spark):
     docs, items = corpus()
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, item_id int")
     e = spark.createDataFrame([(i, t, "s") for i, t in items], "item_id bigint, item_text string, text string")
-    rows = leakage.leaked_items(d, e, max_pattern_bytes=limit).collect()
+    rows = leakage.leaked_items(d, e).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == brute(docs, items)
     texts, own = dict(docs), dict(items)
     for r in rows:
@@ -65,6 +64,17 @@ def test_leaks_equal_brute_force(spark, limit):
         assert passage == words(own[r["item_id"]])[r["item_word"] : r["item_word"] + r["n_words"]]
 
 
+def test_many_items_are_one_scan(spark):
+    """Five megabytes of items: one automaton, and one pass over the documents in the plan."""
+    big = [(i, " ".join(f"{x:x}" for x in np.random.default_rng(i).integers(0, 1 << 30, 60))) for i in range(10_000)]
+    assert sum(len(t) for _, t in big) > 4 << 20
+    docs = [(i, "so " + big[i * 7][1].upper()) for i in range(50)] + [(99, "none of these")]
+    e = spark.createDataFrame(big, "item_id bigint, item_text string")
+    leaks = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), e)
+    assert leaks._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(i, i * 7) for i in range(50)}
+
+
 def test_leaks_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     e = spark.createDataFrame([], "item_id bigint, item_text string")
@@ -166,11 +176,39 @@ def test_stuffed_pages_are_told_from_others(spark):
     assert stuffing.stuffed_pages(df.where("false")).count() == 0
 
 
+SHOES = {
+    "capitals": "\n".join(["Cheap Shoes, Buy Shoes, Best Shoes"] * 40),
+    "one capital": "\n".join(["Cheap shoes, buy shoes, best shoes"] * 40),
+    "capitals in links": "\n".join(f"[Best Shoes](http://a{i}.example/x)" for i in range(60)),
+    "capitals by links": "\n".join(f"Cheap Shoes http://a{i}.example/x" for i in range(60)),
+}
+PROSE = """the morning was cold and the streets were empty when we left the house, and nobody said a word until we came to the bridge.
+there we stopped for a while and looked at the water, which was high for the time of the year and had taken the path by the mill.
+
+in the end we went back the same way as we had come, because the road on the other side of the river was closed by the town
+and it had begun to rain again. my brother said that we should have stayed at the house, and i think that he was right about it."""
+
+
+def test_capitals_and_lower_case_prose(spark):
+    pages = [*SHOES.items(), ("prose", PROSE), ("prose again", "\n\n".join([PROSE] * 9)), ("prose of long lines", PROSE.replace("\n", " ") * 3)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(pages)], "doc_id bigint, text string")
+    assert {pages[r["doc_id"]][0] for r in stuffing.stuffed_pages(df).collect()} == set(SHOES)
+
+
 def test_long_page(spark):
     df = spark.createDataFrame([(1, SPAM["keywords"] * 400), (2, PLAIN["text"] * 400)], "doc_id bigint, text string")
     assert [r["doc_id"] for r in stuffing.stuffed_pages(df).collect()] == [1]
 
 
+def test_queries_equal_their_sql(spark, sf_dir):
+    from oracle import duck_rows, spark_rows
+
+    from mesoflow.llm.queries import QUERIES, SQL
+
+    for name, sql in SQL.items():
+        assert spark_rows(QUERIES[name](spark, sf_dir)) == duck_rows(sql, sf_dir)
+
+
 def test_queries_over_the_tables(spark, sf_dir):
     from mesoflow.llm.queries import QUERIES
 
