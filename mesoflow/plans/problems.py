@@ -12,7 +12,7 @@ from mesoflow.operators.proximity import near_pairs, points_in_regions
 from mesoflow.operators.quantiles import combine, percentiles_of_counts, value_counts
 from mesoflow.operators.regrid import one_per_slot, regular_grid
 from mesoflow.operators.spikes import Field, flag_readings
-from mesoflow.session import ensure_checkpoint_dir, first_arrival, sized_broadcast, table
+from mesoflow.session import ensure_checkpoint_dir, first_arrival, table
 from mesoflow.sources.runs import runs, with_slots
 from mesoflow.sources.smallfiles import FIELDS
 
@@ -25,9 +25,8 @@ def _odd_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = first_arrival(table(spark, sf_dir, "detections"), "det_id", "arrived_at", ["run_id", "mass"])
     masses = flag_readings(det, ["run_id"], ["det_id"], "det_id", MASS)
     meta = runs(spark, sf_dir)
-    sizes = sized_broadcast(meta.select(F.col("run_id").alias("_run"), "w", "h"))
     obs = first_arrival(table(spark, sf_dir, "tracks"), "obs_id", "arrived_at", ["run_id", "particle", "frame", "x_px", "y_px", "t"])
-    obs = with_slots(obs, meta).join(sizes, F.col("run_id") == F.col("_run"), "left")
+    obs = with_slots(obs, meta, ("w", "h"))
     # a track is a short source: blocks of 512 slots
     positions = flag_readings(obs, ["run_id", "particle"], ["slot", "t", "obs_id"], "obs_id", POSITION, block=512)
     return masses.withColumn("tbl", F.lit("detections")).unionByName(positions.withColumn("tbl", F.lit("tracks")))
@@ -98,10 +97,9 @@ def p3_by_day_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid(spark: SparkSession, sf_dir: str, gap_limit: int | None) -> DataFrame:
     meta = runs(spark, sf_dir)
     readings = table(spark, sf_dir, "tracks").select("obs_id", "run_id", "particle", "frame", "t", "x_um")
-    obs = with_slots(readings.where(F.col("x_um").isNotNull() & ~F.isnan("x_um")), meta)
+    obs = with_slots(readings.where(F.col("x_um").isNotNull() & ~F.isnan("x_um")), meta, ("dt",))
     # of several readings in a slot the one nearest to the slot's time stands for it; a reading without t is taken to be on time
-    dt = sized_broadcast(meta.select(F.col("run_id").alias("_run"), "dt"))
-    obs = obs.join(dt, F.col("run_id") == F.col("_run"), "left").withColumn("_off", F.coalesce(F.abs(F.nanvl(F.col("t"), F.lit(None).cast("double")) / F.coalesce("dt", F.lit(1.0)) - F.col("slot")), F.lit(0.0)))
+    obs = obs.withColumn("_off", F.coalesce(F.abs(F.nanvl(F.col("t"), F.lit(None).cast("double")) / F.coalesce("dt", F.lit(1.0)) - F.col("slot")), F.lit(0.0)))
     one = one_per_slot(obs, ["run_id", "particle"], "slot", "obs_id", ["x_um"], near="_off")
     return regular_grid(one, ["run_id", "particle"], "slot", "x_um", gap_limit)
 

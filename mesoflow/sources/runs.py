@@ -29,12 +29,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_slots(tracks: DataFrame, meta: DataFrame) -> DataFrame:
+def with_slots(tracks: DataFrame, meta: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tracks with ``slot`` (BIGINT): ``floor(t / dt + 0.5)``, or ``frame - frame_start`` where t is NULL, NaN or infinite.
 
-    Tracks of a run that ``meta`` lacks have slots by dt = 1 and frame_start = 0.
+    Tracks of a run that ``meta`` lacks have slots by dt = 1 and frame_start = 0. Columns of ``meta`` to ``keep`` come with it.
     """
-    m = sized_broadcast(meta.select(F.col("run_id").alias("_run"), F.col("dt").alias("_dt"), F.col("frame_start").alias("_from")))
+    m = sized_broadcast(meta.select(F.col("run_id").alias("_run"), F.col("dt").alias("_dt"), F.col("frame_start").alias("_from"), *keep))
     slot = F.floor(F.col("t") / F.coalesce("_dt", F.lit(1.0)) + 0.5).cast("bigint")
     by_frame = (F.col("frame") - F.coalesce("_from", F.lit(0))).cast("bigint")
     timed = F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") != float("inf"))
