@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mesoflow.plans import detection_queries, image_queries, live_queries, problems, structure_queries, track_queries
+from mesoflow.plans import detection_queries, live_queries, problems, structure_queries, track_queries
 
-MODULES = [track_queries, detection_queries, structure_queries, image_queries, live_queries, problems]
+MODULES = [track_queries, detection_queries, structure_queries, live_queries, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

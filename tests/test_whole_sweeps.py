@@ -5,9 +5,7 @@ from oracle import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from mesoflow.operators import boundary_stats as B
-from mesoflow.operators import imaging as I
 from mesoflow.plans import detection_queries as Q
-from mesoflow.plans import image_queries as IQ
 from mesoflow.plans import structure_queries as SQ
 from mesoflow.plans.base import D_SQL
 
@@ -21,32 +19,6 @@ def test_minmass_of_each_run(spark, sf_dir):
     assert spark_rows(Q.QUERIES["sweep_minmass_per_run"](spark, sf_dir)) == duck_rows(OWN, sf_dir)
 
 
-def test_twenty_percentiles(monkeypatch):
-    asked = []
-    monkeypatch.setattr(IQ, "_frames", lambda *_: None)
-
-    def sweep(frames, base, name, values):
-        asked.extend(values)
-        raise StopIteration
-
-    monkeypatch.setattr(IQ.I, "sweep_detect", sweep)
-    try:
-        IQ.sweep_percentile(None, "")
-    except StopIteration:
-        pass
-    assert len(set(asked)) == 20 and min(asked) == 40 and max(asked) == 95
-
-
-def test_prepared_once_is_the_same():
-    rng = np.random.default_rng(2)
-    img, p = rng.random((80, 90)).astype(np.float32) * 200, I.Detect(diameter=9, separation=9, minmass=100.0, llong=25)
-    ready = I.prepare(img, p)
-    for q in (40.0, 66.0, 95.0):
-        p = I.Detect(diameter=9, separation=9, minmass=100.0, llong=25, percentile=q)
-        a, b = I.locate(I.prepare(img, p), p), I.locate(ready, p, I.local_max(ready, 4))
-        assert all(np.array_equal(a[k], b[k]) for k in a) and len(a["x"])
-
-
 def test_lasting_by_the_length_of_the_run(spark):
     m = spark.createDataFrame([(r, "g", f, True, n) for r, n in (("a", 100), ("b", 20)) for f in range(12)], "run_id string, gb_id string, frame int, low boolean, nf int")
     kept = B.lasting(m, F.greatest(F.lit(10), F.floor(F.col("nf") / 5))).select("run_id").distinct().collect()
