@@ -1,7 +1,7 @@
-"""Operators that are sequential in time by nature: linking, drift correction, boundary identities.
+"""Linking and drift correction over the frames of a run, and greedy choices within an image.
 
-They are parallel over runs and stream through a run's frames: a task holds the
-state (live particles or boundaries) and one frame, never a whole run.
+Linking is sequential in time by nature. It is parallel over runs and streams through a run's frames: a task holds
+the live particles and one frame, never a whole run. Drift correction only folds one small matrix per frame.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesoflow.operators.arrowgroups import whole_groups
-from mesoflow.operators.geometry import close_pairs, fit_line, greedy_by_weight
+from mesoflow.operators.geometry import close_pairs, greedy_by_weight, near_candidates
 from mesoflow.operators.groupmap import map_groups, spread
 
 
@@ -62,14 +62,7 @@ def link_step(state: dict, x: np.ndarray, y: np.ndarray, reach: float, memory: i
     owner = np.full(n, -1)
     taken = np.zeros(n_live, bool)
     if n_live and n:
-        d2 = (state["x"][:, None] - x[None, :]) ** 2 + (state["y"][:, None] - y[None, :]) ** 2
-        k = min(most, n)
-        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        live = np.repeat(np.arange(n_live), k)
-        point = near.ravel()
-        dist = d2[live, point]
-        ok = dist < reach * reach
-        live, point, dist = live[ok], point[ok], dist[ok]
+        live, point, dist = near_candidates(state["x"], state["y"], x, y, reach, most)
         for i in np.lexsort((point, live, dist)):
             if not taken[live[i]] and owner[point[i]] < 0:
                 taken[live[i]], owner[point[i]] = True, live[i]
@@ -109,26 +102,45 @@ def link_nearest(points: DataFrame, rec: str, memory: int = 3) -> DataFrame:
 def correct_drift(tracks: DataFrame, dt: str = "dt", least: int = 20) -> DataFrame:
     """``run_id, frame, particle, x_aff, y_aff``: tracks less the affine flow of the frames before.
 
-    From each present frame to the next the velocity field v = a + b x + c y
-    is fitted to the shared particles (already corrected before, raw after, less what
-    was subtracted so far), and its displacement is taken off. Pairs with under ``least`` shared particles change nothing.
-    """
+    From each present frame to the next the velocity field v = a + b x + c y is fitted to the
+    shared particles, the earlier ones corrected, the later ones raw, and its displacement at the later places is taken
+    off. Pairs of frames with under ``least`` shared particles, or all of them on a line, change nothing.
 
-    def step(state: dict, g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        x, y, ids, frame = g["x_um"].astype(float), g["y_um"].astype(float), g["particle"], int(g["frame"][0])
-        if "id" in state:
-            _, i, j = np.intersect1d(state["id"], ids, return_indices=True)
-            gap = (frame - state["frame"]) * float(g[dt][0])
-            if len(i) >= least and gap > 0:
-                a = np.column_stack([state["x"][i], state["y"][i], np.ones(len(i))])
-                here = np.column_stack([x, y, np.ones(len(x))])
-                u = np.linalg.lstsq(a, (x[j] - state["x"][i]) / gap, rcond=None)[0]
-                v = np.linalg.lstsq(a, (y[j] - state["y"][i]) / gap, rcond=None)[0]
-                x, y = x - here @ u * gap, y - here @ v * gap
-        state.update(id=ids, x=x, y=y, frame=frame)
-        return {"particle": ids, "x_aff": x, "y_aff": y}
-
-    return fold_frames(tracks.select("run_id", "frame", "particle", "x_um", "y_um", dt), "run_id", ["particle"], dict, step, "particle bigint, x_aff double, y_aff double")
+    A correction is affine, and least squares commute with affine maps: if C is the fitted map from the raw frame f to
+    the raw frame f + 1 and T the correction at f, then the fit from corrected to raw is C T^-1, and the correction at f + 1 is
+    2 - C T^-1. So the fits are sums over particles, all frames at once, and only one 2 x 3
+    matrix per frame is folded along a run. Where T cannot be inverted the next frame begins anew.
+    """
+    now, nxt = (tracks.select("run_id", "particle", F.col("frame").alias(f), F.col("x_um").cast("double").alias(x), F.col("y_um").cast("double").alias(y)) for f, x, y in (("frame", "x", "y"), ("_next", "u", "v")))
+    frames = tracks.groupBy("run_id", "frame").agg((F.max(dt) > 0).alias("_timed"))
+    follow = frames.withColumn("_next", F.lead("frame").over(Window.partitionBy("run_id").orderBy("frame")))
+    j = now.join(follow.where("_timed and _next is not null").select("run_id", "frame", "_next"), ["run_id", "frame"]).join(nxt, ["run_id", "particle", "_next"])
+    mean = {f"m{c}": F.avg(c) for c in "xyuv"} | {p + q: F.avg(F.col(p) * F.col(q)) for p, q in ("xx", "xy", "yy", "xu", "yu", "xv", "yv")}
+    m = j.groupBy("run_id", F.col("_next").alias("frame")).agg(F.count(F.lit(1)).alias("_n"), *[e.alias(k) for k, e in mean.items()])
+    table = frames.select("run_id", "frame").join(m.where(F.col("_n") >= least), ["run_id", "frame"], "left")
+
+    def fold(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(g["frame"])
+        out = np.zeros((n, 6))
+        before = np.eye(3)
+        for k in range(n):
+            t = np.eye(3)
+            c = {p + q: g[p + q][k] - g["m" + p][k] * g["m" + q][k] for p, q in ("xx", "xy", "yy", "xu", "yu", "xv", "yv")}
+            det = c["xx"] * c["yy"] - c["xy"] ** 2
+            if det > 1e-9 * max(c["xx"] * c["yy"], 1e-300) and abs(np.linalg.det(before)) > 1e-12:
+                step = np.eye(3)
+                for row, (to, p, q) in enumerate((("u", "xu", "yu"), ("v", "xv", "yv"))):
+                    a, b = (c[p] * c["yy"] - c[q] * c["xy"]) / det, (c[q] * c["xx"] - c[p] * c["xy"]) / det
+                    step[row] = a, b, g["m" + to][k] - a * g["mx"][k] - b * g["my"][k]
+                t[:2] = 2 * np.eye(3)[:2] - (step @ np.linalg.inv(before))[:2]
+            out[k], before = t[:2].ravel(), t
+        return {"frame": g["frame"], **{f"t{i}": out[:, i] for i in range(6)}}
+
+    # one row per frame of a run
+    maps = map_groups(table.withColumnRenamed("frame", "_f").withColumn("frame", F.col("_f")).drop("_f"), ["run_id"], ["frame"], fold, "frame int, " + ", ".join(f"t{i} double" for i in range(6)))
+    x, y = F.col("x_um").cast("double"), F.col("y_um").cast("double")
+    put = lambda r: F.col(f"t{3 * r}") * x + F.col(f"t{3 * r + 1}") * y + F.col(f"t{3 * r + 2}")
+    return tracks.select("run_id", "frame", "particle", "x_um", "y_um").join(maps, ["run_id", "frame"]).select("run_id", "frame", "particle", put(0).alias("x_aff"), put(1).alias("y_aff"))
 
 
 def suppress_close(points: DataFrame, rec: str, separation: float, weight: str = "mass") -> DataFrame:
@@ -153,106 +165,3 @@ def dedupe_in_order(points: DataFrame, rec: str, radius: float) -> DataFrame:
         return {rec: g[rec][alive]}
 
     return map_groups(points.select("run_id", "frame", rec, "x", "y"), ["run_id", "frame"], [rec], one, f"{rec} bigint")
-
-
-def _joined(parts: list[dict]) -> dict:
-    """One boundary of several: members pooled, line refitted, angle and kind by numbers."""
-    if len(parts) == 1:
-        return parts[0]
-    x, y = np.concatenate([p["x"] for p in parts]), np.concatenate([p["y"] for p in parts])
-    rec = np.concatenate([p["rec"] for p in parts])
-    n = np.array([len(p["x"]) for p in parts], float)
-    low = float(n[[p["low"] for p in parts]].sum() / n.sum()) >= 0.5
-    return _line(x, y, rec, float(np.average([p["mis"] for p in parts], weights=n)), low)
-
-
-def _line(x: np.ndarray, y: np.ndarray, rec: np.ndarray, mis: float, low: bool) -> dict:
-    f = fit_line(x, y)
-    s = (x - f["cx"]) * f["ux"] + (y - f["cy"]) * f["uy"]
-    return {**f, "x": x, "y": y, "rec": rec, "s": s, "h": (y - f["cy"]) * f["ux"] - (x - f["cx"]) * f["uy"], "mis": mis, "low": low}
-
-
-def _gap(a: dict, b: dict, cos: float, most_off: float) -> tuple[float, float] | None:
-    """Sideways offset of b from a's line and the gap between them along it (negative: overlap); None if they are not one line."""
-    if abs(a["ux"] * b["ux"] + a["uy"] * b["uy"]) < cos:
-        return None
-    dx, dy = b["cx"] - a["cx"], b["cy"] - a["cy"]
-    off = abs(dy * a["ux"] - dx * a["uy"])
-    if off > most_off:
-        return None
-    sb = (b["x"] - a["cx"]) * a["ux"] + (b["y"] - a["cy"]) * a["uy"]
-    return off, float(max(sb.min() - a["s"].max(), a["s"].min() - sb.max()))
-
-
-def merge_fragments(parts: list[dict], gap: float, off: float, degrees: float = 20.0) -> list[dict]:
-    """Fragments of one image on one line joined (the earlier fragment's axis decides)."""
-    group = list(range(len(parts)))
-    cos = float(np.cos(np.radians(degrees)))
-    for i in range(len(parts)):
-        for j in range(i + 1, len(parts)):
-            found = _gap(parts[i], parts[j], cos, off)
-            if found and found[1] <= gap and group[i] != group[j]:
-                a, b = group[i], group[j]
-                group = [a if g == b else g for g in group]
-    return [_joined([p for p, g in zip(parts, group, strict=True) if g == k]) for k in dict.fromkeys(group)]
-
-
-def track_boundaries(members: DataFrame, rec: str, max_off: float = 60.0, degrees: float = 25.0, memory: int = 10, merge_gap: float | None = None) -> DataFrame:
-    """``run_id, frame, rec, gb_id, x, y, s, h``: members (``gb, rec, x, y, mis, low``) under identities that last over frames.
-
-    A boundary continues a live one if their axes agree within ``degrees``, its centre is at most
-    ``max_off`` from the live line and the gap along it is at most half the longer extent; one to
-    one, least offset first. Left-over pieces of a continued boundary join it. Identities unseen for more than ``memory`` frames end.
-    ``merge_gap`` joins fragments on one line first.
-    """
-    cos = float(np.cos(np.radians(degrees)))
-
-    def step(state: dict, g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        parts = []
-        for k in np.unique(g["gb"]):
-            m = g["gb"] == k
-            mis = g["mis"][m]
-            known = mis[np.isfinite(mis)]
-            parts.append(_line(g["x"][m], g["y"][m], g[rec][m], float(known.mean()) if len(known) else 0.0, bool(g["low"][m][0])))
-        if merge_gap is not None:
-            parts = merge_fragments(parts, merge_gap, max_off)
-        live: dict[int, dict] = state.setdefault("live", {})
-        offers = []
-        for name, old in live.items():
-            for b, part in enumerate(parts):
-                dx, dy = part["cx"] - old["cx"], part["cy"] - old["cy"]
-                off = abs(dy * old["ux"] - dx * old["uy"])
-                if abs(part["ux"] * old["ux"] + part["uy"] * old["uy"]) < cos or off > max_off:
-                    continue
-                along = dx * old["ux"] + dy * old["uy"]
-                lo, hi = along + part["s"].min(), along + part["s"].max()
-                if max(old["lo"] - hi, lo - old["hi"]) <= 0.5 * max(old["hi"] - old["lo"], hi - lo):
-                    offers.append((off, name, b))
-        offers.sort(key=lambda o: o[0])
-        pieces: dict[int, list[int]] = {}
-        used: set[int] = set()
-        for _, name, b in offers:
-            if name not in pieces and b not in used:
-                pieces[name] = [b]
-                used.add(b)
-        for _, name, b in offers:
-            if name in pieces and b not in used:
-                pieces[name].append(b)
-                used.add(b)
-        seen = {name: _joined([parts[b] for b in bs]) for name, bs in pieces.items()}
-        for name in list(live):
-            if name not in seen:
-                live[name]["missing"] += 1
-                if live[name]["missing"] > memory:
-                    del live[name]
-        for b, part in enumerate(parts):
-            if b not in used:
-                seen[state.setdefault("next", 0)] = part
-                state["next"] += 1
-        for name, p in seen.items():
-            live[name] = {"cx": p["cx"], "cy": p["cy"], "ux": p["ux"], "uy": p["uy"], "lo": p["s"].min(), "hi": p["s"].max(), "missing": 0}
-        pick = lambda c: np.concatenate([p[c] for p in seen.values()]) if seen else np.zeros(0)
-        return {rec: pick("rec").astype(np.int64), "gb_id": np.concatenate([np.full(len(p["x"]), n) for n, p in seen.items()]), "low": np.concatenate([np.full(len(p["x"]), p["low"]) for p in seen.values()]), "x": pick("x"), "y": pick("y"), "s": pick("s"), "h": pick("h")}
-
-    cols = members.select("run_id", "frame", "gb", rec, "x", "y", F.col("misorientation_deg").alias("mis"), F.col("low"))
-    return fold_frames(cols, "run_id", ["gb", rec], dict, step, f"{rec} bigint, gb_id bigint, low boolean, x double, y double, s double, h double")

@@ -77,19 +77,6 @@ def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def fit_line(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """Centre, main axis (pointing to +x, or +y if upright) and aspect ratio of points; aspect 999 for points on a line."""
-    cx, cy = float(x.mean()), float(y.mean())
-    sxx, syy, sxy = float(((x - cx) ** 2).sum()), float(((y - cy) ** 2).sum()), float(((x - cx) * (y - cy)).sum())
-    angle = 0.5 * np.arctan2(2 * sxy, sxx - syy)
-    ux, uy = float(np.cos(angle)), float(np.sin(angle))
-    if ux < -1e-12 or (abs(ux) <= 1e-12 and uy < 0):
-        ux, uy = -ux, -uy
-    half, root = (sxx + syy) / 2, float(np.hypot((sxx - syy) / 2, sxy))
-    least = half - root
-    return {"cx": cx, "cy": cy, "ux": ux, "uy": uy, "aspect": float(np.sqrt((half + root) / least)) if least > 1e-9 else 999.0}
-
-
 def greedy_by_weight(i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Survivors when of each close pair the lighter goes, heaviest pairs first (equal weights: j goes)."""
     alive = np.ones(len(weight), bool)
@@ -111,3 +98,28 @@ def close_pairs(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray
     i, j = order[a], order[b]
     near = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= radius * radius
     return np.minimum(i, j)[near], np.maximum(i, j)[near]
+
+
+def near_candidates(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, squared distance): for each a its ``most`` nearest b closer than ``reach``, ties by b; only points of neighbouring strips are compared."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(ax) or not len(bx) or not reach > 0:
+        return none
+    order = np.argsort(bx, kind="stable")
+    lo, hi = np.searchsorted(bx[order], ax - reach), np.searchsorted(bx[order], ax + reach, side="right")
+    parts = []
+    # a million comparisons at once, whatever the image holds
+    step = max(1, int(1e6 // max(1, (hi - lo).max())))
+    for s in range(0, len(ax), step):
+        n = (hi - lo)[s : s + step]
+        a = np.repeat(np.arange(s, s + len(n)), n)
+        b = order[np.repeat(lo[s : s + step], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
+        d = (ax[a] - bx[b]) ** 2 + (ay[a] - by[b]) ** 2
+        near = d < reach * reach
+        a, b, d = a[near], b[near], d[near]
+        by_dist = np.lexsort((b, d, a))
+        a, b, d = a[by_dist], b[by_dist], d[by_dist]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+        parts.append((a[rank < most], b[rank < most], d[rank < most]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else none

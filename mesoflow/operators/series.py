@@ -55,9 +55,9 @@ def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, on: float
     return df.withColumn("flag", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(False)))
 
 
-def collapse_cores(df: DataFrame, keys: list[str], s: str, h: str, core: float) -> DataFrame:
+def collapse_cores(df: DataFrame, keys: list[str], s: str, h: str, core: float | Column) -> DataFrame:
     """``keys, core_no, s, h, n``: points along a line joined while they are at most ``core`` apart, each group by its mean."""
-    line = Window.partitionBy(*keys).orderBy(s)
+    line = Window.partitionBy(*keys).orderBy(s, h)
     cut = df.withColumn("_new", (F.coalesce(F.col(s) - F.lag(s).over(line), F.lit(0.0)) > core).cast("int"))
     cut = cut.withColumn("core_no", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     return cut.groupBy(*keys, "core_no").agg(F.avg(s).alias("s"), F.avg(h).alias("h"), F.count(F.lit(1)).alias("n"))

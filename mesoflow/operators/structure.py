@@ -106,15 +106,14 @@ def dbscan(points: DataFrame, rec: str, eps: float, least: int) -> DataFrame:
     ensure_checkpoint_dir(points.sparkSession)
     p = near_pairs(points, FRAME, rec, eps).select(*FRAME, "a", "b").checkpoint()
     both = p.select(*FRAME, F.col("a").alias("i"), F.col("b").alias("j")).unionByName(p.select(*FRAME, F.col("b").alias("i"), F.col("a").alias("j")))
-    n = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("_n"))
-    all_ = points.select(*FRAME, F.col(rec).alias("i")).join(n, "i", "left").fillna(1, ["_n"]).checkpoint()
-    core = all_.where(F.col("_n") >= least)
-    ids = core.select("i")
-    links = both.where("i < j").join(ids, "i", "left_semi").join(ids.withColumnRenamed("i", "j"), "j", "left_semi").select(*FRAME, "i", "j")
-    named = link_components(links.unionByName(core.select(*FRAME, "i", F.col("i").alias("j"))), FRAME).select(F.col("node").alias("i"), "component").checkpoint()
-    border = both.join(ids, "i", "left_anti").join(named.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("component").alias("component"))
+    n = both.groupBy(*FRAME, "i").agg((F.count(F.lit(1)) + 1).alias("_n"))
+    all_ = points.select(*FRAME, F.col(rec).alias("i")).join(n, [*FRAME, "i"], "left").fillna(1, ["_n"]).checkpoint()
+    ids = all_.where(F.col("_n") >= least).select(*FRAME, "i")
+    links = both.where("i < j").join(ids, [*FRAME, "i"], "left_semi").join(ids.withColumnRenamed("i", "j"), [*FRAME, "j"], "left_semi").select(*FRAME, "i", "j")
+    named = link_components(links.unionByName(ids.withColumn("j", F.col("i"))), FRAME).select(*FRAME, F.col("node").alias("i"), "component").checkpoint()
+    border = both.join(ids, [*FRAME, "i"], "left_anti").join(named.withColumnRenamed("i", "j"), [*FRAME, "j"]).groupBy(*FRAME, "i").agg(F.min("component").alias("component"))
     label = named.unionByName(border)
-    return all_.join(label, "i", "left").select(*FRAME, F.col("i").alias(rec), F.coalesce("component", F.lit(-1)).alias("cluster"))
+    return all_.join(label, [*FRAME, "i"], "left").select(*FRAME, F.col("i").alias(rec), F.coalesce("component", F.lit(-1)).alias("cluster"))
 
 
 def line_fit(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,21 +140,22 @@ def boundaries(pairs: DataFrame, eps: float = 76.0, least: int = 3, min_aspect:
     """Grain boundaries as lines of dislocation pairs: (boundaries, members).
 
     ``run_id, frame, gb, kind, n, aspect, misorientation_deg, cx, cy, ux, uy, x1, y1, x2, y2`` and
-    ``run_id, frame, gb, i5, x, y, s, h``. ``gb`` is the cluster's smallest pair id. A cluster rounder
+    ``run_id, frame, gb, i5, x, y, s, h, mis``. Pairs are numbered in their frame by (i5, i7), and ``gb`` is the smallest number of the cluster's cores. A cluster rounder
     than ``min_aspect`` is none. Low-angle (LAGB) if the mean known misorientation (0 if none is known) is below ``max_angle``.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
-    p = pairs.withColumn("pair_id", F.xxhash64("i5", "i7").bitwiseAND(F.lit((1 << 62) - 1))).checkpoint()
-    c = dbscan(p, "pair_id", eps, least).where("cluster <> -1").select("pair_id", F.col("cluster").alias("gb"))
+    # the pairs of one image are bounded
+    p = pairs.withColumn("pair_id", F.row_number().over(Window.partitionBy(*FRAME).orderBy("i5", "i7")).cast("bigint")).checkpoint()
+    c = dbscan(p, "pair_id", eps, least).where("cluster <> -1").select(*FRAME, "pair_id", F.col("cluster").alias("gb"))
     keys = [*FRAME, "gb"]
-    m = p.join(c, "pair_id").checkpoint()
+    m = p.join(c, [*FRAME, "pair_id"]).checkpoint()
     lines = line_fit(m, keys).where((F.col("aspect") >= min_aspect) & (F.col("n") >= least))
     placed = along_line(m, lines, keys).checkpoint()
     ends = placed.groupBy(*keys).agg(F.min("s").alias("_s0"), F.max("s").alias("_s1"), F.coalesce(F.avg("misorientation_deg"), F.lit(0.0)).alias("misorientation_deg"))
     b = lines.join(ends, keys).checkpoint()
     at = lambda c, u, s: F.col(c) + F.col(s) * F.col(u)
     b = b.select(*keys, F.when(F.col("misorientation_deg") < max_angle, "LAGB").otherwise("HAGB").alias("kind"), "n", "aspect", "misorientation_deg", "cx", "cy", "ux", "uy", at("cx", "ux", "_s0").alias("x1"), at("cy", "uy", "_s0").alias("y1"), at("cx", "ux", "_s1").alias("x2"), at("cy", "uy", "_s1").alias("y2"))
-    return b, placed.select(*keys, "i5", "x", "y", "s", "h")
+    return b, placed.select(*keys, "i5", "x", "y", "s", "h", F.col("misorientation_deg").alias("mis"))
 
 
 def band_misorientation(b: DataFrame, members: DataFrame, points: DataFrame, spacing: Column, least: int = 5) -> DataFrame:
@@ -172,16 +172,24 @@ def band_misorientation(b: DataFrame, members: DataFrame, points: DataFrame, spa
     ends = members.groupBy(*keys).agg(F.min("s").alias("_s0"), F.max("s").alias("_s1"))
     x = b.withColumn("_b", spacing).join(ends, keys).join(d, keys, "left")
     x = x.withColumn("_in", 1.5 * F.col("_b")).withColumn("_out", F.col("_in") + F.greatest(2 * F.col("_b"), F.greatest(F.coalesce("_D", "_b"), F.col("_b")) / 2))
+    sides = band_sides(x, points, keys).where(F.col("n") >= least)
+    g = sides.groupBy(*keys).pivot("side", ["a", "b"]).agg(F.first("n").alias("n"), F.first("re").alias("re"), F.first("im").alias("im")).where("a_n is not null and b_n is not null")
+    turn = (F.atan2("a_im", "a_re") - F.atan2("b_im", "b_re")) / 6
+    return g.select(*keys, F.abs(F.pmod(F.degrees(turn) + 30, F.lit(60.0)) - 30).alias("theta_grains_deg"), F.col("a_n").alias("n_band_a"), F.col("b_n").alias("n_band_b"))
+
+
+def band_sides(lines: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, side, n, re, im``: mean unit vector of 6 times the lattice angle over the ordered points beside a line, by side (a: positive h).
+
+    ``lines``: ``keys`` (run_id and frame among them), ``cx, cy, ux, uy``, the extent ``_s0, _s1`` and the band from ``_in`` to ``_out``.
+    """
     p = points.where(F.hypot("psi_re", "psi_im") > 0.3).select(*FRAME, "x", "y", "psi_re", "psi_im", F.hypot("psi_re", "psi_im").alias("_m"))
-    j = x.select(*keys, "cx", "cy", "ux", "uy", "_s0", "_s1", "_in", "_out").join(p, FRAME)
+    j = lines.select(*keys, "cx", "cy", "ux", "uy", "_s0", "_s1", "_in", "_out").join(p, FRAME)
     rx, ry = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     j = j.withColumn("_s", rx * F.col("ux") + ry * F.col("uy")).withColumn("_h", ry * F.col("ux") - rx * F.col("uy"))
     j = j.where((F.col("_s") > F.col("_s0")) & (F.col("_s") < F.col("_s1")) & (F.abs("_h") > F.col("_in")) & (F.abs("_h") < F.col("_out")))
-    up = F.col("_h") > 0
-    of = lambda c, side: F.avg(F.when(side, F.col(c) / F.col("_m")))
-    g = j.groupBy(*keys).agg(F.sum(up.cast("int")).alias("n_band_a"), F.sum((~up).cast("int")).alias("n_band_b"), (F.atan2(of("psi_im", up), of("psi_re", up)) / 6).alias("_a"), (F.atan2(of("psi_im", ~up), of("psi_re", ~up)) / 6).alias("_c"))
-    g = g.where((F.col("n_band_a") >= least) & (F.col("n_band_b") >= least))
-    return g.select(*keys, F.abs(F.pmod(F.degrees(F.col("_a") - F.col("_c")) + 30, F.lit(60.0)) - 30).alias("theta_grains_deg"), "n_band_a", "n_band_b")
+    side = F.when(F.col("_h") > 0, "a").otherwise("b").alias("side")
+    return j.groupBy(*keys, side).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("psi_re") / F.col("_m")).alias("re"), F.avg(F.col("psi_im") / F.col("_m")).alias("im"))
 
 
 def trim_members(members: DataFrame, max_h: Column, least: int = 3) -> DataFrame:
@@ -200,12 +208,12 @@ def bond_filter(edges: DataFrame, times: float = 1.4) -> DataFrame:
 
 
 def bond_asymmetry(edges: DataFrame, spins: DataFrame, rec: str) -> DataFrame:
-    """``run_id, n_same, n_mixed, len_same, len_mixed, percent``: mean bond length between equal and opposite spins (``rec, s``)."""
+    """``run_id, n_same, n_mixed, len_same, len_mixed, percent``: mean bond length between equal and opposite spins (``rec, s``), and by how much the mixed ones are shorter."""
     side = lambda c: spins.select(F.col(rec).alias(c), F.col("s").alias(f"_{c}"))
     e = edges.join(side("i"), "i").join(side("j"), "j").withColumn("_same", F.col("_i") == F.col("_j"))
     of = lambda f, same: f(F.when(F.col("_same") == same, F.col("len")))
     g = e.groupBy("run_id").agg(of(F.count, True).alias("n_same"), of(F.count, False).alias("n_mixed"), of(F.avg, True).alias("len_same"), of(F.avg, False).alias("len_mixed"))
-    return g.withColumn("percent", (F.col("len_mixed") / F.col("len_same") - 1) * 100)
+    return g.withColumn("percent", (1 - F.col("len_mixed") / F.col("len_same")) * 100)
 
 
 def frustrated_bonds(edges: DataFrame, spins: DataFrame, rec: str) -> DataFrame:

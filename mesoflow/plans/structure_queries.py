@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesoflow.operators import boundary_stats as B
 from mesoflow.operators import folds as L
+from mesoflow.operators import series as R
 from mesoflow.operators import structure as S
+from mesoflow.operators.boundary_tracks import track_boundaries
 from mesoflow.operators.correlation import pair_counts
+from mesoflow.operators.quantiles import exact_medians
 from mesoflow.operators.track_stats import nn_spacing
 from mesoflow.plans.base import D_SQL, detections, tracks, with_run
 from mesoflow.session import ensure_checkpoint_dir
@@ -95,35 +98,67 @@ def band_misorientation(spark: SparkSession, d: str) -> DataFrame:
     return S.band_misorientation(b, m, p, F.col("spacing"))
 
 
-def _identities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _identities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, members of tracked boundaries, scale): trimmed, with merge gap and offsets from the run's own core spacing D0 (100 px if there is none)."""
     ensure_checkpoint_dir(spark)
-    _, b, m = _lines(spark, d)
-    space = nn_spacing(_points(spark, d), "det_id").select("run_id", "spacing").checkpoint()
-    m = S.trim_members(m.join(space, "run_id"), 2 * F.col("spacing")).drop("spacing")
-    m = m.checkpoint()
-    keyed = m.join(b.select("run_id", "frame", "gb", "misorientation_deg", (F.col("kind") == "LAGB").alias("low")), ["run_id", "frame", "gb"])
-    return L.track_boundaries(keyed, "i5", merge_gap=100.0).checkpoint(), space
+    p, b, m = _lines(spark, d)
+    scale = with_run(nn_spacing(_points(spark, d), "det_id").select("run_id", "spacing"), spark, d, "px_um").checkpoint()
+    keys = ["run_id", "frame", "gb"]
+    far = F.coalesce(2 * F.col("spacing"), F.lit(float("inf")))
+    m = S.trim_members(m.join(scale.select("run_id", "spacing"), "run_id", "left"), far).drop("s")
+    m = m.join(b.select(*keys, (F.col("kind") == "LAGB").alias("low")), keys).drop("h").checkpoint()
+    placed = S.along_line(m, S.line_fit(m, keys), keys)
+    cores = R.collapse_cores(placed.withColumn("_core", F.coalesce(2 * F.col("spacing"), F.lit(-1.0))), keys, "s", "h", F.col("_core"))
+    gaps = cores.select("run_id", (F.col("s") - F.lag("s").over(Window.partitionBy(*keys).orderBy("s"))).alias("_d")).where("_d is not null")
+    d0 = exact_medians(gaps, ["run_id"], "_d").select("run_id", F.col("median").alias("_d0"))
+    s = scale.join(d0, "run_id", "left").withColumn("_d0", F.coalesce("_d0", F.lit(100.0)))
+    settings = s.select("run_id", (3 * F.col("_d0")).alias("merge_gap"), F.greatest(F.lit(60.0), 2.5 * F.col("spacing"), 0.2 * F.col("_d0")).alias("max_off")).checkpoint()
+    return p, track_boundaries(m.drop("spacing"), settings).checkpoint(), scale
 
 
 def boundary_tracks(spark: SparkSession, d: str) -> DataFrame:
-    t = _identities(spark, d)[0]
+    t = _identities(spark, d)[1]
     return t.groupBy("run_id", "gb_id").agg(F.count_distinct("frame").alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n_members"))
 
 
-def lagb_statistics(spark: SparkSession, d: str) -> DataFrame:
-    t, space = _identities(spark, d)
-    # a fifth of the run's frames, ten at least
+def _lagb(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(points, members, axes, cores, summary, scale) of the boundaries that last a fifth of the run's frames, ten at least, and are low-angle in half of theirs."""
+    p, t, scale = _identities(spark, d)
     nf = _points(spark, d).groupBy("run_id").agg(F.count_distinct("frame").alias("_nf"))
     t = B.lasting(t.join(nf, "run_id"), F.greatest(F.lit(10), F.floor(F.col("_nf") / 5))).drop("_nf").checkpoint()
-    s = B.boundary_summary(t, space).checkpoint()
-    eta = B.peak_exponents(B.structure_factor(t, s), s).groupBy("run_id", "gb_id").agg(*[F.max(F.when(F.col("m") == k, F.col("eta"))).alias(f"eta_{k}") for k in (1, 2, 3)])
-    return s.join(eta, ["run_id", "gb_id"], "left")
+    axes = B.pooled_axes(t).checkpoint()
+    cores = B.pooled_cores(t, axes, scale).checkpoint()
+    return p, t, axes, cores, B.boundary_summary(cores, t, scale).checkpoint(), scale
+
+
+def lagb_statistics(spark: SparkSession, d: str) -> DataFrame:
+    p, t, axes, cores, s, scale = _lagb(spark, d)
+    eta = B.peak_exponents(B.structure_factor(cores, s), s).groupBy("run_id", "gb_id").agg(*[F.max(F.when(F.col("m") == k, F.col("eta"))).alias(f"eta_{k}") for k in (1, 2, 3)])
+    theta = B.pooled_misorientation(t, axes, s, p, scale)
+    return s.join(theta, ["run_id", "gb_id"], "left").join(eta, ["run_id", "gb_id"], "left")
 
 
 def lagb_fluctuations(spark: SparkSession, d: str) -> DataFrame:
-    t, space = _identities(spark, d)
-    t = B.lasting(t, 5).checkpoint()
-    return B.fluctuations(t, B.boundary_summary(t, space).checkpoint())
+    *_, cores, s, _ = _lagb(spark, d)
+    return B.fluctuations(cores, s)
+
+
+def lagb_structure_factor(spark: SparkSession, d: str) -> DataFrame:
+    *_, cores, s, _ = _lagb(spark, d)
+    return B.structure_factor(cores, s)
+
+
+def lagb_spacings(spark: SparkSession, d: str) -> DataFrame:
+    *_, cores, s, _ = _lagb(spark, d)
+    return B.normed_spacings(cores, s)
+
+
+def overlay_points(spark: SparkSession, d: str) -> DataFrame:
+    """What an overlay would draw for the points, as rows: place, radius (half the run's diameter) and class by coordination."""
+    p = with_run(_structure(spark, d)[0], spark, d, "params.diameter")
+    kind = F.when(F.col("coord") == 5, "five").when(F.col("coord") == 7, "seven").when(F.col("coord") == 6, "six").otherwise("other")
+    color = F.when(F.col("coord") == 5, "red").when(F.col("coord") == 7, "blue").when(F.col("coord") == 6, "green").otherwise("grey")
+    return p.select("run_id", "frame", "det_id", "x", "y", (F.col("diameter") / 2).alias("r"), kind.alias("class"), color.alias("color"))
 
 
 def overlay_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -138,8 +173,6 @@ def overlay_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def boundary_labels(spark: SparkSession, d: str) -> DataFrame:
     """The five longest boundaries of each frame (a top-k report)."""
-    from pyspark.sql import Window
-
     b = _lines(spark, d)[1].withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     k = F.row_number().over(Window.partitionBy("run_id", "frame").orderBy(F.col("length").desc(), "gb"))
     return b.withColumn("label", k).where("label <= 5").select("run_id", "frame", "gb", "label", "kind", "length", "misorientation_deg")
@@ -147,8 +180,6 @@ def boundary_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _spins(spark: SparkSession, d: str) -> DataFrame:
     """Bright or faint against the run's median mass."""
-    from mesoflow.operators.quantiles import exact_medians
-
     t = detections(spark, d)
     med = exact_medians(t, ["run_id"], "mass").select("run_id", "median")
     return t.join(med, "run_id").select("det_id", F.when(F.col("mass") > F.col("median"), 1).otherwise(-1).alias("s"))
@@ -186,7 +217,7 @@ def dedupe_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """delaunay_edges coordination psi6 pairs57 defect_series pair_count_series g6_hist grain_components dbscan_labels boundaries band_misorientation
-boundary_tracks lagb_statistics lagb_fluctuations bond_length_filter bond_asymmetry frustrated_bonds overlay_segments boundary_labels link_nn affine_full nms_separation dedupe_points""".split()
+boundary_tracks lagb_statistics lagb_fluctuations lagb_structure_factor lagb_spacings bond_length_filter bond_asymmetry frustrated_bonds overlay_segments overlay_points boundary_labels link_nn affine_full nms_separation dedupe_points""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # the triangulation by its definition: a triangle counts if no other point lies in its circle; of points at one place the first counts
@@ -237,7 +268,7 @@ select h.run_id, bin, n, case when m > 0 then round(w / n / m, 6) + 0.0 end as g
 n as (select det_id, mass > median(mass) over (partition by run_id) as up from d),
 q2 as (select k.run_id, a.up = c.up as same, len from k join n a on a.det_id = k.i join n c on c.det_id = k.j)
 select run_id, count(case when same then 1 end) as n_same, count(case when not same then 1 end) as n_mixed, round(avg(case when same then len end), 5) as len_same,
-  round(avg(case when not same then len end), 5) as len_mixed, round((avg(case when not same then len end) / avg(case when same then len end) - 1) * 100, 5) as percent from q2 group by 1""",
+  round(avg(case when not same then len end), 5) as len_mixed, round((1 - avg(case when not same then len end) / avg(case when same then len end)) * 100, 5) as percent from q2 group by 1""",
     "frustrated_bonds": f"""with {_EDGES}, n as (select det_id, mass > median(mass) over (partition by run_id) as up from d),
 q2 as (select l.run_id, l.frame, l.i, l.j from l join n a on a.det_id = l.i join n c on c.det_id = l.j where a.up = c.up)
 select run_id, frame, det_id, count(*) as n_frustrated from (select run_id, frame, i as det_id from q2 union all select run_id, frame, j from q2) group by 1, 2, 3""",

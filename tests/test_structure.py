@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from mesoflow.operators import boundary_stats as B
+from mesoflow.operators import boundary_tracks as T
 from mesoflow.operators import folds as L
 from mesoflow.operators import structure as S
-from mesoflow.operators.geometry import close_pairs, components, delaunay, fit_line, greedy_by_weight
+from mesoflow.operators.geometry import close_pairs, components, delaunay, greedy_by_weight, near_candidates
 
 RNG = np.random.default_rng(11)
 
@@ -141,12 +142,18 @@ def test_components_and_pairs_and_suppression():
 def test_line_fit_matches_eigenvectors(spark):
     x = RNG.normal(0, 9, 50)
     y = 0.4 * x + RNG.normal(0, 1, 50)
-    f = fit_line(x, y)
-    c = np.cov(np.stack([x, y]), bias=True)
-    w, v = np.linalg.eigh(c)
-    assert f["aspect"] == pytest.approx(math.sqrt(w[1] / w[0])) and abs(f["ux"] * v[0, 1] + f["uy"] * v[1, 1]) == pytest.approx(1)
+    w, v = np.linalg.eigh(np.cov(np.stack([x, y]), bias=True))
     row = S.line_fit(table(spark, x, y), ["run_id"]).first()
-    assert (row["ux"], row["uy"], row["aspect"]) == pytest.approx((f["ux"], f["uy"], f["aspect"]))
+    assert row["aspect"] == pytest.approx(math.sqrt(w[1] / w[0])) and abs(row["ux"] * v[0, 1] + row["uy"] * v[1, 1]) == pytest.approx(1) and row["ux"] > 0
+
+
+def test_near_candidates_equal_brute_force(monkeypatch):
+    a, b = RNG.uniform(0, 50, (60, 2)), RNG.uniform(0, 50, (80, 2)).round(0)
+    d = ((a[:, None] - b[None]) ** 2).sum(2)
+    want = [(i, j) for i in range(60) for j in sorted(range(80), key=lambda j: (d[i, j], j))[:5] if d[i, j] < 64]
+    got = near_candidates(*a.T, *b.T, 8.0, 5)
+    assert list(zip(got[0].tolist(), got[1].tolist())) == want and np.allclose(got[2], d[got[0], got[1]])
+    assert len(near_candidates(*a.T, *b[:0].T, 8.0, 5)[0]) == 0
 
 
 # ---- folds
@@ -207,6 +214,40 @@ def test_affine_flow_is_removed(spark, growth, most):
     assert len(got) == len(rows) and max(off) < most
 
 
+def serial_drift(rows, least=20):
+    """Frame after frame, each from the corrected frame before."""
+    out, state = {}, None
+    for f in sorted({r[1] for r in rows}):
+        now = {r[2]: np.array(r[3:5]) for r in rows if r[1] == f}
+        raw = dict(now)
+        if state:
+            before, at = state
+            both = [q for q in now if q in before]
+            gap = (f - at) * 0.5
+            if len(both) >= least:
+                a = np.array([[*before[q], 1.0] for q in both])
+                v = [np.linalg.lstsq(a, np.array([(raw[q][k] - before[q][k]) / gap for q in both]), rcond=None)[0] for k in (0, 1)]
+                now = {q: p - gap * np.array([np.dot([*p, 1.0], w) for w in v]) for q, p in raw.items()}
+        state = (now, f)
+        out |= {(f, q): p for q, p in now.items()}
+    return out
+
+
+def test_drift_by_matrices_equals_the_serial_fold(spark):
+    p = RNG.uniform(0, 100, (40, 2))
+    rows = []
+    for f in [*range(9), 11, 12, 13]:
+        p = p * 1.001 + np.array([0.3, -0.2]) + RNG.normal(0, 0.3, p.shape)
+        rows += [("r", f, q, float(p[q, 0]), float(p[q, 1]), 0.5) for q in range(40) if RNG.random() < 0.9 or f == 4]
+    rows = [r for r in rows if r[1] != 7 or r[2] < 10]
+    df = spark.createDataFrame(rows, "run_id string, frame int, particle bigint, x_um double, y_um double, dt double")
+    want = serial_drift(rows)
+    got = {(r["frame"], r["particle"]): (r["x_aff"], r["y_aff"]) for r in L.correct_drift(df.repartition(7)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(tuple(want[k]), abs=1e-8) for k in want)
+    one = spark.createDataFrame([("s", 1, 1, 2.0, 3.0, 0.5), ("t", 1, 1, 2.0, 3.0, 0.0), ("t", 2, 1, 5.0, 3.0, 0.0)], df.schema)
+    assert {(r["run_id"], r["frame"], r["x_aff"]) for r in L.correct_drift(one, least=1).collect()} == {("s", 1, 2.0), ("t", 1, 2.0), ("t", 2, 5.0)}
+
+
 def test_boundaries_keep_their_names_and_fragments_join(spark):
     rows, k = [], 0
     for f in range(20):
@@ -218,14 +259,67 @@ def test_boundaries_keep_their_names_and_fragments_join(spark):
                     x = piece * 80 + i * 10 + RNG.normal(0, 1)
                     rows.append(("r", f, 2 * gb + piece, k, x, y0 + slope * x + RNG.normal(0, 1), 4.0, True))
                     k += 1
-    df = spark.createDataFrame(rows, "run_id string, frame int, gb bigint, id bigint, x double, y double, misorientation_deg double, low boolean")
-    t = L.track_boundaries(df, "id", merge_gap=60.0).cache()
+    df = spark.createDataFrame(rows, "run_id string, frame int, gb bigint, id bigint, x double, y double, mis double, low boolean")
+    settings = spark.createDataFrame([("r", 60.0, 60.0)], "run_id string, merge_gap double, max_off double")
+    t = T.track_boundaries(df, settings).cache()
     assert t.count() == len(rows)
     names = {r["gb_id"]: r["n"] for r in t.groupBy("gb_id").agg(F.count_distinct("frame").alias("n")).collect()}
     assert names == {0: 18, 1: 18}
-    lasting = B.lasting(t, 10)
-    s = B.boundary_summary(lasting, spark.createDataFrame([("r", 1.0)], "run_id string, spacing double")).cache()
-    assert all(abs(r["D"] - 10) < 2 and abs(r["theta_frank_deg"] - 5.7) < 1.5 for r in s.collect())
-    f = B.fluctuations(lasting, s)
-    assert f.agg(F.sum("n")).first()[0] == 2 * 18 * 12 * 11 // 2 and f.agg(F.max("b_perp")).first()[0] < 10
-    assert B.peak_exponents(B.structure_factor(lasting, s, 200), s).count() > 0
+    lasting = B.lasting(t, 10).cache()
+    scale = spark.createDataFrame([("r", 1.0, 0.5)], "run_id string, spacing double, px_um double")
+    axes = B.pooled_axes(lasting).cache()
+    cores = B.pooled_cores(lasting, axes, scale).cache()
+    assert cores.count() == 18 * 24
+    s = B.boundary_summary(cores, lasting, scale).cache()
+    assert all(abs(r["D_um"] - 5) < 1 and abs(r["theta_frank_deg"] - 5.7) < 1.5 and r["theta_psi6_deg"] == pytest.approx(4) and r["n_frames"] == 18 for r in s.collect())
+    f = B.fluctuations(cores, s)
+    assert f.agg(F.sum("n")).first()[0] == 2 * 18 * 12 * 11 // 2 and f.agg(F.max("B_perp_um2")).first()[0] < 3
+    assert B.peak_exponents(B.structure_factor(cores, s, 200), s).count() > 0
+    assert B.normed_spacings(cores, s).count() == 2 * 18 * 11
+
+
+def test_cores_closer_than_two_constants_are_one(spark):
+    rows = [("r", 0, f, 10.0 * i + k, 5.0 + k, 4.0, True) for f in range(3) for i in range(6) for k in (0.0, 0.5)]
+    m = spark.createDataFrame(rows, "run_id string, gb_id bigint, frame int, x double, y double, mis double, low boolean")
+    scale = spark.createDataFrame([("r", 1.0, 1.0)], "run_id string, spacing double, px_um double")
+    axes = B.pooled_axes(m)
+    cores = B.pooled_cores(m, axes, scale)
+    assert {r["n"] for r in cores.collect()} == {2} and cores.count() == 18
+    s = B.boundary_summary(cores, m, scale).first()
+    assert s["D_um"] == pytest.approx(10, rel=0.01) and s["n_dislocations"] == 6
+    wide = B.boundary_summary(B.pooled_cores(m, axes, scale.withColumn("spacing", F.lit(50.0))), m, scale).first()
+    assert wide["D_um"] is None and wide["theta_frank_deg"] is None and wide["n_dislocations"] == 1
+
+
+def test_chains_are_one_to_one_and_bridge_gaps(spark):
+    """Two parallel boundaries 100 px apart, one of them unseen for long; a third crosses them."""
+    rows = []
+    for f in range(40):
+        for gb, y in enumerate((50.0, 150.0)):
+            if not (gb == 1 and 10 <= f < 25) and not (gb == 0 and 12 <= f < 20):
+                rows += [("r", f, gb, 10.0 * i, y + RNG.normal(0, 1), None, gb == 0) for i in range(12)]
+        rows += [("r", f, 7, 60.0 + RNG.normal(0, 1), 20.0 * i, 20.0, False) for i in range(12)]
+    df = spark.createDataFrame(rows, "run_id string, frame int, gb bigint, x double, y double, mis double, low boolean")
+    settings = spark.createDataFrame([("r", 60.0)], "run_id string, max_off double")
+    t = T.track_boundaries(df.repartition(5), settings)
+    spans = sorted(tuple(r)[1:] for r in t.groupBy("gb_id").agg(F.min("frame"), F.max("frame"), F.count_distinct("frame")).collect())
+    # 8 frames unseen are bridged, 15 are not
+    assert spans == sorted([(0, 39, 32), (0, 9, 10), (25, 39, 15), (0, 39, 40)])
+    assert T.track_boundaries(df.where("false"), settings).count() == 0
+
+
+def test_pooled_band_shows_the_angle(spark):
+    p = None
+    for f in range(3):
+        x, y = bicrystal(5.0)
+        one = table(spark, x, y, frame=f, first=100_000 * f)
+        p = one if p is None else p.unionByName(one)
+    s = S.structure_points(p, S.delaunay_edges(p, "id").cache(), "id").cache()
+    # cores along the seam x = 200, a lattice constant over the angle apart
+    m = spark.createDataFrame([("r", 0, f, 200.0, 150.0 + 114.6 * i, 4.0, True) for f in range(3) for i in range(5)], "run_id string, gb_id bigint, frame int, x double, y double, mis double, low boolean")
+    scale = spark.createDataFrame([("r", 10.0, 0.1)], "run_id string, spacing double, px_um double")
+    axes = B.pooled_axes(m).cache()
+    summary = B.boundary_summary(B.pooled_cores(m, axes, scale), m, scale).cache()
+    assert summary.first()["theta_frank_deg"] == pytest.approx(5.0, abs=0.01)
+    got = B.pooled_misorientation(m, axes, summary, s, scale).collect()
+    assert len(got) == 1 and got[0]["theta_grains_deg"] == pytest.approx(5.0, abs=0.3)

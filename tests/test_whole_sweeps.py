@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from mesoflow.operators import boundary_stats as B
 from mesoflow.plans import detection_queries as Q
-from mesoflow.plans import structure_queries as SQ
 from mesoflow.plans.base import D_SQL
 
 OWN = f"""with {D_SQL}, s as (select unnest(range(20)) as step), r as (select d.run_id, any_value(coalesce(cast(json_extract_string(params, '$.minmass') as double), 1000)) as mm
@@ -25,22 +24,10 @@ def test_lasting_by_the_length_of_the_run(spark):
     assert [r[0] for r in kept] == ["b"]
 
 
-def test_structure_factor_at_all_points(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(SQ, "ensure_checkpoint_dir", lambda *_: None, raising=False)
-    t = spark.createDataFrame([("a", "g", f, True, 1.0) for f in range(12)], "run_id string, gb_id string, frame int, low boolean, s double")
-    monkeypatch.setattr(SQ, "_identities", lambda *_: (t, None))
-    monkeypatch.setattr(SQ, "_points", lambda *_: t)
-    monkeypatch.setattr(SQ.B, "boundary_summary", lambda t, s: t.select("run_id", "gb_id").distinct())
-
-    def factor(members, summary, points=1600, **_):
-        asked.append(points)
-        assert members.count() == 12
-        raise StopIteration
-
-    monkeypatch.setattr(SQ.B, "structure_factor", factor)
-    try:
-        SQ.lagb_statistics(spark, "")
-    except StopIteration:
-        pass
-    assert asked == [1600]
+def test_structure_factor_at_all_points(spark):
+    cores = spark.createDataFrame([("a", 0, f, 1.5 * i, 0.0) for f in range(12) for i in range(5)], "run_id string, gb_id bigint, frame int, s double, h double")
+    summary = spark.createDataFrame([("a", 0, 1.5, 6.0)], "run_id string, gb_id bigint, D_um double, L_um double")
+    sq = B.structure_factor(cores, summary).collect()
+    q = np.linspace(0.05, 3.5, 1600) * 2 * np.pi / 1.5
+    want = np.abs(np.exp(1j * np.outer(q, 1.5 * np.arange(5))).sum(1)) ** 2 / 5
+    assert len(sq) == 1600 and all(abs(r["S_q"] - want[r["k"]]) < 1e-9 and abs(r["q_um_inv"] - q[r["k"]]) < 1e-9 for r in sq)
