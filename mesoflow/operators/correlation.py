@@ -51,6 +51,34 @@ def pair_correlation(points: DataFrame, rec: str, rmax: float, dr: float, interi
     return out.select("run_id", "bin", r.alias("r"), "n", F.when(F.col("_A") > 0, g).alias("g"))
 
 
-def default_range(diameter_um: float) -> tuple[float, float]:
+def default_range(diameter_um: Column) -> tuple[Column, Column]:
     """rmax and dr for a particle diameter: ten diameters within 0.5 to 100, a tenth of one within 0.01 to 5."""
-    return min(100.0, max(0.5, 10 * diameter_um)), min(5.0, max(0.01, diameter_um / 10))
+    clip = lambda v, lo, hi: F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
+    return clip(10 * diameter_um, 0.5, 100.0), clip(diameter_um / 10, 0.01, 5.0)
+
+
+def structure_functions(points: DataFrame, rec: str, ranges: DataFrame) -> DataFrame:
+    """``run_id, bin, r_um, n_pairs, g_r, g6_r, g6_over_g_r``: both pair correlations of each run, totals over its frames normalised once.
+
+    ``points``: ``run_id, frame, rec, x, y, psi_re, psi_im`` in px; ``ranges``: ``run_id, px_um, rmax, dr`` in um, the run's own
+    (runs without are left out). Bins have the width rmax / max(1, floor(rmax / dr)). Area is a frame's bounding box. g6_r is
+    NULL in empty bins, the ratio where g_r is 0 too.
+    """
+    own = ranges.where("px_um > 0 and rmax > 0 and dr > 0").withColumn("_bins", F.greatest(F.lit(1), F.floor(F.col("rmax") / F.col("dr"))).cast("int"))
+    own = own.withColumn("_w", F.col("rmax") / F.col("_bins"))
+    p = points.join(own.select("run_id", "px_um", (F.col("rmax") / F.col("px_um")).alias("_r")), "run_id")
+    pairs = near_pairs(p, ["run_id", "frame"], rec, None)
+    side = lambda s: points.select(F.col(rec).alias(s), F.col("psi_re").alias(f"{s}_re"), F.col("psi_im").alias(f"{s}_im"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").join(own.select("run_id", "px_um", "rmax", "_w", "_bins"), "run_id")
+    d = F.sqrt("dist2") * F.col("px_um")
+    at = F.least(F.floor(d / F.col("_w")), F.col("_bins") - 1).cast("int")
+    g = pairs.where(d < F.col("rmax")).groupBy("run_id", at.alias("bin")).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("a_re") * F.col("b_re") + F.col("a_im") * F.col("b_im")).alias("_g6"))
+    frame = p.groupBy("run_id", "frame", "px_um").agg(F.count(F.lit(1)).alias("_n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("_a"), F.sum(F.col("psi_re") * F.col("psi_re") + F.col("psi_im") * F.col("psi_im")).alias("_psi"))
+    run = frame.groupBy("run_id").agg(F.count(F.lit(1)).alias("_f"), F.avg("_n").alias("_N"), F.avg(F.when(F.col("_n") > 1, F.col("_a") * F.col("px_um") * F.col("px_um")).otherwise(0.0)).alias("_A"), (F.sum("_psi") / F.sum("_n")).alias("_m"))
+    every = run.join(own.select("run_id", "_w", "_bins"), "run_id").withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)))
+    j = every.join(g, ["run_id", "bin"], "left").fillna(0, ["n_pairs"])
+    r = (F.col("bin") + 0.5) * F.col("_w")
+    g_r = F.when(F.col("_A") > 0, 2 * F.col("n_pairs") / (F.col("_f") * F.col("_N") * (F.col("_N") / F.col("_A")) * (2 * math.pi * F.col("_w")) * r))
+    g6 = F.when(F.col("n_pairs") > 0, F.col("_g6") / F.col("n_pairs") / F.greatest("_m", F.lit(1e-12)))
+    j = j.select("run_id", "bin", r.alias("r_um"), "n_pairs", g_r.alias("g_r"), g6.alias("g6_r"))
+    return j.withColumn("g6_over_g_r", F.when(F.col("g_r") > 0, F.col("g6_r") / F.col("g_r")))

@@ -153,7 +153,12 @@ def bundle_summary(df: DataFrame, expected: DataFrame, key: str = "run_id") -> D
 
 
 def implied_ratio_verdict(ratio: Column) -> tuple[Column, Column]:
-    """Height over diameter implied by a bond length ratio, and a verdict on the percent difference to 1."""
-    height = 1 + F.sqrt(F.greatest(F.lit(0.0), 1 - ratio * ratio))
-    percent = F.abs(1 - ratio) * 100
-    return height, F.when(percent < 1.5, "weak").when(percent < 25, "clear").otherwise("suspicious")
+    """Height over diameter that a mixed-to-same bond length ratio below 1 implies, and a verdict on how much shorter mixed bonds are: 1.5 to 25 % is buckling."""
+    height = F.when((ratio > 0) & (ratio < 1), 1 + F.sqrt(F.greatest(F.lit(0.0), 1 - ratio * ratio)))
+    percent = (1 - ratio) * 100
+    return height, F.when(percent >= 25, "second layer").when(percent >= 1.5, "buckling").otherwise("no asymmetry")
+
+
+def odd(n: Column) -> Column:
+    """The odd whole number at or next above the rounded value."""
+    return F.round(n).cast("int").bitwiseOR(F.lit(1))

@@ -41,22 +41,61 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callabl
                 c = t.column(name).combine_chunks()
                 cols[name] = c.to_numpy(zero_copy_only=False)
             parts: list[tuple[int, dict[str, np.ndarray], int]] = []
+
+            def batch() -> pa.RecordBatch:
+                at = np.concatenate([np.full(n, a) for a, _, n in parts])
+                arrays = [t.column(k).combine_chunks().take(pa.array(at)) for k in keys]
+                for name, field in zip(names, list(target)[len(keys) :], strict=True):
+                    values = [out[name] for _, out, _ in parts]
+                    flat = np.concatenate([np.asarray(v) for v in values]) if not pa.types.is_list(field.type) else [x for v in values for x in v]
+                    arrays.append(pa.array(flat, field.type, from_pandas=True))
+                for i, field in enumerate(list(target)[: len(keys)]):
+                    arrays[i] = arrays[i].cast(field.type)
+                return pa.RecordBatch.from_arrays(arrays, schema=target)
+
+            held = 0
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 out = kernel({n: v[a:b] for n, v in cols.items()})
                 n = len(out[names[0]]) if out else 0
                 if n:
                     parts.append((a, out, n))
-            if not parts:
-                continue
-            at = np.concatenate([np.full(n, a) for a, _, n in parts])
-            arrays = [t.column(k).combine_chunks().take(pa.array(at)) for k in keys]
-            for name, field in zip(names, list(target)[len(keys) :], strict=True):
-                values = [out[name] for _, out, _ in parts]
-                flat = np.concatenate([np.asarray(v) for v in values]) if not pa.types.is_list(field.type) else [x for v in values for x in v]
-                arrays.append(pa.array(flat, field.type, from_pandas=True))
-            for i, field in enumerate(list(target)[: len(keys)]):
-                arrays[i] = arrays[i].cast(field.type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+                    held += n
+                if held > 100_000:
+                    yield batch()
+                    parts, held = [], 0
+            if parts:
+                yield batch()
 
     layout = _parse_datatype_string(full).jsonValue()
     return spread(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+
+
+def lag_sums(at: np.ndarray, most: int, terms: Callable[[slice, slice], list[np.ndarray]], least: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of ``terms`` over all pairs of rows of a series, by the difference of their places ``at`` (ascending) from ``least`` to ``most``.
+
+    ``terms`` makes, of two equally long slices of rows (earlier, later), one array per sum. Rows are paired by
+    one whole-array step per distance in rows, and the sums are folded from time to time, so memory stays in the order of the series.
+    """
+    n, width = len(at), len(terms(slice(0, 0), slice(0, 0)))
+    done, lags, parts = 0, [np.zeros(0, np.int64)], [[np.zeros(0)] for _ in range(width)]
+
+    def fold() -> None:
+        own, where = np.unique(np.concatenate(lags), return_inverse=True)
+        lags[:] = [own]
+        for p in parts:
+            p[:] = [np.bincount(where, np.concatenate(p), len(own))]
+
+    for k in range(0 if least <= 0 else 1, n):
+        lag = at[k:] - at[: n - k]
+        if k and lag.min() > most:
+            break
+        keep = (lag >= least) & (lag <= most)
+        lags.append(lag[keep].astype(np.int64))
+        for p, v in zip(parts, terms(slice(0, n - k), slice(k, n)), strict=True):
+            p.append(v[keep])
+        done += int(keep.sum())
+        if done > 1_000_000:
+            fold()
+            done = 0
+    fold()
+    return lags[0], [p[0] for p in parts]

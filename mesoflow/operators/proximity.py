@@ -81,8 +81,8 @@ def _near(queries: DataFrame, points: DataFrame, groups: list[str], rec: str, ra
     return joined.select(*[F.col(f"l.{g}").alias(g) for g in groups], "a", "b", d2.alias("dist2"))
 
 
-def near_pairs(points: DataFrame, groups: list[str], rec: str, radius: float) -> DataFrame:
-    """``groups, a, b, dist2`` with a < b: points of one group at a distance of at most ``radius``.
+def near_pairs(points: DataFrame, groups: list[str], rec: str, radius: float | None) -> DataFrame:
+    """``groups, a, b, dist2`` with a < b: points of one group at a distance of at most ``radius`` (None: the column ``_r``, one value per group).
 
     ``points`` has ``groups, rec, x, y`` and one row per ``rec``; rows with a
     NULL group or ``rec``, or NULL, NaN or infinite x or y have no pairs. The distance is

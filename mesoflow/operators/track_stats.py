@@ -6,10 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mesoflow.operators.groupmap import map_groups
+from mesoflow.operators.groupmap import lag_sums, map_groups
 from mesoflow.operators.proximity import nearest
 from mesoflow.operators.quantiles import bounded_medians, exact_medians, linear_percentiles
-from mesoflow.session import sized_broadcast
 
 TRACK = ["run_id", "particle"]
 #: Boltzmann's constant in J/K (fixed value).
@@ -76,28 +75,34 @@ def half_spans(t: DataFrame) -> DataFrame:
     return t.groupBy("run_id").agg(F.greatest(F.lit(1), F.floor(span / 2)).cast("bigint").alias("max_lag"))
 
 
-def lag_pairs(t: DataFrame, max_lag: int | None, x: str = "x_um", y: str = "y_um") -> DataFrame:
-    """``run_id, particle, frame, lag, dx, dy`` of all pairs of readings exactly ``lag`` frames apart, an equality join per lag.
+def displacement_sums(t: DataFrame, max_lag: int | None, x: str = "x_um", y: str = "y_um") -> DataFrame:
+    """``run_id, lag, n_pairs, sum_sq, sum_x, sum_y`` over all pairs of readings of a track exactly ``lag`` frames apart.
 
-    Without ``max_lag`` each run's lags go up to half its own span; the readings of a track
-    then meet in one join on the track, so a reading is shuffled once, not once per lag.
+    Without ``max_lag`` each run's lags go up to half its own span. A reading is shuffled once, by its track; a task
+    sums its tracks lag by lag (a track is bounded by the length of its video), so no pair leaves it.
     """
-    if max_lag is None:
-        far = t.select(*TRACK, F.col("frame").alias("_f1"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
-        near = t.select(*TRACK, "frame", F.col(x).alias("_x0"), F.col(y).alias("_y0")).join(sized_broadcast(half_spans(t)), "run_id")
-        lag = F.col("_f1") - F.col("frame")
-        return near.join(far, TRACK).where((lag >= 1) & (lag <= F.col("max_lag"))).select(*TRACK, "frame", lag.alias("lag"), (F.col("_x1") - F.col("_x0")).alias("dx"), (F.col("_y1") - F.col("_y0")).alias("dy"))
-    later = t.select(*TRACK, F.col("frame").alias("_f1"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
-    first = t.select(*TRACK, "frame", F.col(x).alias("_x0"), F.col(y).alias("_y0"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
-    first = first.withColumn("_f1", F.col("frame") + F.col("lag"))
-    return first.join(later, [*TRACK, "_f1"]).select(*TRACK, "frame", "lag", (F.col("_x1") - F.col("_x0")).alias("dx"), (F.col("_y1") - F.col("_y0")).alias("dy"))
+    t = t.select(*TRACK, "frame", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    t = t.join(half_spans(t), "run_id") if max_lag is None else t.withColumn("max_lag", F.lit(max_lag).cast("bigint"))
+
+    def one(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        x, y = g["_x"], g["_y"]
+
+        def terms(i: slice, j: slice) -> list[np.ndarray]:
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            return [np.ones(len(dx)), dx * dx + dy * dy, dx, dy]
+
+        lag, sums = lag_sums(g["frame"], int(g["max_lag"][0]), terms, 1)
+        return {"lag": lag, "_n": sums[0].astype(np.int64), "_s": sums[1], "_x": sums[2], "_y": sums[3]} if len(lag) else None
+
+    per = map_groups(t, TRACK, ["frame", "_x", "_y"], one, "lag bigint, _n bigint, _s double, _x double, _y double")
+    return per.groupBy("run_id", "lag").agg(F.sum("_n").alias("n_pairs"), F.sum("_s").alias("sum_sq"), F.sum("_x").alias("sum_x"), F.sum("_y").alias("sum_y"))
 
 
 def msd(t: DataFrame, max_lag: int | None, drift_subtract: bool = True) -> DataFrame:
-    """``run_id, lag, n_pairs, msd``: mean squared displacement over particles and times, the mean displacement of a lag taken off unless told otherwise; ``max_lag`` as in ``lag_pairs``."""
-    g = lag_pairs(t, max_lag).groupBy("run_id", "lag").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("_m"), F.avg("dx").alias("_x"), F.avg("dy").alias("_y"))
-    drift = F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") if drift_subtract else F.lit(0.0)
-    return g.select("run_id", "lag", "n_pairs", (F.col("_m") - drift).alias("msd"))
+    """``run_id, lag, n_pairs, msd``: mean squared displacement over particles and times, the mean displacement of a lag taken off unless told otherwise; ``max_lag`` as in ``displacement_sums``."""
+    mean = lambda c: F.col(c) / F.col("n_pairs")
+    drift = mean("sum_x") * mean("sum_x") + mean("sum_y") * mean("sum_y") if drift_subtract else F.lit(0.0)
+    return displacement_sums(t, max_lag).select("run_id", "lag", "n_pairs", (mean("sum_sq") - drift).alias("msd"))
 
 
 def fit_diffusion(lag_t: np.ndarray, values: np.ndarray, dim: int = 2, slope_tol: float = 0.18, cage_slope: float = 0.5) -> dict[str, float | str | int] | None:
@@ -257,3 +262,9 @@ def drop_rate(t: DataFrame, flags: DataFrame, limit: int = 10) -> DataFrame:
     n = flags.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_events"))
     j = t.select("run_id").distinct().join(n, "run_id", "left").fillna(0, ["n_events"])
     return j.withColumn("verdict", F.when(F.col("n_events") > limit, "check linking").otherwise("ok"))
+
+
+def step_tip(t: DataFrame, current: DataFrame, share: float = 0.3) -> DataFrame:
+    """``run_id, max_step_um, auto_step_um, tip``: true where the suggested maximum step differs from the run's (``current``) by more than ``share`` of that (0.01 at least)."""
+    j = current.select("run_id", "max_step_um").join(suggested_max_step(t).withColumnRenamed("max_step_um", "auto_step_um"), "run_id")
+    return j.withColumn("tip", F.abs(F.col("auto_step_um") - F.col("max_step_um")) / F.greatest(F.col("max_step_um"), F.lit(0.01)) > share)

@@ -122,18 +122,8 @@ def mass_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def newest_before(spark: SparkSession, d: str) -> DataFrame:
-    """For every tenth frame of a run's range, as its SQL has it, the newest frame with detections at or before it."""
-    return _newest(spark, d, 10)
-
-
-def newest_before_every(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every frame of a run's range."""
-    return _newest(spark, d, 1)
-
-
-def _newest(spark: SparkSession, d: str, every: int) -> DataFrame:
-    """As-of merge of the asked frames and those with detections, in frame order."""
-    m = table(spark, d, "job_meta").where("frame_end >= frame_start").select("run_id", F.explode(F.sequence("frame_start", "frame_end", F.lit(every))).alias("frame"), F.lit(1).alias("asked"), F.lit(None).cast("bigint").alias("n"))
+    """For every frame of a run's range the newest frame with detections at or before it: as-of merge of the asked frames and those with detections, in frame order."""
+    m = table(spark, d, "job_meta").where("frame_end >= frame_start").select("run_id", F.explode(F.sequence("frame_start", "frame_end")).alias("frame"), F.lit(1).alias("asked"), F.lit(None).cast("bigint").alias("n"))
     n = detections(spark, d).groupBy("run_id", "frame").agg(F.lit(0).alias("asked"), F.count(F.lit(1)).alias("n")).select("run_id", "frame", "asked", "n")
     line = Window.partitionBy("run_id").orderBy("frame", "asked").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("n").isNotNull(), F.struct("frame", "n")), ignorenulls=True).over(line)
@@ -141,6 +131,10 @@ def _newest(spark: SparkSession, d: str, every: int) -> DataFrame:
     return both.select("run_id", F.col("frame").alias("target"), F.col("_seen.frame").alias("shown"), F.col("_seen.n").alias("n"))
 
 
+#: The name that this had beside one of every tenth frame.
+newest_before_every = newest_before
+
+
 _NAMES = """calibrate_edge_filter frame_time ecc_filter mad_outlier_filter adaptive_minmass percentile_mass_filter sweep_minmass sweep_minmass_per_run mass_histogram
 ecc_histogram subpixel_histogram otsu_256 auto_min_mass_otsu pixel_locking frame_count_dips missing_frames chunk_assignment bundle_summary
 stale_metadata mass_bands newest_before newest_before_every""".split()
@@ -174,6 +168,10 @@ select det_id from a where n < 8 or med <= 0 or mass >= 0.05 * med""",
     "percentile_mass_filter": f"""with {D_SQL}, a as (select run_id, quantile_cont(mass, 0.8) as q from d group by 1) select det_id from d join a on d.run_id = a.run_id where mass > q""",
     "sweep_minmass": f"""with {D_SQL}, s as (select unnest(range(20)) as step), r as (select distinct run_id from d),
 g as (select run_id, cast(step as int) as step, cast(500.0 as double) + cast(11500.0 as double) / 19 * step as threshold from r, s)
+select g.run_id, g.step, round(g.threshold, 6) as threshold, count(d.det_id) as n from g left join d on d.run_id = g.run_id and d.mass >= g.threshold group by 1, 2, 3""",
+    "sweep_minmass_per_run": f"""with {D_SQL}, s as (select unnest(range(20)) as step), r as (select d.run_id, any_value(coalesce(cast(json_extract_string(params, '$.minmass') as double), 1000)) as mm
+  from d left join job_meta j on j.run_id = d.run_id group by 1), e as (select run_id, greatest(10.0::double, mm * 0.1::double) as a, mm * 4 as b from r),
+g as (select run_id, cast(step as int) as step, a + (b - a) / 19 * step as threshold from e, s)
 select g.run_id, g.step, round(g.threshold, 6) as threshold, count(d.det_id) as n from g left join d on d.run_id = g.run_id and d.mass >= g.threshold group by 1, 2, 3""",
     "mass_histogram": f"with {D_SQL}, {_hist('d', 'mass', 50)} select * from g",
     "ecc_histogram": f"with {D_SQL}, x as (select run_id, ecc from d where isfinite(ecc)), {_hist('x', 'ecc', 30)} select * from g",
@@ -203,7 +201,8 @@ select j.run_id, n_detections, coalesce(n_found, 0) as n_found from job_meta j l
     "mass_bands": f"""with {D_SQL}, c as (select run_id, quantile_cont(mass, 0.2) as p20, quantile_cont(mass, 0.25) as p25, quantile_cont(mass, 0.75) as p75 from d group by 1)
 select d.run_id, round(avg(case when mass <= p25 then mass end), 4) as low_mean, round(avg(case when mass >= p75 then mass end), 4) as high_mean,
   round(avg(case when mass > 4 * p20 then 1.0 else 0.0 end), 6) as active_share from d join c on d.run_id = c.run_id group by 1""",
-    "newest_before": f"""with {D_SQL}, t as (select run_id, cast(unnest(range(frame_start, frame_end + 1, 10)) as int) as target from job_meta),
+    "newest_before": f"""with {D_SQL}, t as (select run_id, cast(unnest(range(frame_start, frame_end + 1)) as int) as target from job_meta),
 n as (select run_id, frame, count(*) as n from d group by 1, 2)
 select t.run_id, t.target, max(frame) as shown, max_by(n, frame) as n from t left join n on n.run_id = t.run_id and n.frame <= t.target group by 1, 2""",
 }
+SQL["newest_before_every"] = SQL["newest_before"]

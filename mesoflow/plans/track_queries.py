@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesoflow.operators import correlation as C
@@ -13,9 +13,6 @@ from mesoflow.plans.detection_queries import _hist
 from mesoflow.plans.base import D_SQL, M_SQL, T_SQL, detections, finite, tracks, with_run
 from mesoflow.session import first_arrival, table
 
-#: Lags of ``msd`` and ``autocorrelation``, whose SQL has these; the whole curves are ``msd_half_span`` and ``autocorrelation_all_lags``.
-LAGS = 20
-
 
 def track_counts(spark: SparkSession, d: str) -> DataFrame:
     t = K.track_lengths(tracks(spark, d))
@@ -49,6 +46,12 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return K.drop_rate(tracks(spark, d), _flags(spark, d))
 
 
+def step_tip(spark: SparkSession, d: str) -> DataFrame:
+    """Where the suggested maximum step is more than 30 % off the run's."""
+    t = tracks(spark, d)
+    return K.step_tip(t, with_run(t.select("run_id").distinct(), spark, d, "params.max_step_um"))
+
+
 def track_steps(spark: SparkSession, d: str) -> DataFrame:
     return K.steps(tracks(spark, d))
 
@@ -71,16 +74,17 @@ def mutual_nn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def msd(spark: SparkSession, d: str) -> DataFrame:
-    return K.msd(tracks(spark, d), LAGS).withColumn("msd", F.round("msd", 6))
-
-
-def msd_half_span(spark: SparkSession, d: str) -> DataFrame:
     """The whole curve: lags up to half of each run's own span."""
     return K.msd(tracks(spark, d), None).withColumn("msd", F.round("msd", 6))
 
 
+#: The name that the whole curve had beside one cut at lag 20.
+msd_half_span = msd
+
+
 def _curves(spark: SparkSession, d: str) -> DataFrame:
-    return with_run(K.msd(tracks(spark, d), None), spark, d, "dt").withColumn("lag_t", F.col("lag") * F.col("dt"))
+    """MSD curves to 9 digits, so that a curve of one pair is 0 and not the rest of a rounding."""
+    return with_run(K.msd(tracks(spark, d), None).withColumn("msd", F.round("msd", 9)), spark, d, "dt").withColumn("lag_t", F.col("lag") * F.col("dt"))
 
 
 def msd_slopes(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +120,6 @@ def local_order_proxy(spark: SparkSession, d: str) -> DataFrame:
 
 def _spins(spark: SparkSession, d: str) -> DataFrame:
     """Up or down by which side of its track's mean a particle is on (ties up)."""
-    from pyspark.sql import Window
-
     t = tracks(spark, d)
     side = F.col("y_px") >= F.round(F.avg("y_px").over(Window.partitionBy("run_id", "particle")), 3)
     return t.select("run_id", "particle", "frame", F.when(side, 1).otherwise(-1).alias("s"))
@@ -133,16 +135,14 @@ def spin_median3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    a = R.autocorrelation(_spins(spark, d), ["run_id"], ["particle"], "frame", "s", LAGS)
-    return a.withColumn("c", F.round("c", 6)).withColumn("c_norm", F.round("c_norm", 6))
-
-
-def autocorrelation_all_lags(spark: SparkSession, d: str) -> DataFrame:
     """The whole curve: every lag that two readings of a track are apart."""
     a = R.autocorrelation(_spins(spark, d), ["run_id"], ["particle"], "frame", "s", None)
     return a.withColumn("c", F.round("c", 6)).withColumn("c_norm", F.round("c_norm", 6))
 
 
+autocorrelation_all_lags = autocorrelation
+
+
 def stretched_exp_fit(spark: SparkSession, d: str) -> DataFrame:
     """Decay of the spin autocorrelation of each run."""
     import numpy as np
@@ -170,6 +170,22 @@ def moving_average(spark: SparkSession, d: str) -> DataFrame:
     return R.moving_average(n, ["run_id"], "frame", "n", 3).withColumn("smooth", F.round("smooth", 6))
 
 
+def smoothed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Detections per frame under the window that grows with the run."""
+    n = detections(spark, d).groupBy("run_id", "frame").agg(F.count(F.lit(1)).alias("n"))
+    return R.smoothed(n, ["run_id"], "frame", "n").withColumn("smooth", F.round("smooth", 6))
+
+
+def progress_eta(spark: SparkSession, d: str) -> DataFrame:
+    """Per run and minute of arrival: detections there so far, their rate over 20 minutes, and the seconds left, plain and smoothed."""
+    a = first_arrival(table(spark, d, "detections"), "det_id", "arrived_at", ["run_id"]).where("run_id is not null and arrived_at is not null")
+    n = a.groupBy("run_id", (F.floor(F.unix_seconds("arrived_at") / 60) * 60).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy("run_id").agg(F.sum("n").alias("total"))
+    n = n.withColumn("done", F.sum("n").over(Window.partitionBy("run_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).join(whole, "run_id")
+    r = R.progress_rate(n, ["run_id"], "t", "done", F.col("total"), 1200)
+    return r.select("run_id", "t", "done", "total", *[F.round(c, 6).alias(c) for c in ("rate", "eta", "eta_smooth")])
+
+
 def hysteresis_flag(spark: SparkSession, d: str) -> DataFrame:
     n = detections(spark, d, "ecc").groupBy("run_id", "frame").agg(F.round(F.avg((F.col("ecc") > 0.15).cast("double")), 6).alias("share"))
     return R.hysteresis(n, ["run_id"], "frame", "share", 0.6, 0.3)
@@ -204,8 +220,8 @@ def spacing_hist(spark: SparkSession, d: str) -> DataFrame:
     return g.select("run_id", "bin", "n", *[F.round(R.wigner(s, b), 9).alias(f"wigner_{b}") for b in (0, 1, 2, 4)])
 
 
-_NAMES = """track_counts track_length_filter track_length_hist run_summary flag_events quality_gate track_steps auto_max_step auto_min_length displacement_arrows
-mutual_nn msd msd_half_span msd_slopes diffusion_fit affine_step cage_relative nn_spacing local_order_proxy spin_flips spin_median3 autocorrelation autocorrelation_all_lags stretched_exp_fit frame_step moving_average
+_NAMES = """track_counts track_length_filter track_length_hist run_summary flag_events quality_gate step_tip track_steps auto_max_step auto_min_length displacement_arrows
+mutual_nn msd msd_half_span msd_slopes diffusion_fit affine_step cage_relative nn_spacing local_order_proxy spin_flips spin_median3 autocorrelation autocorrelation_all_lags stretched_exp_fit frame_step moving_average smoothed_counts progress_eta
 hysteresis_flag core_collapse pair_hist_gofr gofr_interior spacing_hist""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -214,8 +230,9 @@ _FLAGS = """g as (select t.run_id, particle, min(frame) as f0, max(frame) as f1,
   any_value(w) as w, any_value(h) as h, any_value(edge_px) as edge from t join m on t.run_id = m.run_id group by 1, 2),
 i as (select * from g where x_px >= edge and x_px <= w - edge and y_px >= edge and y_px <= h - edge),
 f as (select run_id, particle, 'appeared' as kind, f0 as frame, x_px, y_px from i where f0 > s + 5 union all select run_id, particle, 'disappeared', f1, x_px, y_px from i where f1 < e - 5)"""
-_MSD = """l as (select cast(unnest(range(1, 21)) as int) as lag), p as (select a.run_id, lag, b.x_um - a.x_um as dx, b.y_um - a.y_um as dy from t a, l join t b
-  on b.run_id = a.run_id and b.particle = a.particle and b.frame = a.frame + lag),
+_MSD = """r as (select run_id, greatest(1, (max(frame) - min(frame)) // 2) as most from t group by 1),
+p as (select a.run_id, cast(b.frame - a.frame as bigint) as lag, b.x_um - a.x_um as dx, b.y_um - a.y_um as dy from t a join t b on b.run_id = a.run_id and b.particle = a.particle join r on r.run_id = a.run_id
+  where b.frame - a.frame between 1 and most),
 q as (select run_id, lag, count(*) as n_pairs, avg(dx * dx + dy * dy) - avg(dx) * avg(dx) - avg(dy) * avg(dy) as msd from p group by 1, 2)"""
 _SPIN = "s as (select run_id, particle, frame, case when y_px >= round(avg(y_px) over (partition by run_id, particle), 3) then 1 else -1 end as s from t)"
 _KNN = """n as (select a.det_id as a, b.det_id as b, a.run_id, a.frame, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist,
@@ -268,9 +285,23 @@ select det_id, case when c >= 6 then round(least(1.0, greatest(0.0, 1 - sqrt(gre
 g as (select run_id, particle, count(*) as n, avg(case when s > 0 then 1.0 else 0.0 end) as up, sum(fl) as flips from f group by 1, 2)
 select g.run_id, particle, n, round(up, 6) as up_fraction, cast(flips as bigint) as flips, case when n > 1 then round(flips / (dt * (n - 1)), 6) end as flip_rate from g join m on m.run_id = g.run_id""",
     "spin_median3": f"""with {T_SQL}, {_SPIN} select run_id, particle, frame, cast(sign(coalesce(lag(s) over w, s) + s + coalesce(lead(s) over w, s)) as int) as s from s window w as (partition by run_id, particle order by frame)""",
-    "autocorrelation": f"""with {T_SQL}, {_SPIN}, l as (select cast(unnest(range(0, 21)) as int) as lag),
-q as (select a.run_id, lag, count(*) as n_pairs, avg(cast(a.s * b.s as double)) as c from s a, l join s b on b.run_id = a.run_id and b.particle = a.particle and b.frame = a.frame + lag group by 1, 2)
+    "autocorrelation": f"""with {T_SQL}, {_SPIN},
+q as (select a.run_id, cast(b.frame - a.frame as bigint) as lag, count(*) as n_pairs, avg(cast(a.s * b.s as double)) as c from s a join s b on b.run_id = a.run_id and b.particle = a.particle and b.frame >= a.frame group by 1, 2)
 select q.run_id, q.lag, q.n_pairs, round(q.c, 6) as c, round(q.c / z.c, 6) as c_norm from q join q z on z.run_id = q.run_id and z.lag = 0""",
+    "step_tip": f"""with {T_SQL}, {M_SQL}, {_STEPS}, u as (select run_id, round(quantile_cont(sqrt(dx * dx + dy * dy), 0.99) * 1.5, 2) as auto_step_um from s where gap is not null group by 1 having count(*) >= 5)
+select u.run_id, max_step_um, auto_step_um, abs(auto_step_um - max_step_um) / greatest(max_step_um, 0.01) > 0.3 as tip from u join m on m.run_id = u.run_id""",
+    "msd_slopes": f"""with {T_SQL}, {_MSD}, c as (select run_id, lag, ln(lag) as a, ln(round(msd, 9)) as b from q where round(msd, 9) > 0),
+h as (select *, a - lag(a) over w as ha, lead(a) over w - a as hb, b - lag(b) over w as da, lead(b) over w - b as db from c window w as (partition by run_id order by lag)),
+g as (select run_id, lag, coalesce((ha * ha * db + hb * hb * da) / (ha * hb * (ha + hb)), db / hb, da / ha) as slope from h),
+i as (select *, row_number() over (partition by run_id order by lag) as pos from g),
+f as (select *, pos - row_number() over (partition by run_id order by lag) as island from i where abs(slope - 1) <= 0.18),
+e as (select run_id, min(lag) as first, max(lag) as last, count(*) as n from f group by run_id, island),
+o as (select *, row_number() over (partition by run_id order by n desc, first) as k from e)
+select g.run_id, g.lag, round(slope, 6) as slope, o.first, o.last from g left join o on o.run_id = g.run_id and o.k = 1 and o.n > 1""",
+    "smoothed_counts": f"""with {D_SQL}, n as (select run_id, frame, count(*) as n from d group by 1, 2),
+w as (select *, count(*) over (partition by run_id) as c, row_number() over (partition by run_id order by frame) as pos from n),
+h as (select *, case when c < 3 then 0 else (least(greatest(3, least(31, c // 8)), c) - 1) // 2 end as half from w)
+select a.run_id, a.frame, any_value(a.n) as n, round(avg(b.n), 6) as smooth from h a join h b on a.run_id = b.run_id and b.pos between a.pos - a.half and a.pos + a.half group by 1, 2""",
     "moving_average": f"with {D_SQL}, n as (select run_id, frame, count(*) as n from d group by 1, 2) select run_id, frame, n, round(avg(n) over (partition by run_id order by frame rows between 3 preceding and 3 following), 6) as smooth from n",
     "hysteresis_flag": f"""with {D_SQL}, n as (select run_id, frame, round(avg(case when ecc > 0.15 then 1.0 when ecc <= 0.15 then 0.0 end), 6) as share from d group by 1, 2),
 s as (select *, case when share >= 0.6 then true when share <= 0.3 then false end as said from n)
@@ -294,3 +325,4 @@ g as (select run_id, cast(floor(s * 8) as int) as bin, count(*) as n from s wher
 select run_id, bin, n, round(exp(-s), 9) as wigner_0, round({_PI} / 2 * s * exp(-{_PI} / 4 * s * s), 9) as wigner_1,
   round(32 / ({_PI} * {_PI}) * s * s * exp(-4 / {_PI} * s * s), 9) as wigner_2, round(262144 / (729 * {_PI} * {_PI} * {_PI}) * pow(s, 4) * exp(-64 / (9 * {_PI}) * s * s), 9) as wigner_4 from v""",
 }
+SQL["msd_half_span"], SQL["autocorrelation_all_lags"] = SQL["msd"], SQL["autocorrelation"]

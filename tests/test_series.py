@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mesoflow.operators import series as R
 from mesoflow.operators import track_stats as K
 from mesoflow.operators.correlation import default_range, pair_correlation
-from mesoflow.operators.detect_stats import implied_ratio_verdict
+from mesoflow.operators.detect_stats import implied_ratio_verdict, odd
 
 RNG = np.random.default_rng(5)
 
@@ -63,7 +63,8 @@ def test_uniform_points_are_uncorrelated(spark):
     p = spark.createDataFrame(rows, "run_id string, frame int, id bigint, x double, y double")
     g = [r["g"] for r in pair_correlation(p, "id", 40.0, 4.0).orderBy("bin").collect()]
     assert len(g) == 10 and all(abs(v - 1) < 0.25 for v in g[1:])
-    assert default_range(1.5) == (15.0, 0.15)
+    r, dr = default_range(F.lit(1.5))
+    assert tuple(spark.range(1).select(r, dr).first()) == (15.0, 0.15)
 
 
 def test_small_formulas(spark):
@@ -78,4 +79,35 @@ def test_small_formulas(spark):
     assert one.select(K.stokes_einstein(F.lit(0.5))).first()[0] == pytest.approx(1.380649e-23 * 298 / (6 * math.pi * 1e-3 * 0.5e-12) * 1e6)
     h, verdict = implied_ratio_verdict(F.lit(0.9))
     r = one.select(h.alias("h"), verdict.alias("v")).first()
-    assert r["h"] == pytest.approx(1 + math.sqrt(1 - 0.81)) and r["v"] == "clear"
+    assert r["h"] == pytest.approx(1 + math.sqrt(1 - 0.81)) and r["v"] == "buckling"
+    said = [one.select(*implied_ratio_verdict(F.lit(x))).first() for x in (0.7, 0.99, 1.2)]
+    assert [r[1] for r in said] == ["second layer", "no asymmetry", "no asymmetry"] and said[2][0] is None
+    assert [one.select(odd(F.lit(x))).first()[0] for x in (3.2, 4.0, 7.9)] == [3, 5, 9]
+
+
+def test_running_means(spark):
+    v = [float(x) for x in RNG.normal(size=150)]
+    df = spark.createDataFrame([("r", i, x if i % 9 else None) for i, x in enumerate(v)] + [("s", 0, None)], "g string, i int, v double")
+    want, now = [], None
+    for i, x in enumerate(v):
+        if i % 9:
+            now = x if now is None else 0.6 * now + 0.4 * x
+        want.append(now)
+    got = [r["ema"] for r in R.exponential_mean(df, ["g"], "i", "v").where("g = 'r'").orderBy("i").collect()]
+    assert got[0] is None and got[1:] == pytest.approx(want[1:], abs=1e-12)
+    assert R.exponential_mean(df, ["g"], "i", "v").where("g = 's'").first()["ema"] is None
+    few = spark.createDataFrame([("a", i, float(i * i)) for i in range(40)] + [("b", i, 1.0 * i) for i in range(2)], "g string, i int, v double")
+    rows = {(r["g"], r["i"]): r["smooth"] for r in R.smoothed(few, ["g"], "i", "v").collect()}
+    assert rows["a", 10] == pytest.approx(np.mean([k * k for k in range(8, 13)])) and rows["a", 0] == pytest.approx(np.mean([0, 1, 4])) and rows["b", 1] == 1.0
+
+
+def test_remaining_time_is_smoothed(spark):
+    df = spark.createDataFrame([("r", 10 * i, min(5 * i, 5 * i if i != 4 else 2)) for i in range(9)], "g string, t int, done int")
+    rows = R.progress_rate(df, ["g"], "t", "done", F.lit(100)).orderBy("t").collect()
+    assert [r["done"] for r in rows] == [0, 5, 10, 15, 15, 25, 30, 35, 40]
+    etas = [r["eta"] for r in rows if r["eta"] is not None]
+    smooth = [r["eta_smooth"] for r in rows if r["eta"] is not None]
+    now = etas[0]
+    for a, b in zip(etas, smooth):
+        now = a if a is etas[0] else 0.6 * now + 0.4 * a
+        assert b == pytest.approx(now)
