@@ -95,3 +95,9 @@ def merge_chunks(spark: SparkSession, folder: str, n_chunks: int, frame_start: i
 def export_csv(df: DataFrame, folder: str) -> None:
     """A folder of CSV files with a header each; nothing is gathered into one task."""
     df.write.mode("errorifexists").option("header", True).csv(folder)
+
+
+def export_set(tables: dict[str, DataFrame], folder: str) -> None:
+    """A CSV folder per table, named for it (such as summary, fluct, sq and spacings of low-angle boundaries)."""
+    for name, df in tables.items():
+        export_csv(df, f"{folder}/{name}")

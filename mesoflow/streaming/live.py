@@ -42,6 +42,36 @@ def first_deliveries(detections: DataFrame, watermark: str = "1 day") -> DataFra
     return detections.withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["det_id"])
 
 
+def frame_observables(points: DataFrame, pairs: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """``run_id, frame, n_particles, n_57_pairs, frac_defect, mean_psi6, n_lagb`` per frame that has points; frames without pairs or boundaries have 0 of them."""
+    key = ["run_id", "frame"]
+    count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    own = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n_particles"), F.avg((F.col("coord") != 6).cast("double")).alias("frac_defect"), F.avg(F.hypot("psi_re", "psi_im")).alias("mean_psi6"))
+    j = own.join(count(pairs, "n_57_pairs"), key, "left").join(count(boundaries.where("kind = 'LAGB'"), "n_lagb"), key, "left")
+    return j.fillna(0, ["n_57_pairs", "n_lagb"]).select(*key, "n_particles", "n_57_pairs", "frac_defect", "mean_psi6", "n_lagb")
+
+
+def record_structure(detections: DataFrame, folder: str, checkpoint: str, area_um2: float, start: float, max_pair: float = 96.0, trigger: dict | None = None):
+    """Start recording the structure of each frame of a stream of ``run_id, frame, det_id, x, y, t`` as CSV; stop it with the returned query's ``stop()``.
+
+    Columns: run_id, frame, t_s (``t`` less ``start``), n_particles, n_57_pairs, pairs_per_um2, frac_defect, mean_psi6, n_lagb, area_um2. A frame must not be
+    split between micro-batches. A micro-batch that is done again replaces its own files, so no frame is recorded twice.
+    """
+    from mesoflow.operators import structure as S
+
+    def write(batch: DataFrame, number: int) -> None:
+        points = batch.select("run_id", "frame", "det_id", "x", "y").checkpoint()
+        edges = S.delaunay_edges(points, "det_id").checkpoint()
+        points = S.structure_points(points, edges, "det_id").checkpoint()
+        pairs = S.pairs57(points, edges, "det_id", max_pair)
+        o = frame_observables(points, pairs, S.boundaries(pairs)[0]).join(batch.groupBy("run_id", "frame").agg((F.min("t") - start).alias("t_s")), ["run_id", "frame"])
+        o = o.withColumn("area_um2", F.lit(float(area_um2))).withColumn("pairs_per_um2", F.col("n_57_pairs") / F.greatest("area_um2", F.lit(1e-9)))
+        out = o.select("run_id", "frame", "t_s", "n_particles", "n_57_pairs", "pairs_per_um2", "frac_defect", "mean_psi6", "n_lagb", "area_um2")
+        out.write.mode("overwrite").option("header", True).csv(f"{folder}/batch={number}")
+
+    return detections.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def record(stats: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None):
     """Start appending a stream of statistics to CSV files with a header; stop it with the returned query's ``stop()``.
 
