@@ -67,14 +67,21 @@ def _in_ranges(counts: DataFrame, every: int) -> DataFrame:
     return keyed.select("_g", "value", "n", F.when(F.col("_cuts").isNull(), 0).otherwise(at).alias("_block"))
 
 
+def _in_octaves(counts: DataFrame) -> DataFrame:
+    """Adds ``_block``, a 64th of the value's octave (0 below all): ranges for large groups of values of at least 0, which need no cuts."""
+    return counts.withColumn("_block", F.coalesce(F.floor(F.log2("value") * 64), F.lit(-(1 << 20))).cast("int"))
+
+
 def pick_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], list[Column]], every: int = RANGE) -> DataFrame:
     """``groups, n_rows, hit, value``: the first values whose cumulative counts reach given ranks.
 
     ``ranks`` makes, from a group's row count, structs that have a BIGINT field
-    ``rank``; each comes back as ``hit``. ``every`` sets the size of the value ranges.
+    ``rank``; each comes back as ``hit``. ``every`` sets the size of the value ranges; 0 takes 64ths of octaves,
+    for finite values of at least 0 and groups that are known to be large.
     """
     # one struct for the key: in it NULL equals NULL
-    keyed = _in_ranges(counts.select(F.struct(*groups).alias("_g"), "value", "n"), every)
+    keyed = counts.select(F.struct(*groups).alias("_g"), "value", "n")
+    keyed = _in_ranges(keyed, every) if every else _in_octaves(keyed)
     inside = Window.partitionBy("_g", "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     lower = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     # one row per group and range

@@ -327,7 +327,7 @@ def flag_readings(readings: DataFrame, source: list[str], order: list[str], rec:
     of = lambda f, c: F.max(F.when(F.col("field") == f.name, F.col(c)))
     # n readings have n - 1 changes
     by_field = [c for f in fields for c in (of(f, "median").alias(f"_unit_{f.name}"), (of(f, "n_rows") + int(f.spike == "jump")).cast("double").alias(f"_n_{f.name}"))]
-    stats = exact_medians(changes, [*source, "field"], "x").groupBy(*source).agg(*by_field)
+    stats = exact_medians(changes, [*source, "field"], "x", every=0).groupBy(*source).agg(*by_field)
     # the medians travel to the blocks as rows, so no reading is shuffled for them
     stats = stats.join(several.select(*keys), source).withColumn("_tag", F.lit(_STATS))
     halo = parts.where("_tag > 0")

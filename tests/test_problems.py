@@ -238,6 +238,13 @@ def test_percentiles_are_exact(spark, every):
         assert lin[k] == pytest.approx(np.percentile(vs, 37), abs=1e-9)
 
 
+def test_octaves_give_the_same_medians(spark):
+    v = {"a": np.abs(RNG.normal(0, 1, 301)), "b": np.r_[np.zeros(40), RNG.lognormal(3, 4, 61)], "c": np.array([2.0, 4.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs], "g string, v double")
+    got = {r["g"]: r["median"] for r in Q.exact_medians(df, ["g"], "v", every=0).collect()}
+    assert got == {k: pytest.approx(np.median(xs)) for k, xs in v.items()}
+
+
 def test_states_combine_and_keep_their_error(spark):
     v = RNG.lognormal(5, 2, 600)
     df = spark.createDataFrame([("a", i % 4, float(x)) for i, x in enumerate(v)], "g string, day int, v double")
