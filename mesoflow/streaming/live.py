@@ -141,7 +141,7 @@ def link_stream(points: DataFrame, reach: float, memory: int = 3) -> DataFrame:
         out = []
         for frame, g in pd.concat(list(rows)).sort_values(["frame", "det_id"]).groupby("frame", sort=True):
             x, y = (g[c].to_numpy().astype(np.float32).astype(np.float64) for c in ("x", "y"))
-            out.append(pd.DataFrame({"run_id": key[0], "frame": np.int32(frame), "det_id": g["det_id"].to_numpy(), "particle": link_step(live, x, y, reach, memory)}))
+            out.append(pd.DataFrame({"run_id": key[0], "frame": np.int32(frame), "det_id": g["det_id"].to_numpy(), "particle": link_step(live, x, y, reach, memory, g["det_id"].to_numpy())}))
         state.update((pickle.dumps(live),))
         yield pd.concat(out)
 

@@ -187,6 +187,33 @@ def test_linker_keeps_identities_through_short_gaps(spark, hole, kept):
         assert same_partition([own[r[2]] for r in rows], [r[6] for r in rows]) == kept
 
 
+def serial_links(rows, memory):
+    state, out = L.new_links(), {}
+    for f in sorted({r[1] for r in rows}):
+        now = [r for r in rows if r[1] == f]
+        ids = L.link_step(state, *(np.array([r[c] for r in now]).astype(np.float32).astype(float) for c in (3, 4)), now[0][5], memory, np.array([r[2] for r in now]))
+        out |= dict(zip([r[2] for r in now], ids.tolist()))
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "warm"), [(1024, 32), (30, 4), (9, 1)])
+def test_linker_in_chunks_equals_one_pass(spark, chunk, warm):
+    """60 frames in 1, 2 and 7 chunks; crowded points that come and go, so that short warm-ups are wrong and chunks are done again."""
+    p, rows, k = RNG.uniform(0, 60, (40, 2)), [], 0
+    for f in range(60):
+        p = np.clip(p + RNG.normal(0, 2.0, p.shape), 0, 60)
+        for q in range(40):
+            if RNG.random() < 0.8:
+                rows.append(("r", 3 * f, k, float(p[q, 0]), float(p[q, 1]), 9.0))
+                k += 1
+    df = spark.createDataFrame(rows + [("s", *r[1:]) for r in rows[:300]], "run_id string, frame int, id bigint, x double, y double, reach double")
+    got = L.link_nearest(df.repartition(6), "id", 3, chunk, warm).collect()
+    assert len(got) == len(rows) + 300
+    assert {r["id"]: r["particle"] for r in got if r["run_id"] == "r"} == serial_links(rows, 3)
+    assert {r["id"]: r["particle"] for r in got if r["run_id"] == "s"} == serial_links(rows[:300], 3)
+    assert L.link_nearest(df.where("false"), "id").count() == 0
+
+
 def test_linker_does_not_age_over_empty_frames():
     state = L.new_links()
     a = L.link_step(state, np.array([1.0]), np.array([1.0]), 5.0, 0)
