@@ -84,12 +84,14 @@ def pick_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], l
     keyed = _in_ranges(keyed, every) if every else _in_octaves(keyed)
     inside = Window.partitionBy("_g", "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     lower = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per group and range
+    # one row per group and range, with the ranks that lie in it
     blocks = keyed.groupBy("_g", "_block").agg(F.sum("n").alias("_in"))
-    blocks = blocks.select("_g", "_block", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_offset"), F.sum("_in").over(Window.partitionBy("_g")).alias("n_rows"))
+    blocks = blocks.select("_g", "_block", "_in", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_offset"), F.sum("_in").over(Window.partitionBy("_g")).alias("n_rows"))
+    own = F.filter(F.array(*ranks(F.col("n_rows"))), lambda r: (r["rank"] > F.col("_offset")) & (r["rank"] <= F.col("_offset") + F.col("_in")))
+    blocks = blocks.select("_g", "_block", "_offset", "n_rows", own.alias("_ranks")).where(F.size("_ranks") > 0)
     summed = keyed.withColumn("_cum", F.sum("n").over(inside)).join(blocks, ["_g", "_block"])
     upto = F.col("_offset") + F.col("_cum")
-    reached = F.filter(F.array(*ranks(F.col("n_rows"))), lambda r: (r["rank"] <= upto) & (r["rank"] > upto - F.col("n")))
+    reached = F.filter("_ranks", lambda r: (r["rank"] <= upto) & (r["rank"] > upto - F.col("n")))
     hit = summed.select("_g", "value", "n_rows", reached.alias("_hit")).where(F.size("_hit") > 0)
     return hit.select("_g.*", "n_rows", F.explode("_hit").alias("hit"), "value")
 

@@ -273,7 +273,7 @@ boundary_tracks lagb_statistics lagb_fluctuations lagb_structure_factor lagb_spa
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # the triangulation by its definition: a triangle counts if no other point lies in its circle; of points at one place the first counts
-_EDGES = f"""{D_SQL},
+_TRIANGLES = """
 p as (select run_id, frame, det_id as i, x, y from (select *, count(*) over (partition by run_id, frame) as c, row_number() over (partition by run_id, frame, x, y order by det_id) as u from d) where c >= 4 and u = 1),
 t as (select a.run_id, a.frame, a.i as i, b.i as j, c.i as k, a.x as ax, a.y as ay, b.x as bx, b.y as b_y, c.x as cx, c.y as cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) as turn
   from p a join p b on a.run_id = b.run_id and a.frame = b.frame and a.i < b.i join p c on c.run_id = a.run_id and c.frame = a.frame and b.i < c.i),
@@ -283,6 +283,7 @@ g as (select * from t where turn <> 0 and not exists (select 1 from p q where q.
   + ((cx - q.x) * (cx - q.x) + (cy - q.y) * (cy - q.y)) * ((ax - q.x) * (b_y - q.y) - (bx - q.x) * (ay - q.y))) * sign(turn) > 0)),
 e as (select run_id, frame, i, j from g union select run_id, frame, j, k from g union select run_id, frame, i, k from g),
 l as (select e.*, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as len, a.x as ix, a.y as iy, b.x as jx, b.y as jy from e join d a on a.det_id = e.i join d b on b.det_id = e.j)"""
+_EDGES = f"{D_SQL}, {_TRIANGLES}"
 _ORDER = f"""{_EDGES},
 w as (select i, jx - ix as dx, jy - iy as dy from l union all select j, ix - jx, iy - jy from l),
 o as (select i, cast(count(*) as int) as coord, avg(cos(6 * atan2(dy, dx))) as re, avg(sin(6 * atan2(dy, dx))) as im from w group by 1),
@@ -307,11 +308,33 @@ f3 as (select *, case when low > 1e-9 then sqrt(high / low) else 999.0 end as as
 f4 as (select f3.run_id, f3.frame, f3.gb, any_value(n) as n, any_value(aspect) as aspect, any_value(f3.mis) as mis, any_value(cx) as cx, any_value(cy) as cy, any_value(ux) as ux, any_value(uy) as uy,
   min((x - cx) * ux + (y - cy) * uy) as s0, max((x - cx) * ux + (y - cy) * uy) as s1 from f3 join me on me.run_id = f3.run_id and me.frame = f3.frame and me.gb = f3.gb where aspect >= 2 and n >= 3 group by 1, 2, 3),
 bd as (select run_id, frame, gb, case when mis < 15 then 'LAGB' else 'HAGB' end as kind, n, aspect, mis, cx, cy, ux, uy, cx + s0 * ux as x1, cy + s0 * uy as y1, cx + s1 * ux as x2, cy + s1 * uy as y2 from f4)"""
+# the tracks under a name that the triangles leave free
+_TRACKS = "tr" + T_SQL[1:]
 _P = "cast(3.141592653589793 as double)"
 
 SQL = {
     "boundaries": f"""with recursive {_LINES} select run_id, frame, gb, kind, n, round(aspect, 4) as aspect, round(mis, 4) + 0.0 as misorientation_deg, round(cx, 4) + 0.0 as cx, round(cy, 4) + 0.0 as cy,
   round(ux, 4) + 0.0 as ux, round(uy, 4) + 0.0 as uy, round(x1, 4) + 0.0 as x1, round(y1, 4) + 0.0 as y1, round(x2, 4) + 0.0 as x2, round(y2, 4) + 0.0 as y2 from bd""",
+    "band_misorientation": f"""with recursive {_LINES}, nk as (select a.run_id, a.frame, a.det_id as i, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as dist from d a join d b on a.run_id = b.run_id and a.frame = b.frame and a.det_id <> b.det_id group by 1, 2, 3),
+ff as (select run_id, frame, count(*) as n from d group by 1, 2), fo as (select *, row_number() over (partition by run_id order by frame) - 1 as pos, greatest(1, floor(count(*) over (partition by run_id) / 12)) as step from ff),
+fu as (select run_id, frame from fo where pos % step = 0 and floor(pos / step) < 12 and n >= 8), sp as (select nk.run_id, median(dist) as b from nk join fu on fu.run_id = nk.run_id and fu.frame = nk.frame group by 1),
+ms as (select me.run_id, me.frame, me.gb, (me.x - f4.cx) * f4.ux + (me.y - f4.cy) * f4.uy as sx from me join f4 on f4.run_id = me.run_id and f4.frame = me.frame and f4.gb = me.gb),
+mg as (select run_id, frame, gb, sx - lag(sx) over (partition by run_id, frame, gb order by sx) as gap from ms), md as (select run_id, frame, gb, median(gap) as dd from mg where gap is not null group by 1, 2, 3),
+wd as (select f4.*, b, 1.5 * b as inn, 1.5 * b + greatest(2 * b, greatest(coalesce(dd, b), b) / 2) as outt from f4 join sp on sp.run_id = f4.run_id left join md on md.run_id = f4.run_id and md.frame = f4.frame and md.gb = f4.gb),
+pt as (select s.run_id, s.frame, d.x, d.y, re / sqrt(re * re + im * im) as ur, im / sqrt(re * re + im * im) as ui from s join d on d.det_id = s.det_id where sqrt(re * re + im * im) > 0.3),
+bj as (select wd.run_id, wd.frame, wd.gb, (pt.x - cx) * ux + (pt.y - cy) * uy as ss, (pt.y - cy) * ux - (pt.x - cx) * uy as hh, ur, ui, s0, s1, inn, outt from wd join pt on pt.run_id = wd.run_id and pt.frame = wd.frame),
+bs as (select run_id, frame, gb, hh > 0 as up, count(*) as n, atan2(avg(ui), avg(ur)) / 6 as ang from bj where ss > s0 and ss < s1 and abs(hh) > inn and abs(hh) < outt group by 1, 2, 3, 4 having count(*) >= 5)
+select a.run_id, a.frame, a.gb, round(abs(degrees(a.ang - c.ang) + 30 - floor((degrees(a.ang - c.ang) + 30) / 60) * 60 - 30), 4) + 0.0 as theta_grains_deg, a.n as n_band_a, c.n as n_band_b
+from bs a join bs c on a.run_id = c.run_id and a.frame = c.frame and a.gb = c.gb and a.up and not c.up""",
+    "per_particle": f"""with {_TRACKS}, {M_SQL}, d as (select obs_id as det_id, run_id, frame, x_px as x, y_px as y from tr), {_TRIANGLES},
+mn as (select run_id, particle, avg(x_px) as x, avg(y_px) as y from tr group by 1, 2),
+sp as (select obs_id, tr.run_id, tr.particle, tr.frame, case when y_px >= round(mn.y, 3) then 1 else -1 end as s from tr join mn on mn.run_id = tr.run_id and mn.particle = tr.particle),
+ee as (select e.i, e.j from e join sp a on a.obs_id = e.i join sp b on b.obs_id = e.j where a.s = b.s), eb as (select o, count(*) as c from (select i as o from ee union all select j from ee) group by 1),
+nf as (select run_id, particle, avg(coalesce(c, 0)) as nf from sp left join eb on eb.o = sp.obs_id group by 1, 2),
+fl as (select *, case when s <> lag(s) over (partition by run_id, particle order by frame) then 1 else 0 end as f from sp),
+fg as (select run_id, particle, count(*) as n, avg(case when s > 0 then 1.0 else 0.0 end) as up, sum(f) as f from fl group by 1, 2)
+select mn.run_id, mn.particle, round(mn.x, 6) + 0.0 as x, round(mn.y, 6) + 0.0 as y, round(up, 6) as up_fraction, case when n > 1 then round(f / (dt * (n - 1)), 6) end as flip_rate, round(nf, 6) as "Nf"
+from mn join fg on fg.run_id = mn.run_id and fg.particle = mn.particle join nf on nf.run_id = mn.run_id and nf.particle = mn.particle left join m on m.run_id = mn.run_id""",
     "boundary_labels": f"""with recursive {_LINES}, r as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as length from bd),
 z as (select *, row_number() over (partition by run_id, frame order by length desc, gb) as label from r)
 select run_id, frame, gb, cast(label as int) as label, kind, round(length, 4) as length, round(mis, 4) + 0.0 as misorientation_deg from z where label <= 5""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +98,8 @@ def msd_slopes(spark: SparkSession, d: str) -> DataFrame:
 
 def diffusion_fit(spark: SparkSession, d: str) -> DataFrame:
     f = K.diffusion(_curves(spark, d))
-    return f.withColumn("radius_um", F.when(F.col("D") > 0, K.stokes_einstein(F.col("D"))))
+    f = f.select("run_id", "n_points", "regime", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("D", "D_err", "intercept", "r2", "terminal_slope", "plateau")])
+    return f.withColumn("radius_um", F.round(F.when(F.col("D") > 0, K.stokes_einstein(F.col("D"))), 6))
 
 
 def affine_step(spark: SparkSession, d: str) -> DataFrame:
@@ -298,6 +301,19 @@ f as (select *, pos - row_number() over (partition by run_id order by lag) as is
 e as (select run_id, min(lag) as first, max(lag) as last, count(*) as n from f group by run_id, island),
 o as (select *, row_number() over (partition by run_id order by n desc, first) as k from e)
 select g.run_id, g.lag, round(slope, 6) as slope, o.first, o.last from g left join o on o.run_id = g.run_id and o.k = 1 and o.n > 1""",
+    "diffusion_fit": f"""with {T_SQL}, {M_SQL}, {_MSD}, c as (select q.run_id, lag * dt as x, round(msd, 9) as y from q join m on m.run_id = q.run_id where round(msd, 9) > 0 and lag * dt > 0),
+h as (select *, ln(x) - lag(ln(x)) over w as ha, lead(ln(x)) over w - ln(x) as hb, ln(y) - lag(ln(y)) over w as da, lead(ln(y)) over w - ln(y) as db, row_number() over w as pos, count(*) over (partition by run_id) as n from c window w as (partition by run_id order by x)),
+g as (select run_id, x, y, pos, n, coalesce((ha * ha * db + hb * hb * da) / (ha * hb * (ha + hb)), db / hb, da / ha) as slope from h where n >= 2),
+f as (select *, pos - row_number() over (partition by run_id order by pos) as island from g where abs(slope - 1) <= 0.18),
+e as (select run_id, min(pos) as a, max(pos) as b, count(*) as k from f group by run_id, island), o as (select *, row_number() over (partition by run_id order by k desc, a) as r from e where k >= 2),
+l as (select g.run_id, median(slope) as terminal, median(y) as plateau from g where pos > n - greatest(2, n // 3) group by 1),
+u as (select g.run_id, x, y from g left join o on o.run_id = g.run_id and o.r = 1 where case when o.a is not null then pos between o.a and o.b when n - n * 2 // 3 >= 2 then pos > n * 2 // 3 else true end),
+v as (select run_id, count(*) as k, avg(x) as mx, avg(y) as my from u group by 1),
+w as (select u.run_id, any_value(k) as k, any_value(mx) as mx, any_value(my) as my, sum((x - mx) * (x - mx)) as sxx, sum((x - mx) * (y - my)) as sxy, sum((y - my) * (y - my)) as syy from u join v on v.run_id = u.run_id group by 1),
+z as (select u.run_id, sum(pow(y - my - sxy / sxx * (x - mx), 2)) as sse from u join w on w.run_id = u.run_id group by 1),
+res as (select w.run_id, k, round(sxy / sxx / 4, 6) + 0.0 as d, case when k > 2 then round(sqrt(sse / (k - 2) / sxx) / 4, 6) end as de, round(my - sxy / sxx * mx, 6) + 0.0 as ic, case when syy > 0 then round(1 - sse / syy, 6) + 0.0 end as r2 from w join z on z.run_id = w.run_id)
+select res.run_id, cast(k as int) as n_points, case when terminal >= 0.5 then 'diffusive' else 'caged' end as regime, d as "D", de as "D_err", ic as intercept, r2, round(terminal, 6) + 0.0 as terminal_slope, round(plateau, 6) as plateau,
+  case when d > 0 then round({K.K_B * 298.0 / (6 * math.pi * 1e-3) * 1e18!r}::double / d, 6) end as radius_um from res join l on l.run_id = res.run_id""",
     "smoothed_counts": f"""with {D_SQL}, n as (select run_id, frame, count(*) as n from d group by 1, 2),
 w as (select *, count(*) over (partition by run_id) as c, row_number() over (partition by run_id order by frame) as pos from n),
 h as (select *, case when c < 3 then 0 else (least(greatest(3, least(31, c // 8)), c) - 1) // 2 end as half from w)

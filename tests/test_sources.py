@@ -51,3 +51,23 @@ def test_params_merge_over_defaults():
 def test_csv_export(spark, tmp_path):
     B.export_csv(spark.createDataFrame([(1, 2.5)], "frame int, x double"), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=True).first() == (1, 2.5)
+
+
+def test_a_set_of_tables_is_exported_by_name(spark, tmp_path):
+    t = {n: spark.createDataFrame([(n, 1.5)], f"{n} string, v double") for n in ("summary", "fluct", "sq", "spacings")}
+    B.export_set(t, str(tmp_path / "lagb"))
+    for n in t:
+        assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "lagb" / n)).collect()] == [(n, "1.5")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from mesoflow.session import ensure_checkpoint_dir
+
+    made = []
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, setCheckpointDir=made.append), conf=SimpleNamespace(get=lambda k, d=None: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(far)
+    far.conf.get = lambda k, d=None: "hdfs://shared/x"
+    assert ensure_checkpoint_dir(far) == "hdfs://shared/x" and made == ["hdfs://shared/x"]

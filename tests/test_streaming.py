@@ -63,3 +63,30 @@ def test_stream_windows_equal_batch(spark, sf_dir, tmp_path, window):
 def test_latest_only(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 2)], "run_id string, frame int")
     assert sorted(tuple(r) for r in V.latest_only(df).collect()) == [("a", 3), ("a", 3), ("b", 2)]
+
+
+def test_recorded_structure_equals_batch(spark, tmp_path):
+    """A live recording has one line per frame, with the batch's numbers."""
+    from mesoflow.operators import structure as S
+
+    rows = []
+    for f in range(4):
+        n = 60 + f
+        rows += [("r", f, 1000 * f + i, float(x), float(y), 100.0 + 0.5 * f) for i, (x, y) in enumerate(RNG.uniform(0, 300, (n, 2)))]
+    df = spark.createDataFrame(rows, "run_id string, frame int, det_id bigint, x double, y double, t double")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for f in range(4):
+        df.where(f"frame = {f}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    V.record_structure(stream, out, str(tmp_path / "cp"), 50.0, 100.0).awaitTermination(120)
+    got = {r["frame"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(out).collect()}
+    p = df.drop("t")
+    e = S.delaunay_edges(p, "det_id")
+    s = S.structure_points(p, e, "det_id")
+    pairs = S.pairs57(s, e, "det_id", 96.0)
+    want = {r["frame"]: r for r in V.frame_observables(s, pairs, S.boundaries(pairs)[0]).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for f, r in got.items():
+        assert r["t_s"] == 0.5 * f and r["n_particles"] == 60 + f and r["area_um2"] == 50.0
+        assert all(r[c] == pytest.approx(want[f][c]) for c in ("n_57_pairs", "frac_defect", "mean_psi6", "n_lagb"))
+        assert r["pairs_per_um2"] == pytest.approx(r["n_57_pairs"] / 50)
