@@ -9,7 +9,7 @@ the passage's words are mapped back to offsets in the original text.
 
 The items are written once to the shared folder, and every Python worker builds the automaton
 from there once. So they pass neither through the driver nor through the plan, and the corpus is scanned once
-whatever their size. The bound is a worker's memory: about 130 bytes per byte of item text.
+whatever their size. The bound is a worker's memory: about 60 bytes per byte of item text (measured at 2 and 7 MB of items).
 """
 
 from __future__ import annotations
