@@ -194,37 +194,47 @@ def kept(merged: DataFrame) -> DataFrame:
     return merged.where(~F.col("gone")).select("run_id", "frame", "file_id", "n")
 
 
-def merged_records(files: DataFrame, fields: list[str], ranges: int | None = None) -> DataFrame:
-    """``run_id, frame`` and ``fields`` of the records that the merge keeps, in key order in each of ``ranges`` key ranges.
-
-    Records move once: superseded blocks of a batch of files are left behind where they were read, the
-    others are shuffled as sorted slices.
-    """
+def record_slices(files: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The slices of the files' runs with their records (``frame_no`` and ``fields`` as arrays), as they leave the place where files are read, and the fields' types."""
     types = dict(files.dtypes)
     if "recs" in types:
-        types = dict(files.select("recs").limit(0).select(F.explode("recs").alias("r")).select("r.*").dtypes)
+        types = dict(files.select(F.explode("recs").alias("r")).select("r.*").dtypes)
     of = {"float": pa.float32(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     # the first payload column carries the row offsets of a slice
-    payload = ["frame_no", *fields]
-    arrow = [pa.int32(), *[of[types[f]] for f in fields]]
     full = f"{_SLICE}, frame_no array<int>, " + ", ".join(f"`{f}` array<{types[f]}>" for f in fields)
     rows = _file_rows(files, fields).withColumn("frame_no", F.lit(0))
-    slices = rows.mapInArrow(_slices(payload, arrow), full)
+    return rows.mapInArrow(_slices(["frame_no", *fields], [pa.int32(), *[of[types[f]] for f in fields]]), full), types
+
+
+def merged_records(files: DataFrame, fields: list[str], ranges: int | None = None) -> DataFrame:
+    """``run_id, frame`` and ``fields`` of the records that the merge keeps, in key order in each of ``ranges`` key ranges.
+
+    Records move once: superseded blocks of a batch of files are left behind where they were read, the
+    others are shuffled as sorted slices.
+    """
+    slices, types = record_slices(files, fields)
     keys = ["run_id", "rng"]
     ranged = (slices.repartitionByRange(ranges, *keys) if ranges else slices.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-    return ranged.mapInArrow(_merged(payload, False), "run_id string, frame int, " + ", ".join(f"`{f}` {types[f]}" for f in fields))
+    return ranged.mapInArrow(_merged(["frame_no", *fields], False), "run_id string, frame int, " + ", ".join(f"`{f}` {types[f]}" for f in fields))
+
 
+def _weigh(fields: list[str]):
+    """Rows and encoded bytes of slices, where they are."""
 
-def _weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and encoded bytes of what is to be written."""
-    import pyarrow.parquet as pq
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        rows = size = 0
+        for b in batches:
+            n = np.diff(np.asarray(b.column("frame_no").offsets)).astype(np.int64)
+            frames = np.repeat(np.asarray(b.column("rng")), n).astype(np.int64)
+            t = pa.table({"run_id": b.column("run_id").take(pa.array(np.repeat(np.arange(len(n)), n))), "frame": frames, **{f: b.column(f).flatten() for f in fields}})
+            sink = pa.BufferOutputStream()
+            pq.write_table(t, sink, compression="snappy")
+            rows, size = rows + t.num_rows, size + (sink.getvalue().size if t.num_rows else 0)
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([size])], ["rows", "bytes"])
 
-    rows = size = 0
-    for t, _ in whole_groups(batches, ["run_id"], least=200_000):
-        sink = pa.BufferOutputStream()
-        pq.write_table(t, sink, compression="snappy")
-        rows, size = rows + t.num_rows, size + sink.getvalue().size
-    yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([size])], ["rows", "bytes"])
+    return run
 
 
 def consolidate(files: DataFrame, path: str, fields: list[str], target_bytes: int = 128 << 20) -> DataFrame:
@@ -232,12 +242,12 @@ def consolidate(files: DataFrame, path: str, fields: list[str], target_bytes: in
 
     ``files``: ``run_id, file_id, written_at`` and ``recs``, or the records themselves.
     Each (run_id, frame) comes out once, whole, from its latest file. Two jobs: the first
-    weighs what is kept by its encoding, for the number of ranges and the rows of ``target_bytes``; the second
-    writes. Returned, from the written files: one row per file with ``file, run_id_min, frame_min, run_id_max,
+    weighs the records by their encoding where they are read, for the number of ranges and the rows of ``target_bytes``; the second
+    moves and writes them. Returned, from the written files: one row per file with ``file, run_id_min, frame_min, run_id_max,
     frame_max, n_keys, n_rows, bytes``; neighbouring files of a range may share the key at which they are rolled.
     """
     spark = files.sparkSession
-    total = merged_records(files, fields).mapInArrow(_weigh, "rows bigint, bytes bigint").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    total = record_slices(files, fields)[0].mapInArrow(_weigh(fields), "rows bigint, bytes bigint").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     size = max(1.0, (total["bytes"] or 0) / max(1, total["rows"] or 0))
     ranges = max(1, round((total["bytes"] or 0) / target_bytes))
     out = merged_records(files, fields, ranges)
