@@ -126,15 +126,24 @@ def live_observables(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(o.select("run_id", "frame", "t_s", "n_particles", "n_57_pairs", "pairs_per_um2", "frac_defect", "mean_psi6", "n_lagb", "area_um2"), 6, "t_s", "pairs_per_um2", "frac_defect", "mean_psi6", "area_um2")
 
 
-def gofr_table(spark: SparkSession, d: str) -> DataFrame:
-    """Both pair correlations and their ratio, to ten diameters of each run's particles in bins of a tenth of one."""
-    p = _structure(spark, d)[0]
+def _gofr(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     ranges = with_run(p.select("run_id").distinct(), spark, d, "px_um", "params.diameter")
     rmax, dr = default_range(F.col("diameter") * F.col("px_um"))
     t = structure_functions(p, "det_id", ranges.select("run_id", "px_um", rmax.alias("rmax"), dr.alias("dr")))
     return _rounded(t, 6, "r_um", "g_r", "g6_r", "g6_over_g_r")
 
 
+def gofr_table(spark: SparkSession, d: str) -> DataFrame:
+    """Both pair correlations and their ratio over all frames, to ten diameters of each run's particles in bins of a tenth of one."""
+    return _gofr(spark, d, _structure(spark, d)[0])
+
+
+def gofr_first_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The same of each run's first frame alone."""
+    p = _structure(spark, d)[0]
+    return _gofr(spark, d, p.join(p.groupBy("run_id").agg(F.min("frame").alias("frame")), ["run_id", "frame"], "left_semi"))
+
+
 def per_particle(spark: SparkSession, d: str) -> DataFrame:
     """``x, y, up_fraction, flip_rate, Nf`` of each track: mean place, share of frames and rate of changes of its spin, and mean number of neighbours of its own spin over its frames."""
     ensure_checkpoint_dir(spark)
@@ -268,7 +277,7 @@ def dedupe_points(spark: SparkSession, d: str) -> DataFrame:
     return L.dedupe_in_order(_points(spark, d), "det_id", 8.0)
 
 
-_NAMES = """delaunay_edges coordination psi6 pairs57 defect_series pair_count_series g6_hist grain_components dbscan_labels boundaries band_misorientation defect_rows live_observables gofr_table per_particle
+_NAMES = """delaunay_edges coordination psi6 pairs57 defect_series pair_count_series g6_hist grain_components dbscan_labels boundaries band_misorientation defect_rows live_observables gofr_table gofr_first_frame per_particle
 boundary_tracks lagb_statistics lagb_fluctuations lagb_structure_factor lagb_spacings bond_length_filter bond_asymmetry frustrated_bonds overlay_segments overlay_points boundary_labels link_nn affine_full nms_separation dedupe_points""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -312,6 +321,19 @@ bd as (select run_id, frame, gb, case when mis < 15 then 'LAGB' else 'HAGB' end
 _TRACKS = "tr" + T_SQL[1:]
 _P = "cast(3.141592653589793 as double)"
 
+_GOFR = f"""with {_ORDER}, z as (select s.*, d.x, d.y from s join d on d.det_id = s.det_id),
+g0 as (select run_id, cast(json_extract_string(params, '$.px_um') as double) as px, cast(json_extract_string(params, '$.diameter') as double) * cast(json_extract_string(params, '$.px_um') as double) as dm from job_meta),
+g1 as (select run_id, px, least(greatest(10 * dm, 0.5), 100.0) as rmax, least(greatest(dm / 10, 0.01), 5.0) as dr from g0 where px > 0 and dm is not null),
+g2 as (select *, cast(greatest(1, floor(rmax / dr)) as int) as bins, rmax / cast(greatest(1, floor(rmax / dr)) as int) as wd from g1),
+f as (select z.run_id, frame, count(*) as n, (max(x) - min(x)) * (max(y) - min(y)) * any_value(px) * any_value(px) as a, sum(re * re + im * im) as p from z join g2 on g2.run_id = z.run_id group by 1, 2),
+u as (select run_id, count(*) as fr, avg(n) as nn, avg(case when n > 1 then a else 0.0 end) as aa, sum(p) / sum(n) as mp from f group by 1),
+p2 as (select a.run_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * px as dist, a.re * b.re + a.im * b.im as w, rmax, wd, bins from z a join z b on a.run_id = b.run_id and a.frame = b.frame and a.det_id < b.det_id join g2 on g2.run_id = a.run_id),
+h as (select run_id, cast(least(floor(dist / wd), bins - 1) as int) as bin, count(*) as n, sum(w) as w from p2 where dist < rmax group by 1, 2),
+e4 as (select u.*, wd, bins, cast(unnest(range(bins)) as int) as bin from u join g2 on g2.run_id = u.run_id),
+r as (select e4.run_id, e4.bin, (e4.bin + 0.5) * wd as r_um, coalesce(h.n, 0) as n_pairs, case when aa > 0 then 2 * coalesce(h.n, 0) / (fr * nn * (nn / aa) * (2 * {_P} * wd) * ((e4.bin + 0.5) * wd)) end as g_r,
+  case when h.n > 0 then h.w / h.n / greatest(mp, 1e-12) end as g6_r from e4 left join h on h.run_id = e4.run_id and h.bin = e4.bin)
+select run_id, bin, round(r_um, 6) as r_um, n_pairs, round(g_r, 6) + 0.0 as g_r, round(g6_r, 6) + 0.0 as g6_r, round(case when g_r > 0 then g6_r / g_r end, 6) + 0.0 as g6_over_g_r from r"""
+
 SQL = {
     "boundaries": f"""with recursive {_LINES} select run_id, frame, gb, kind, n, round(aspect, 4) as aspect, round(mis, 4) + 0.0 as misorientation_deg, round(cx, 4) + 0.0 as cx, round(cy, 4) + 0.0 as cy,
   round(ux, 4) + 0.0 as ux, round(uy, 4) + 0.0 as uy, round(x1, 4) + 0.0 as x1, round(y1, 4) + 0.0 as y1, round(x2, 4) + 0.0 as x2, round(y2, 4) + 0.0 as y2 from bd""",
@@ -354,18 +376,8 @@ n57 as (select run_id, frame, count(*) as n from v group by 1, 2), nl as (select
 select o2.run_id, o2.frame, round((o2.frame - min(o2.frame) over (partition by o2.run_id)) * dt, 6) as t_s, n_particles, coalesce(n57.n, 0) as n_57_pairs, round(coalesce(n57.n, 0) / greatest(w * h * px_um * px_um, 1e-9), 6) as pairs_per_um2,
   round(frac_defect, 6) as frac_defect, round(mean_psi6, 6) as mean_psi6, coalesce(nl.n, 0) as n_lagb, round(cast(w as double) * h * px_um * px_um, 6) as area_um2
 from o2 left join n57 on n57.run_id = o2.run_id and n57.frame = o2.frame left join nl on nl.run_id = o2.run_id and nl.frame = o2.frame left join m on m.run_id = o2.run_id""",
-    "gofr_table": f"""with {_ORDER}, z as (select s.*, d.x, d.y from s join d on d.det_id = s.det_id),
-g0 as (select run_id, cast(json_extract_string(params, '$.px_um') as double) as px, cast(json_extract_string(params, '$.diameter') as double) * cast(json_extract_string(params, '$.px_um') as double) as dm from job_meta),
-g1 as (select run_id, px, least(greatest(10 * dm, 0.5), 100.0) as rmax, least(greatest(dm / 10, 0.01), 5.0) as dr from g0 where px > 0 and dm is not null),
-g2 as (select *, cast(greatest(1, floor(rmax / dr)) as int) as bins, rmax / cast(greatest(1, floor(rmax / dr)) as int) as wd from g1),
-f as (select z.run_id, frame, count(*) as n, (max(x) - min(x)) * (max(y) - min(y)) * any_value(px) * any_value(px) as a, sum(re * re + im * im) as p from z join g2 on g2.run_id = z.run_id group by 1, 2),
-u as (select run_id, count(*) as fr, avg(n) as nn, avg(case when n > 1 then a else 0.0 end) as aa, sum(p) / sum(n) as mp from f group by 1),
-p2 as (select a.run_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * px as dist, a.re * b.re + a.im * b.im as w, rmax, wd, bins from z a join z b on a.run_id = b.run_id and a.frame = b.frame and a.det_id < b.det_id join g2 on g2.run_id = a.run_id),
-h as (select run_id, cast(least(floor(dist / wd), bins - 1) as int) as bin, count(*) as n, sum(w) as w from p2 where dist < rmax group by 1, 2),
-e4 as (select u.*, wd, bins, cast(unnest(range(bins)) as int) as bin from u join g2 on g2.run_id = u.run_id),
-r as (select e4.run_id, e4.bin, (e4.bin + 0.5) * wd as r_um, coalesce(h.n, 0) as n_pairs, case when aa > 0 then 2 * coalesce(h.n, 0) / (fr * nn * (nn / aa) * (2 * {_P} * wd) * ((e4.bin + 0.5) * wd)) end as g_r,
-  case when h.n > 0 then h.w / h.n / greatest(mp, 1e-12) end as g6_r from e4 left join h on h.run_id = e4.run_id and h.bin = e4.bin)
-select run_id, bin, round(r_um, 6) as r_um, n_pairs, round(g_r, 6) + 0.0 as g_r, round(g6_r, 6) + 0.0 as g6_r, round(case when g_r > 0 then g6_r / g_r end, 6) + 0.0 as g6_over_g_r from r""",
+    "gofr_table": _GOFR,
+    "gofr_first_frame": _GOFR.replace("on d.det_id = s.det_id),", "on d.det_id = s.det_id join (select run_id, min(frame) as f0 from d group by 1) a0 on a0.run_id = s.run_id and a0.f0 = s.frame),", 1),
     "dbscan_labels": f"""with recursive {D_SQL}, p as (select a.run_id, a.frame, a.det_id as i, b.det_id as j from d a join d b on a.run_id = b.run_id and a.frame = b.frame and a.det_id <> b.det_id
   where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900),
 c as (select i from p group by 1 having count(*) + 1 >= 4),
